@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from plotwise.llm.bpe import op3_bpe
+from plotwise.llm.edit_dups import op5_edit_dups
 from plotwise.llm.embedding_dups import op4_embedding_dups
 from plotwise.llm.packing import op10_packing
 from plotwise.llm.token_files import op1_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op3_bpe, op4_embedding_dups, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op3_bpe, op4_embedding_dups, op5_edit_dups, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
