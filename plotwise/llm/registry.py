@@ -6,6 +6,7 @@ from plotwise.llm.bpe import op3_bpe
 from plotwise.llm.edit_dups import op5_edit_dups
 from plotwise.llm.embedding_dups import op4_embedding_dups
 from plotwise.llm.fingerprints import op7_fingerprints
+from plotwise.llm.language_model import op9_language_model
 from plotwise.llm.packing import op10_packing
 from plotwise.llm.personal_data import op8_personal_data
 from plotwise.llm.quality import op2_quality
@@ -14,7 +15,7 @@ from plotwise.llm.token_files import op1_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_bpe, op4_embedding_dups, op5_edit_dups, op6_secrets, op7_fingerprints, op8_personal_data, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_bpe, op4_embedding_dups, op5_edit_dups, op6_secrets, op7_fingerprints, op8_personal_data, op9_language_model, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
