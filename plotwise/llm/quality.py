@@ -90,7 +90,7 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds)
 
 
-def fit_arrays(docs: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 250, rate: float = 0.05, decay: float = 1.0, least_z: float = 9.0) -> OrdinalModel:
+def fit_arrays(docs: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 250, rate: float = 0.05, decay: float = 1.0, least_z: float = 8.0) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by full-batch Adam.
 
     Only buckets whose documents' grades differ from the others' by ``least_z`` standard errors, at one of the thresholds, have a weight: chance
