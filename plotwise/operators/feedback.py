@@ -18,7 +18,7 @@ def lean(up: Column, down: Column) -> Column:
 
 
 def vote_counts(votes: DataFrame, keys: list[str]) -> DataFrame:
-    return votes.groupBy(keys).agg(F.count_if("vote > 0").alias("up"), F.count_if("vote < 0").alias("down"))
+    return votes.groupBy(keys).agg(F.count_if(F.col("vote") > 0).alias("up"), F.count_if(F.col("vote") < 0).alias("down"))
 
 
 def rerank(items: DataFrame, votes: DataFrame, least: float = 2) -> DataFrame:

@@ -19,9 +19,9 @@ def refile(rows: DataFrame, towns: list[tuple[str, float, float]], max_km: float
     """A pin further than ``max_km`` from the filed town moves the listing to the nearest town within ``near_km``, else to none; the
     district goes. Adds city_form (the town as filed) where that happened."""
     near = distances(rows, towns)
-    filed = F.element_at(F.filter(near, lambda d: d["town"] == F.col("city")), 1)["km"]
+    filed = F.get(F.filter(near, lambda d: d["town"] == F.col("city")), 0)["km"]
     moved = F.coalesce(filed > max_km, F.lit(False))
-    first = F.element_at(near, 1)
+    first = F.get(near, 0)
     return rows.withColumns({
         "city_form": F.when(moved, F.col("city")),
         "city": F.when(moved, F.when(first["km"] <= near_km, first["town"])).otherwise(F.col("city")),
