@@ -20,13 +20,11 @@ def refile(rows: DataFrame, towns: list[tuple[str, float, float]], max_km: float
     district goes. Adds city_form (the town as filed) where that happened."""
     near = distances(rows, towns)
     filed = F.get(F.filter(near, lambda d: d["town"] == F.col("city")), 0)["km"]
-    moved = F.coalesce(filed > max_km, F.lit(False))
     first = F.get(near, 0)
-    return rows.withColumns({
-        "city_form": F.when(moved, F.col("city")),
-        "city": F.when(moved, F.when(first["km"] <= near_km, first["town"])).otherwise(F.col("city")),
-        "district": F.when(~moved, F.col("district")),
-    })
+    rows = rows.withColumns({"moved": F.coalesce(filed > max_km, F.lit(False)), "nearest": F.when(first["km"] <= near_km, first["town"])})
+    rows = rows.withColumn("city_form", F.when(F.col("moved"), F.col("city")))
+    district = F.when(~F.col("moved"), F.col("district"))
+    return rows.withColumns({"city": F.when(F.col("moved"), F.col("nearest")).otherwise(F.col("city")), "district": district}).drop("moved", "nearest")
 
 
 def first_hit(rows: DataFrame, candidates: str, gazetteer: DataFrame, plausible: Column, key: str = "id") -> DataFrame:

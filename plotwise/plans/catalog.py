@@ -27,7 +27,7 @@ def query(f):
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Doubles rounded, a little off the ties, so that the last bits of two engines do not count."""
-    return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + 1e-9, digits) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def as_settings() -> scoring.Settings:

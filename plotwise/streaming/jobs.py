@@ -90,6 +90,6 @@ def price_change_stream(observations: DataFrame, tolerance: float = 0.5, name: s
         versions.append(n)
 
     run_batches(observations, step, name)
-    return spark.read.schema("listing_id string, seen_at timestamp, before double, price_eur double").parquet(f"{root}/changes") if versions else empty.withColumn("before", F.lit(None).cast("double"))
+    return spark.read.schema("listing_id string, seen_at timestamp, before double, price_eur double").parquet(*[f"{root}/changes/batch={n}" for n in versions]) if versions else empty.withColumn("before", F.lit(None).cast("double"))
 
 
