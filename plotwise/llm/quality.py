@@ -141,14 +141,15 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> OrdinalModel:
-    """A model fitted on at most ``sample_rows`` rated documents, chosen by a hash of their id; ``ratings`` has the id and an int ``grade``.
+    """A model fitted on about ``sample_rows`` rated documents at most, chosen by a hash of their id; ``ratings`` has the id and an int ``grade``.
 
     The bound is on training rows alone: what reaches the driver is the feature buckets of those documents. Ratings without an id
     or grade, or outside the scale, are not used; of several for one id the least counts.
     """
     rated = ratings.where(f"{id_col} is not null and grade between 0 and {n_grades - 1}").groupBy(id_col).agg(F.min("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(sample_rows)
-    # at most sample_rows pairs of numbers, so the broadcast has a fixed bound
+    share = min(1.0, sample_rows / max(1, rated.count()))
+    chosen = rated.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # about sample_rows pairs of numbers, so the broadcast has a fixed bound
     rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select("grade", "text")
     table = rows.mapInArrow(_features_of, "grade int, buckets array<int>").toArrow()
     lists = table.column("buckets").combine_chunks()
