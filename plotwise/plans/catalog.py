@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions import pricing, text
-from plotwise.operators import dedupe, feedback, geo, market, scoring, upsert
+from plotwise.operators import alerts, dedupe, feedback, geo, market, scoring, upsert
 from plotwise.plans import oracle
 from plotwise.sources import pages
 from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, stale_details
@@ -370,6 +370,54 @@ def open_questions(spark, sf_dir):
     return _deals(spark, sf_dir).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
 
 
+def _prioritised(spark, sf_dir):
+    rows = _scored_base(spark, sf_dir)
+    found = market.with_reference(rows, market.market_refs(rows), MINS)
+    return found.withColumn("priority", alerts.detail_priority(("NATION_1", "NATION_2", "NATION_3"), (120, 900)))
+
+
+@query
+def detail_priority(spark, sf_dir):
+    return _prioritised(spark, sf_dir).select("id", "priority")
+
+
+@query
+def detail_queue(spark, sf_dir):
+    """The limits are the reading budget of a run."""
+    rows = _prioritised(spark, sf_dir).select("id", "priority", "last_seen", "detail_at")
+    return alerts.detail_queue(rows.where("detail_at is null"), rows.where("detail_at is not null"), 900, 80).select("id", "priority")
+
+
+@query
+def alert_outbox(spark, sf_dir):
+    sent = _latest_votes(spark, sf_dir).select(F.lit("flip").alias("researcher"), F.col("listing_id").alias("id")).distinct()
+    return alerts.alert_outbox(_deals(spark, sf_dir), sent).select("researcher", "id", "score", "place")
+
+
+@query
+def open_leads(spark, sf_dir):
+    return alerts.open_leads(_deals(spark, sf_dir))
+
+
+@query
+def due_steps(spark, sf_dir):
+    n = F.col("source_no")
+    steps = listings(spark, sf_dir).where("source_no < 20000").select("id", F.element_at(F.array(*map(F.lit, ("new", "offer", "won", "dropped"))), (n % 4 + 1).cast("int")).alias("stage"), F.date_add(F.lit(AS_OF).cast("date"), (n % 400 - 200).cast("int")).alias("due"))
+    return alerts.due_steps(steps, AS_OF).withColumn("due", F.col("due").cast("string"))
+
+
+@query
+def bare_downvotes(spark, sf_dir):
+    v = _votes(spark, sf_dir)
+    return alerts.bare_downvotes(_latest_votes(spark, sf_dir), v.where("vote < 0 and event_id % 2 = 0"))
+
+
+@query
+def learning_suggestions(spark, sf_dir):
+    v = _votes(spark, sf_dir).where("vote < 0")
+    return rounded(alerts.suggestions(v.select("researcher", F.when(F.col("event_id") % 2 == 0, "sml").otherwise("loc").alias("reason"), F.col("area_m2").alias("area"))))
+
+
 @query
 def norm_text(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

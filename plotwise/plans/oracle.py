@@ -143,6 +143,25 @@ _RENT = f"{L}, A as (select *, {_ROOMS} as rk, case when nullif(lat, 0) is not n
 SQL["score_rental"] = f"""{_RENT}, A1 as (select *, 30 * (0.50 * f) as nights, [38e0, 46e0, 58e0, 72e0][rk] * (0.75 + 0.25 * f) * (30 * (0.50 * f)) as gross from A),
 A2 as (select *, gross - (gross * 0.155 + (40 + 1.5 * coalesce(nullif(area_m2, 0), 55)) + 12 * case when rk >= 3 then 1.5 else 1.0 end * (nights / 3.0) + 35 + fit / 24 + 0.65 * 2 * nights + gross * 0.075) - tp as profit from A1)
 select id, round(profit, 3) as profit, round(100 * {c01(f'''0.55 * {c01('profit / 300')} + 0.25 * {c01('f')} + 0.20 * {c01('profit / gross / 0.35')}''')}, 3) as score from A2 where profit >= 150 and tp * 2 + fit <= 80000"""
+_PRIO = f"""{J}, PR as (select *, greatest(0e0,
+case when kind in ('apartment', 'house') and deal = 'rent' and city in ('NATION_1', 'NATION_2', 'NATION_3') and price_eur between 120 and 900 then 3e0 end,
+case when kind = 'land' and deal = 'sale' then case when city in ('NATION_1', 'NATION_2', 'NATION_3') or elevation >= 700 then 3.5e0 else 0.5e0 end end,
+case when kind in ('apartment', 'house', 'weekend_house') and deal = 'sale' then case when v < ref_median * (1 - 0.15e0 + 0.05e0) then 2.5e0 when kind = 'weekend_house' then 0.5e0 end end,
+case when deal = 'sale' and (source_no % 3 > 0 or site_old_price > price_eur) then 2e0 end) as priority from G)"""
+SQL["detail_priority"] = f"{_PRIO} select id, priority from PR"
+SQL["detail_queue"] = f"{_PRIO}, Q1 as (select id, priority from PR where detail_at is null and priority > 0 order by priority desc, last_seen desc, id limit 900), Q3 as (select id, priority * 0.6e0 as priority from PR where detail_at is not null and priority > 0 order by priority desc, last_seen desc, id limit 80) select * from Q1 union all select * from Q3"
+_SENT = VOTES + ", DE as " + _DEALS.split(", DE as ", 1)[1]
+SQL["alert_outbox"] = f"{_SENT}, OB as (select researcher, id, sc + 0e0 as score, row_number() over (partition by researcher order by sc desc, id) as place from DE where sc >= 60 and qualified and st <> 'needs_info' and not (researcher = 'flip' and id in (select listing_id from LV))) select researcher, id, score, place from OB where place <= 5"
+SQL["open_leads"] = f"{_DEALS} select id, researcher, sc + 0e0 as score from DE where st = 'needs_info' order by sc desc, id limit 5"
+SQL["due_steps"] = f"{L}, ST as (select id, ['new', 'offer', 'won', 'dropped'][source_no % 4 + 1] as stage, cast(date '{AS_OF}' + cast(source_no % 400 - 200 as int) as date) as due from L where source_no < 20000) select id, stage, cast(due as varchar) as due from ST where due <= date '{AS_OF}' and stage not in ('won', 'dropped') order by due, id limit 15"
+SQL["bare_downvotes"] = f"{VOTES} select researcher, listing_id from LV d where vote < 0 and not exists (select 1 from V where V.vote < 0 and V.event_id % 2 = 0 and V.researcher = d.researcher and V.listing_id = d.listing_id)"
+SQL["learning_suggestions"] = f"{VOTES}, SG as (select researcher, case when event_id % 2 = 0 then 'sml' else 'loc' end as reason, count(*) as n, median(area_m2) as md from V where vote < 0 group by 1, 2) select researcher, reason, n, round(case when reason = 'sml' then round_even(md / 5, 0) * 5 + 5 end, 4) as suggested from SG where n >= 3"
+SQL["rejection_penalties"] = f"""{VOTES}, {ITEMS}, RJ as (select researcher, listing_id, ['sml', 'big', 'loc', 'prc', 'str'][event_id % 5 + 1] as reason, kind, city, district, area_m2 as area from V where vote < 0),
+SL as (select researcher, reason, count(*) as n, list_sort(list(area))[cast(floor(count(area) / 2) as int) + 1] as lim from RJ group by 1, 2),
+HP as (select i.researcher, i.id, SL.reason from I i join SL using (researcher) where (SL.reason = 'sml' and i.area <= SL.lim) or (SL.reason = 'big' and i.area >= SL.lim)
+union select i.researcher, i.id, r.reason from I i join RJ r on r.researcher = i.researcher and r.listing_id <> i.id and ((r.reason = 'loc' and r.city = i.city and r.district = i.district) or (r.reason in ('prc', 'str') and r.kind = i.kind and r.city = i.city))),
+HN as (select HP.*, (select count(*) from RJ r where r.researcher = HP.researcher and r.reason = HP.reason and r.listing_id <> HP.id) as n from HP)
+select researcher, id, round(sum(-12e0 * n / (n + 2)), 4) as penalty from HN where n > 0 group by 1, 2"""
 SQL["stream_daily_counts"] = "with D as (select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2) select cast(day as timestamp) as day, event_type, n from D where day + interval 1 day <= (select max(ts) from events) - interval 1 day"
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
