@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions import pricing, text
-from plotwise.operators import alerts, dedupe, feedback, geo, market, scoring, upsert
+from plotwise.operators import alerts, dedupe, feedback, geo, market, scoring, stages, upsert
 from plotwise.plans import oracle
 from plotwise.sources import pages
 from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, stale_details
@@ -370,6 +370,20 @@ def open_questions(spark, sf_dir):
     return _deals(spark, sf_dir).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
 
 
+@query
+def deal_stages(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stage = F.when(F.col("event_type") == "view", "viewing").when(F.col("event_type") == "click", "contacted").when(F.col("event_type") == "purchase", "offer").when(F.col("event_type") == "error", "no such stage").otherwise("checks")
+    stage = F.when(F.col("event_id") % 10 == 0, "dropped").otherwise(stage)
+    return stages.fold_stages(e.select(F.col("user_id").alias("listing_id"), F.when(F.col("user_id") % 3 == 0, "auctions").otherwise("flip").alias("researcher"), stage.alias("stage"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("step "), F.col("event_id").cast("string"))).alias("next_step"), F.col("ts").alias("at"), "event_id"))
+
+
+@query
+def exported_items(spark, sf_dir):
+    out = stages.export_items(_deals(spark, sf_dir).select("researcher", "id", "score", "qualified"), 300)
+    return out.select("researcher", "count", "n_qualified", F.size("items").alias("n_items"), F.get("items", 0)["id"].alias("first_id"))
+
+
 def _prioritised(spark, sf_dir):
     rows = _scored_base(spark, sf_dir)
     found = market.with_reference(rows, market.market_refs(rows), MINS)

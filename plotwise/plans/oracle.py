@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from plotwise.functions.pricing import BAND_EDGES, SANE_PPM2
+from plotwise.operators.stages import NEXT_STEP, NEXT_STEP_AUCTION, STAGES
 from plotwise.sources.listings import AS_OF, LISTINGS_SQL
 
 _TOTAL = "case when price_note = 'placeholder' then null when price_note = 'per_m2' then price_eur * nullif(area_m2, 0) else price_eur end"
@@ -162,6 +163,13 @@ HP as (select i.researcher, i.id, SL.reason from I i join SL using (researcher)
 union select i.researcher, i.id, r.reason from I i join RJ r on r.researcher = i.researcher and r.listing_id <> i.id and ((r.reason = 'loc' and r.city = i.city and r.district = i.district) or (r.reason in ('prc', 'str') and r.kind = i.kind and r.city = i.city))),
 HN as (select HP.*, (select count(*) from RJ r where r.researcher = HP.researcher and r.reason = HP.reason and r.listing_id <> HP.id) as n from HP)
 select researcher, id, round(sum(-12e0 * n / (n + 2)), 4) as penalty from HN where n > 0 group by 1, 2"""
+_step = lambda d: "case now " + " ".join("when '%s' then '%s'" % (k, v.replace("'", "''")) for k, v in d.items()) + " end"
+SQL["deal_stages"] = f"""with EV as (select user_id as listing_id, ts, event_id, case when event_id % 10 = 0 then 'dropped' when event_type = 'view' then 'viewing' when event_type = 'click' then 'contacted' when event_type = 'purchase' then 'offer' when event_type = 'error' then null else 'checks' end as stage, case when event_id % 4 = 0 then 'step ' || cast(event_id as varchar) end as typed from events),
+N1 as (select *, coalesce(last_value(stage ignore nulls) over (partition by listing_id order by ts, event_id rows between unbounded preceding and current row), '{STAGES[0]}') as now from EV),
+N2 as (select *, now <> coalesce(lag(now) over (partition by listing_id order by ts, event_id), '{STAGES[0]}') as moved, row_number() over (partition by listing_id order by ts desc, event_id desc) as back from N1),
+N3 as (select *, (select coalesce(max((m.ts, m.event_id)), (timestamp '1900-01-01', 0)) from N2 m where m.listing_id = N2.listing_id and m.moved) as since from N2 where back = 1)
+select listing_id, now as stage, coalesce((select max_by(t.typed, (t.ts, t.event_id)) from EV t where t.listing_id = N3.listing_id and t.typed is not null and (t.ts, t.event_id) >= N3.since), case when listing_id % 3 = 0 then {_step(NEXT_STEP_AUCTION)} end, {_step(NEXT_STEP)}) as next_step, now <> 'dropped' as active from N3"""
+SQL["exported_items"] = f"{_DEALS}, RK as (select *, row_number() over (partition by researcher order by qualified desc, sc desc, id) as place from DE) select researcher, count(*) as count, count(*) filter (qualified) as n_qualified, count(*) filter (place <= 300) as n_items, min(id) filter (place = 1) as first_id from RK group by 1"
 SQL["stream_daily_counts"] = "with D as (select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2) select cast(day as timestamp) as day, event_type, n from D where day + interval 1 day <= (select max(ts) from events) - interval 1 day"
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
