@@ -9,7 +9,7 @@ from plotwise.plans.catalog import QUERIES, SQL
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Listing ids repeat once at this size, so rows that go by id cannot be told apart.
-NOT_HERE = {"deals_below_local_median", "market_reference", "prune_cascade"}
+NOT_HERE = {"deals_below_local_median", "dedupe_survivors", "market_reference", "prune_cascade", "score_motivated"}
 
 
 @pytest.fixture(scope="module")
