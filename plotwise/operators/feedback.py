@@ -82,7 +82,8 @@ def rejection_penalties(items: DataFrame, rejections: DataFrame) -> DataFrame:
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    found = found.join(own, ["researcher", "id", "reason"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
+    # a reason counts once for an id, also where items repeat it
+    found = found.dropDuplicates(["researcher", "id", "reason"]).join(own, ["researcher", "id", "reason"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
     return found.groupBy("researcher", "id").agg(F.sum(penalty(F.col("n"))).alias("penalty"))
 
 

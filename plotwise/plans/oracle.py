@@ -173,3 +173,23 @@ SQL["exported_items"] = f"{_DEALS}, RK as (select *, row_number() over (partitio
 SQL["stream_daily_counts"] = "with D as (select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2) select cast(day as timestamp) as day, event_type, n from D where day + interval 1 day <= (select max(ts) from events) - interval 1 day"
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
+
+#: Queries over the first ids or votes alone; each has a twin over the whole tables, NAME_whole.
+LIMITED = tuple(
+    "rating_tiers open_questions exported_items alert_outbox open_leads due_steps feedback_rerank rejection_penalties reviewed_hidden top_n_per_model facts_applied "
+    "latest_vote vote_lean vote_fold known_ids bare_downvotes learning_suggestions".split()
+)
+#: A prime step through the order numbers: events in turn meet all orders before any comes again.
+VOTE_STEP = 7919
+
+
+def _whole(sql: str) -> str:
+    for limited, whole in (
+        (" where source_no < 9000", ""), (" where source_no < 20000", ""), (", OWN as (", ", MX as (select max(l_orderkey) + 1 as span from lineitem), OWN as ("),
+        ("from events e join OWN", "from events e cross join MX join OWN"), ("(e.event_id % 997) * 10", f"(e.event_id * {VOTE_STEP} % MX.span) * 10"),
+    ):
+        sql = sql.replace(limited, whole)
+    return sql
+
+
+SQL.update({f"{name}_whole": _whole(SQL[name]) for name in LIMITED})
