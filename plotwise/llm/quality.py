@@ -90,23 +90,25 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds)
 
 
-def fit_arrays(docs: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 250, rate: float = 0.05, decay: float = 1.0, least_z: float = 8.0) -> OrdinalModel:
+def fit_arrays(docs: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grades: int, rounds: int = 250, rate: float = 0.05, decay: float = 1.0, least_z: float = 6.0) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by full-batch Adam.
 
-    Only buckets whose documents' grades differ from the others' by ``least_z`` standard errors, at one of the thresholds, have a weight: chance
-    differences of the many rare words would otherwise add up in long documents.
+    Every bucket has a weight. Its penalty is ``decay`` where its documents' grades differ from the others' by ``least_z`` standard errors or more, at
+    one of the thresholds, and grows with the eighth power of what lacks: chance differences of the many rare words would otherwise add
+    up in long documents. Adam works on the weights over their scale, so steps are as large as the penalty lets them be.
 
     The thresholds are a first one and positive steps (as exponentials), so their order holds throughout. Grades are weighted so
     that each has the same total.
     """
-    size, seen = np.bincount(buckets, minlength=BUCKETS), np.zeros(BUCKETS, bool)
+    size, errors = np.bincount(buckets, minlength=BUCKETS), np.zeros(BUCKETS)
     for k in range(n_grades - 1):
         above = grades > k
         p = above.mean() if len(grades) else 0.0
-        seen |= np.abs(np.bincount(buckets, above[docs], BUCKETS) - size * p) >= least_z * np.sqrt(np.maximum(size * p * (1 - p), 1e-12))
-    seen &= size > 0
-    docs, own = docs[seen[buckets]], buckets[seen[buckets]]
-    names, cols = np.unique(own, return_inverse=True)
+        off = np.abs(np.bincount(buckets, above[docs], BUCKETS) - size * p)
+        errors = np.maximum(errors, off / np.sqrt(np.maximum(size * p * (1 - p), 1e-12)))
+    names, cols = np.unique(buckets, return_inverse=True)
+    # below half an error the penalty is over 10^8 times as large, so there is no weight to speak of
+    scale = np.minimum(1.0, np.maximum(errors[names], 0.5) / least_z) ** 4
     n, f = len(grades), len(names)
     share = np.bincount(grades, minlength=n_grades)
     weight = n / np.maximum(share, 1)[grades] / np.count_nonzero(share)
@@ -116,18 +118,18 @@ def fit_arrays(docs: np.ndarray, buckets: np.ndarray, grades: np.ndarray, n_grad
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, rounds + 1 if n else 1):
         w, theta = x[:f], x[f] + np.concatenate([[0.0], np.cumsum(np.exp(x[f + 1 :]))])
-        s = np.bincount(docs, w[cols], n)
+        s = np.bincount(docs, (w * scale)[cols], n)
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         high, low = _sigmoid(edge[grades + 1] - s), _sigmoid(edge[grades] - s)
         p = np.maximum(high - low, 1e-12)
         slope_high, slope_low = high * (1 - high) / p, low * (1 - low) / p
         by_score = weight * (slope_low - slope_high)  # of the log likelihood
         by_theta = np.array([(weight * (slope_high * (grades == k) - slope_low * (grades == k + 1))).sum() for k in range(n_grades - 1)])
-        grad = np.concatenate([np.bincount(cols, by_score[docs], f) - decay * w, [by_theta.sum()], np.exp(x[f + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]])
+        grad = np.concatenate([np.bincount(cols, by_score[docs], f) * scale - decay * w, [by_theta.sum()], np.exp(x[f + 1 :]) * np.cumsum(by_theta[::-1])[::-1][1:]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         x = x + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(BUCKETS)
-    weights[names] = x[:f]
+    weights[names] = x[:f] * scale
     return OrdinalModel(weights, x[f] + np.concatenate([[0.0], np.cumsum(np.exp(x[f + 1 :]))]))
 
 
