@@ -526,9 +526,16 @@ def page_cards(spark, sf_dir):
 
 
 @query
-def stream_daily_counts(spark, sf_dir):
+def stream_daily_counts(spark, sf_dir, late="1 day"):
+    """The days that are final, as in the SQL."""
     e = jobs.read_stream(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return jobs.daily_counts(e, "ts", "event_type")
+    return jobs.daily_counts(e, "ts", "event_type", late)
+
+
+@query
+def stream_daily_counts_whole(spark, sf_dir):
+    """All days, the last ones too."""
+    return stream_daily_counts(spark, sf_dir, None)
 
 
 @query

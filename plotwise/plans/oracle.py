@@ -193,3 +193,4 @@ def _whole(sql: str) -> str:
 
 
 SQL.update({f"{name}_whole": _whole(SQL[name]) for name in LIMITED})
+SQL["stream_daily_counts_whole"] = "select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n from events group by 1, 2"

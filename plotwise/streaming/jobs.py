@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotwise.operators.upsert import append_absent, history_rows, upsert
+from plotwise.operators.upsert import history_rows, price_changes, upsert
 from plotwise.scratch import scratch_path
 
 
@@ -47,49 +47,61 @@ def upsert_stream(cards: DataFrame, start: DataFrame, name: str = "listings") ->
 
 
 def alerts_once(items: DataFrame, name: str = "alerts") -> DataFrame:
-    """ST5: each (listing_id, researcher) once, however often it comes; the ledger is a table in the shared folder."""
+    """ST5: each (listing_id, researcher) once with its least ``at``, in whatever order they come; the ledger is a table in the shared folder."""
     spark = items.sparkSession
     root = scratch_path(spark, name)
     keys = ["listing_id", "researcher"]
     versions: list[int] = []
 
     def add(batch: DataFrame, n: int) -> None:
-        rows = batch.groupBy(keys).agg(F.min("at").alias("at"))
-        ledger = append_absent(spark.read.parquet(f"{root}/{n - 1}"), rows, keys) if versions else rows
-        ledger.write.mode("overwrite").parquet(f"{root}/{n}")
+        rows = batch.select(*keys, "at")
+        ledger = spark.read.parquet(f"{root}/{versions[-1]}").unionByName(rows) if versions else rows
+        ledger.groupBy(keys).agg(F.min("at").alias("at")).write.mode("overwrite").parquet(f"{root}/{n}")
         versions.append(n)
 
     run_batches(items, add, name)
     return spark.read.parquet(f"{root}/{versions[-1]}") if versions else spark.createDataFrame([], "listing_id string, researcher string, at timestamp")
 
 
-def daily_counts(events: DataFrame, at: str, key: str, late: str = "1 day", name: str = "daily") -> DataFrame:
-    """ST9: events by day and key, by event time with a watermark; rows are final when the watermark has passed their day."""
+def daily_counts(events: DataFrame, at: str, key: str, late: str | None = None, name: str = "daily") -> DataFrame:
+    """ST9: events by day and key. Counts are merged by key into a written table, so late rows count too, in whatever order files come.
+
+    With ``late`` only the days that are over by this much at the newest event: those that a watermark would have made final.
+    """
     spark = events.sparkSession
-    path = scratch_path(spark, name)
-    counted = events.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w"), key).agg(F.count("*").alias("n"))
-    query = counted.select(F.col("w.start").alias("day"), key, "n").writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}_progress").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(f"day timestamp, {key} string, n long").parquet(path)
+    root = scratch_path(spark, name)
+    versions: list[int] = []
+
+    def add(batch: DataFrame, n: int) -> None:
+        rows = batch.where(F.col(at).isNotNull()).groupBy(F.date_trunc("day", at).alias("day"), key).agg(F.count("*").alias("n"), F.max(at).alias("newest"))
+        counts = spark.read.parquet(f"{root}/{versions[-1]}").unionByName(rows) if versions else rows
+        counts.groupBy("day", key).agg(F.sum("n").alias("n"), F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{root}/{n}")
+        versions.append(n)
+
+    run_batches(events, add, name)
+    if not versions:
+        return spark.createDataFrame([], f"day timestamp, {key} string, n long")
+    counts = spark.read.parquet(f"{root}/{versions[-1]}")
+    if late is not None:
+        newest = counts.agg(F.max("newest").alias("end"))
+        counts = counts.crossJoin(F.broadcast(newest)).where(F.expr(f"day + interval 1 day <= end - interval {late}"))
+    return counts.select("day", key, "n")
 
 
 def price_change_stream(observations: DataFrame, tolerance: float = 0.5, name: str = "prices") -> DataFrame:
-    """ST2: changes of price against the last observation before it, kept as one state row for each listing."""
+    """ST2: changes of price against the last observation before it, in whatever order observations come.
+
+    Each batch adds its rows to a written history, without touching what is there. A late row changes what comes before its successor, so
+    the changes are taken from the history of each listing, once, when all batches are in.
+    """
     spark = observations.sparkSession
     root = scratch_path(spark, name)
-    empty = spark.createDataFrame([], "listing_id string, seen_at timestamp, price_eur double")
     versions: list[int] = []
 
-    def step(batch: DataFrame, n: int) -> None:
-        state = spark.read.parquet(f"{root}/state/{n - 1}") if versions else empty
-        w = Window.partitionBy("listing_id").orderBy("seen_at", "price_eur")
-        rows = state.select("*", F.lit(True).alias("old")).unionByName(batch.select("listing_id", "seen_at", "price_eur", F.lit(False).alias("old")))
-        rows = rows.withColumn("before", F.lag("price_eur").over(w))
-        rows.where((~F.col("old")) & (F.abs(F.col("price_eur") - F.col("before")) > tolerance)).select("listing_id", "seen_at", "before", "price_eur").write.mode("overwrite").parquet(f"{root}/changes/batch={n}")
-        rows.groupBy("listing_id").agg(F.max(F.struct("seen_at", "price_eur")).alias("m")).select("listing_id", "m.*").write.mode("overwrite").parquet(f"{root}/state/{n}")
+    def add(batch: DataFrame, n: int) -> None:
+        batch.select("listing_id", "seen_at", "price_eur").write.mode("overwrite").parquet(f"{root}/batch={n}")
         versions.append(n)
 
-    run_batches(observations, step, name)
-    return spark.read.schema("listing_id string, seen_at timestamp, before double, price_eur double").parquet(*[f"{root}/changes/batch={n}" for n in versions]) if versions else empty.withColumn("before", F.lit(None).cast("double"))
-
-
+    run_batches(observations, add, name)
+    history = spark.read.schema("listing_id string, seen_at timestamp, price_eur double").parquet(*[f"{root}/batch={n}" for n in versions]) if versions else spark.createDataFrame([], "listing_id string, seen_at timestamp, price_eur double")
+    return price_changes(history, tolerance).select("listing_id", "seen_at", "before", "price_eur")
