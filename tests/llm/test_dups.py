@@ -91,3 +91,62 @@ def test_near_duplicate_vectors(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum() - 1, root[i], root[i] == i)
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _ in odd if i)
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def edited(rng, words, rate, mode):
+    """``words`` with a share ``rate`` of edits: words replaced, taken out or put in."""
+    out = []
+    hit = set(rng.choice(len(words), int(rate * len(words)), replace=False))
+    for i, w in enumerate(words):
+        new = f"n{rng.integers(1 << 40)}"
+        kind = mode if mode != "mixed" else rng.choice(["replace", "remove", "insert"])
+        out += [w] if i not in hit else {"replace": [new], "remove": [], "insert": [w, new]}[kind]
+    return out
+
+
+def test_candidates_by_edit_rate():
+    """Of pairs that the alignment accepts, at least nine in ten have a common key, at every edit rate up to the threshold."""
+    import pyarrow as pa
+
+    from plotwise.llm.edit_dups import labelled_shingles, order_min_hash, word_hashes
+
+    rng = np.random.default_rng(9)
+    for mode in ("replace", "mixed"):
+        for rate in (0.05, 0.1, 0.15, 0.18, 0.2):
+            pairs = []
+            for _ in range(300):
+                a = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+                pairs += [a, edited(rng, a, rate, mode)]
+            words, n = word_hashes(pa.array([" ".join(p) for p in pairs]))
+            keys = order_min_hash(*labelled_shingles(words, n, 5), 72, 2, 11)
+            met = (keys[::2] == keys[1::2]).any(axis=1)
+            linked = np.array([alike(a, b, 0.8) for a, b in zip(pairs[::2], pairs[1::2])])
+            assert linked.mean() > 0.9
+            print(mode, rate, round(met[linked].mean(), 3))
+            assert met[linked].mean() >= 0.9
+
+
+def test_groups_near_the_threshold(spark):
+    """A large group of copies whose edits put pairs about the threshold, texts that share one long passage, and texts filled up with one phrase:
+    classes are the components of all pairs by brute force."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    base, passage = [word() for _ in range(100)], [word() for _ in range(50)]
+    docs = [edited(rng, base, 0.11, "replace") for _ in range(60)]
+    docs += [[word() for _ in range(60)] + passage for _ in range(40)]
+    docs += [[word() for _ in range(int(k))] + ["so", "on."] * 60 for k in rng.integers(5, 60, 80)]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if alike(docs[a], docs[b], 0.8):
+                x, y = root[a], root[b]
+                root = [min(x, y) if p in (x, y) else p for p in root]
+    assert 1 < len(set(root[:60])) + len(set(root[100:])) < 120
+    rows = spark.createDataFrame([(i, " ".join(d), "x") for i, d in enumerate(docs)], "doc_id long, text string, `a.b` string")
+    for block, rounds in ((512, 4), (8, 1)):
+        import plotwise.llm.edit_dups as module
+
+        module.BLOCK, kept = block, module.BLOCK
+        got = {r.doc_id: r.class_id for r in near_duplicate_documents(rows, rounds=rounds).collect()}
+        module.BLOCK = kept
+        assert [got[i] for i in range(len(docs))] == root
