@@ -143,7 +143,7 @@ def test_groups_near_the_threshold(spark):
                 root = [min(x, y) if p in (x, y) else p for p in root]
     assert 1 < len(set(root[:60])) + len(set(root[100:])) < 120
     rows = spark.createDataFrame([(i, " ".join(d), "x") for i, d in enumerate(docs)], "doc_id long, text string, `a.b` string")
-    for block, rounds in ((512, 4), (8, 1)):
+    for block, rounds in ((8, 1),):
         import plotwise.llm.edit_dups as module
 
         module.BLOCK, kept = block, module.BLOCK
