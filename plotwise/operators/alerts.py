@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions.pricing import ppm2
+from plotwise.operators.market import exact_median
 
 
 def detail_priority(home_cities: tuple[str, ...], rent_range: tuple[float, float], min_elevation: float = 700, least_discount: float = 0.15, budget: float = 80000) -> Column:
@@ -56,6 +57,7 @@ def bare_downvotes(votes: DataFrame, rejections: DataFrame) -> DataFrame:
 
 def suggestions(rejections: DataFrame, least: int = 3) -> DataFrame:
     """(researcher, reason, n, suggested): a larger minimum area where several were too small (five above the median, in fives)."""
-    found = rejections.groupBy("researcher", "reason").agg(F.count("*").alias("n"), F.median("area").alias("median"))
+    counts = rejections.groupBy("researcher", "reason").agg(F.count("*").alias("n"))
+    found = counts.join(exact_median(rejections, ["researcher", "reason"], "area").drop("n"), ["researcher", "reason"], "left")
     step = F.bround(F.col("median") / 5) * 5 + 5
     return found.where(F.col("n") >= least).select("researcher", "reason", "n", F.when(F.col("reason") == "sml", step).alias("suggested"))

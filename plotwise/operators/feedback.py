@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotwise.operators.market import exact_median
+from plotwise.scratch import write_table
+
 
 def latest(events: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """The last row of each key: the state that replace-by-key writes would leave."""
@@ -44,16 +47,10 @@ def rerank(items: DataFrame, votes: DataFrame, least: float = 2) -> DataFrame:
 
 
 def size_limits(rejections: DataFrame) -> DataFrame:
-    """A10: for each researcher and reason the number of rejections and the upper median of their areas, nulls and zeros left out.
-
-    The window is over one researcher and reason; ranks come from a sort, which spills, not from a collected list.
-    """
+    """A10: for each researcher and reason the number of rejections and the upper median of their areas, nulls and zeros left out."""
     key = ["researcher", "reason"]
     n = rejections.groupBy(key).agg(F.count("*").alias("n"))
-    sized = rejections.where("coalesce(area, 0) <> 0")
-    w = Window.partitionBy(*key)
-    ranked = sized.select(*key, "area", F.row_number().over(w.orderBy("area")).alias("rank"), F.count("*").over(w).alias("of"))
-    limit = ranked.where(F.col("rank") == F.floor(F.col("of") / 2) + 1).select(*key, F.col("area").alias("limit"))
+    limit = exact_median(rejections.where("coalesce(area, 0) <> 0"), key, "area", upper=True).select(*key, F.col("median").alias("limit"))
     return n.join(limit, key, "left")
 
 
@@ -70,7 +67,8 @@ def rejection_penalties(items: DataFrame, rejections: DataFrame) -> DataFrame:
     own = rejections.groupBy("researcher", "reason", F.col("listing_id").alias("id")).agg(F.count("*").alias("own"))
     totals = size_limits(rejections)
     parts = []
-    size = items.join(F.broadcast(totals.where("reason in ('sml', 'big')")), "researcher")
+    totals = write_table(totals, "totals")  # one row for each researcher and reason; small files are broadcast, large ones are not
+    size = items.join(totals.where("reason in ('sml', 'big')"), "researcher")
     fits = F.when(F.col("reason") == "sml", F.col("area") <= F.col("limit")).otherwise(F.col("area") >= F.col("limit"))
     parts.append(size.where(fits).select("researcher", "id", "reason", "n"))
     for reason, keys in (("loc", ["city", "district"]), ("prc", ["kind", "city"]), ("str", ["kind", "city"])):
@@ -78,7 +76,7 @@ def rejection_penalties(items: DataFrame, rejections: DataFrame) -> DataFrame:
         places = rows.groupBy("researcher", *keys).agg(F.count("*").alias("here"))
         mine = own.where(F.col("reason") == reason).select("researcher", "id", "own")
         hit = items.join(places, ["researcher", *keys]).join(mine, ["researcher", "id"], "left").where(F.col("here") > F.coalesce("own", F.lit(0)))
-        parts.append(hit.join(F.broadcast(totals.where(F.col("reason") == reason).select("researcher", "n")), "researcher").select("researcher", "id", F.lit(reason).alias("reason"), "n"))
+        parts.append(hit.join(totals.where(F.col("reason") == reason).select("researcher", "n"), "researcher").select("researcher", "id", F.lit(reason).alias("reason"), "n"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

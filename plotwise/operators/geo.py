@@ -8,35 +8,33 @@ from pyspark.sql import functions as F
 from plotwise.functions.pricing import arc_km, missing_if_zero
 
 
-def distances(rows: DataFrame, towns: list[tuple[str, float, float]], lat: Column | None = None, lng: Column | None = None) -> Column:
-    """Array of (km, town) to a fixed list of towns, nearest first; null without a pin. No shuffle: the list is part of the expression."""
-    lat, lng = lat if lat is not None else missing_if_zero(F.col("lat")), lng if lng is not None else missing_if_zero(F.col("lng"))
-    each = F.array(*[F.struct(arc_km(lat, lng, F.lit(a), F.lit(b)).alias("km"), F.lit(name).alias("town")) for name, a, b in towns])
-    return F.when(lat.isNotNull() & lng.isNotNull(), F.array_sort(each))
-
-
 def refile(rows: DataFrame, towns: list[tuple[str, float, float]], max_km: float = 40, near_km: float = 25) -> DataFrame:
     """A pin further than ``max_km`` from the filed town moves the listing to the nearest town within ``near_km``, else to none; the
-    district goes. Adds city_form (the town as filed) where that happened."""
-    near = distances(rows, towns)
-    filed = F.get(F.filter(near, lambda d: d["town"] == F.col("city")), 0)["km"]
-    first = F.get(near, 0)
-    rows = rows.withColumns({"moved": F.coalesce(filed > max_km, F.lit(False)), "nearest": F.when(first["km"] <= near_km, first["town"])})
-    rows = rows.withColumn("city_form", F.when(F.col("moved"), F.col("city")))
-    district = F.when(~F.col("moved"), F.col("district"))
-    return rows.withColumns({"city": F.when(F.col("moved"), F.col("nearest")).otherwise(F.col("city")), "district": district}).drop("moved", "nearest")
+    district goes. Adds city_form (the town as filed) where that happened.
+
+    ``towns`` is a fixed list that is part of the expression, so nothing is shuffled. The distance to the filed town comes first; all
+    towns are looked at only for listings that move. Of towns equally near, the first by name is taken.
+    """
+    lat, lng = missing_if_zero(F.col("lat")), missing_if_zero(F.col("lng"))
+    places = {name: F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lng"), F.lit(name).alias("town")) for name, a, b in towns}
+    own = F.create_map(*[x for name, place in places.items() for x in (F.lit(name), place)])[F.col("city")]
+    moved = F.coalesce(arc_km(lat, lng, own["lat"], own["lng"]) > max_km, F.lit(False))
+    nearest = F.array_min(F.transform(F.array(*places.values()), lambda p: F.struct(arc_km(lat, lng, p["lat"], p["lng"]).alias("km"), p["town"].alias("town"))))
+    rows = rows.withColumn("moved", moved).withColumn("nearest", F.when(F.col("moved"), nearest))
+    rows = rows.withColumns({"city_form": F.when(F.col("moved"), F.col("city")), "district": F.when(~F.col("moved"), F.col("district"))})
+    return rows.withColumn("city", F.when(F.col("moved"), F.when(F.col("nearest.km") <= near_km, F.col("nearest.town"))).otherwise(F.col("city"))).drop("moved", "nearest")
 
 
 def first_hit(rows: DataFrame, candidates: str, gazetteer: DataFrame, plausible: Column, key: str = "id") -> DataFrame:
     """J15 + W2: (id, name, lat, lng, pos) of the first candidate name that the gazetteer has and that is plausible."""
     named = rows.select(key, "city", F.posexplode(candidates).alias("pos", "name"))
-    hits = named.join(gazetteer, "name").where(plausible)
+    hits = named.hint("merge").join(gazetteer, "name").where(plausible)
     return hits.groupBy(key).agg(F.min_by(F.struct("name", "place_lat", "place_lng", "pos"), "pos").alias("h")).select(key, "h.*")
 
 
 def near_town(hits: DataFrame, centres: DataFrame, max_km: float, resorts: tuple[str, ...] = ()) -> DataFrame:
     """Hits within ``max_km`` of their filed town; named resorts and unknown towns always pass. ``centres``: city, c_lat, c_lng."""
-    joined = hits.join(centres, "city", "left")
+    joined = hits.hint("merge").join(centres, "city", "left")
     km = arc_km(F.col("place_lat"), F.col("place_lng"), F.col("c_lat"), F.col("c_lng"))
     return joined.where(F.col("name").isin(*resorts) | F.col("c_lat").isNull() | (km <= max_km)) if resorts else joined.where(F.col("c_lat").isNull() | (km <= max_km))
 
@@ -44,7 +42,7 @@ def near_town(hits: DataFrame, centres: DataFrame, max_km: float, resorts: tuple
 def pin_against_place(rows: DataFrame, hits: DataFrame, max_km: float = 15) -> DataFrame:
     """(id, lat, lng, pin_dropped): a pin too far from the named place gives way to the place."""
     lat, lng = missing_if_zero(F.col("lat")), missing_if_zero(F.col("lng"))
-    joined = rows.join(hits.select("id", "place_lat", "place_lng"), "id", "left")
+    joined = rows.hint("merge").join(hits.select("id", "place_lat", "place_lng"), "id", "left")
     far = F.coalesce(arc_km(lat, lng, F.col("place_lat"), F.col("place_lng")) > max_km, F.lit(False))
     return joined.select("id", F.when(far, F.col("place_lat")).otherwise(lat).alias("lat"), F.when(far, F.col("place_lng")).otherwise(lng).alias("lng"), far.alias("pin_dropped"))
 

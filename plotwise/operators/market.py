@@ -4,42 +4,66 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions.pricing import SIZE_FIRST, ppm2, size_band
+from plotwise.scratch import write_table
 
 KEYS = ["kind", "deal", "level", "city", "district", "band"]
 LEVELS = ("district", "city", "national")
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, spread: float = 0.002, accuracy: int = 5000) -> DataFrame:
-    """(keys, median, n): exact medians in two map-side-combined passes.
+#: Distinct values that are put in order at a time, and parts into which a wider range is cut.
+FEW, PARTS = 2000, 256
 
-    A quantile sketch gives bounds around each group's median; then rows below the bounds are counted and only the distinct values between them,
-    about ``2 * spread`` of a group, are put in order. So no task holds a whole group, however large. Cutting the same number of values from both
-    ends does not move a median, so this is also the robust median that trims a tenth at each end.
+
+def _same(keys: list[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str, few: int = FEW, parts: int = PARTS, upper: bool = False) -> DataFrame:
+    """(keys, median, n): exact medians, with null values left out and null keys as keys.
+
+    Values are counted once, with a map-side part. While the middle ranks of a group lie among more than ``few`` distinct values, their range is
+    cut into ``parts`` and narrowed to the parts that hold them. Only then are values put in order, so no task holds a whole group, however
+    large. Cutting the same number of values from both ends does not move a median, so this is also the robust median that trims a tenth
+    at each end. ``upper``: of two middle values the greater one instead of their mean.
     """
-    p = [0.5 - spread, 0.5 + spread]
-    bounds = rows.groupBy(keys).agg(F.percentile_approx(value, p, accuracy).alias("b"), F.count("*").alias("n"))
-    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys])
-    near = rows.alias("r").join(bounds.alias("k"), same).select(*[F.col(f"r.{k}") for k in keys], "n", F.col(f"r.{value}").alias("v"), F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    slot = F.when(F.col("v").between(F.col("lo"), F.col("hi")), F.col("v"))
-    counted = near.where("v <= hi").groupBy(*keys, "n", slot.alias("slot")).count()
-    groups = counted.groupBy(*keys, "n").agg(F.sum(F.when(F.col("slot").isNull(), F.col("count")).otherwise(0)).alias("below"), F.sort_array(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "count")))).alias("slots"))
+    counted = write_table(rows.where(F.col(value).isNotNull()).groupBy(*keys, (F.col(value).cast("double") + 0.0).alias("v")).agg(F.count("*").alias("c")), "counted")
+    state = counted.groupBy(keys).agg(F.sum("c").alias("n"), F.lit(0).cast("long").alias("below"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("inside"))
+    state = write_table(state, "ranges")
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    # each turn leaves at most two parts of a range; doubles are told apart long before the last one
+    for _ in range(80):
+        wide = state.where(f"inside > {few} and lo < hi")
+        if wide.isEmpty():
+            break
+        part = F.least(F.lit(parts - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).cast("int")
+        within = counted.alias("c").hint("merge").join(wide.alias("w"), _same(keys, "c", "w")).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        bins = within.groupBy(*[F.col(f"w.{k}") for k in keys], "n", "below", part.alias("part")).agg(F.sum("c").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("held"))
+        upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("part"))  # at most ``parts`` rows a group
+        hit = bins.withColumn("upto", upto).where(((F.col("upto") >= low) & (F.col("upto") - F.col("c") < low)) | ((F.col("upto") >= high) & (F.col("upto") - F.col("c") < high)))
+        narrow = hit.groupBy(*keys, "n").agg(F.min(F.col("upto") - F.col("c")).alias("below"), F.min("least").alias("lo"), F.max("most").alias("hi"), F.sum("held").alias("inside"))
+        state = write_table(state.where(f"not (inside > {few} and lo < hi)").unionByName(narrow), "ranges")
+    near = counted.alias("c").hint("merge").join(state.alias("s"), _same(keys, "c", "s")).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    groups = near.groupBy(*[F.col(f"s.{k}") for k in keys], "n", "below").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("slots"))
 
     def at(rank: Column) -> Column:
         """The value at a rank, counted from 1."""
-        step = F.aggregate("slots", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("v")), lambda a, s: F.struct((a["seen"] + s["count"]).alias("seen"), F.coalesce(a["v"], F.when(a["seen"] + s["count"] >= rank, s["slot"])).alias("v")))
+        step = F.aggregate("slots", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("v")), lambda a, s: F.struct((a["seen"] + s["c"]).alias("seen"), F.coalesce(a["v"], F.when(a["seen"] + s["c"] >= rank, s["v"])).alias("v")))
         return step["v"]
 
-    n = F.col("n")
-    return groups.select(*keys, ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"), "n")
+    return groups.select(*keys, (at(high) if upper else (at(low) + at(high)) / 2).alias("median"), "n")
+
+
+def unit_prices(rows: DataFrame) -> DataFrame:
+    """(kind, deal, city, district, band, v): the price per square metre of every listing that has one."""
+    return rows.select("kind", "deal", F.nullif("city", F.lit("")).alias("city"), F.nullif("district", F.lit("")).alias("district"), size_band().alias("band"), ppm2().alias("v")).where("v is not null")
 
 
 def bucketed(rows: DataFrame) -> DataFrame:
-    """A1: each price per square metre once for its district, city and the country, with and without its size band."""
-    rows = rows.select("kind", "deal", F.nullif("city", F.lit("")).alias("city"), F.nullif("district", F.lit("")).alias("district"), size_band().alias("band"), ppm2().alias("v")).where("v is not null")
+    """A1: each of the ``unit_prices`` once for its district, city and the country, with and without its size band."""
     none = F.lit(None).cast("string")
     places = F.array_compact(F.array(
         F.when(F.col("district").isNotNull(), F.struct(F.lit("district").alias("level"), F.col("city").alias("city"), F.col("district").alias("district"))),
@@ -51,8 +75,11 @@ def bucketed(rows: DataFrame) -> DataFrame:
 
 
 def market_refs(rows: DataFrame) -> DataFrame:
-    """A1 + A2: (kind, deal, level, city, district, band, median, n) of every bucket."""
-    return exact_median(bucketed(rows), KEYS, "v")
+    """A1 + A2: (kind, deal, level, city, district, band, median, n) of every bucket.
+
+    Prices per square metre are worked out once and written, so that their use in six buckets each does not repeat the arithmetic.
+    """
+    return exact_median(bucketed(write_table(unit_prices(rows), "unit_prices")), KEYS, "v")
 
 
 def market_summary(refs: DataFrame, least: int = 5) -> DataFrame:
@@ -63,26 +90,29 @@ def market_summary(refs: DataFrame, least: int = 5) -> DataFrame:
 def with_reference(rows: DataFrame, refs: DataFrame, mins: tuple[int, int, int] = (15, 8, 15), deal: Column | None = None, district: Column | None = None, prefix: str = "ref_") -> DataFrame:
     """The first bucket with enough samples, as columns ref_median, ref_n, ref_level, ref_band.
 
-    Kinds of ``SIZE_FIRST`` try all places with the same size band first; others try both at each place. Candidates are exploded into one equi-join and
-    the first in order is taken, so one join serves all fallback levels; buckets that could never be taken are dropped before it.
+    Kinds of ``SIZE_FIRST`` try all places with the same size band first; others try both at each place. The fallback is resolved once for each
+    distinct (kind, deal, city, district, band), not for each listing: their candidates are exploded into one equi-join and the first in
+    order is taken, and the listings join the answers on those same five values. Buckets that could never be taken are dropped before.
     """
-    rows = rows.withColumn("row of the lookup", F.monotonically_increasing_id())
     deal, district = (F.col("deal") if deal is None else deal), F.nullif(F.col("district") if district is None else district, F.lit(""))
     city, band, none = F.nullif("city", F.lit("")), size_band(), F.lit(None)
     size_first = F.col("kind").isin(*SIZE_FIRST)
     tries = []
     for i, level in enumerate(LEVELS):
-        there = {"district": district.isNotNull(), "city": city.isNotNull(), "national": F.lit(True)}[level]
+        there = {"district": F.col("district").isNotNull(), "city": F.col("city").isNotNull(), "national": F.lit(True)}[level]
         for banded in (True, False):
             order = F.when(size_first, i + (0 if banded else 3)).otherwise(2 * i + (0 if banded else 1))
-            key = F.struct(order.alias("order"), F.lit(level).alias("level"), (none.cast("string") if level == "national" else city).alias("city"), (district if level == "district" else none.cast("string")).alias("district"), (band if banded else none.cast("int")).alias("band"))
-            tries.append(F.when(there & band.isNotNull() if banded else there, key))
-    asked = rows.select("row of the lookup", F.col("kind"), deal.alias("deal"), F.explode(F.array_compact(F.array(*tries))).alias("t")).select("row of the lookup", "kind", "deal", "t.*")
+            key = F.struct(order.alias("order"), F.lit(level).alias("level"), (none.cast("string") if level == "national" else F.col("city")).alias("city"), (F.col("district") if level == "district" else none.cast("string")).alias("district"), (F.col("band") if banded else none.cast("int")).alias("band"))
+            tries.append(F.when(there & F.col("band").isNotNull() if banded else there, key))
+    own = ["kind", "deal", "city", "district", "band"]
+    rows = rows.withColumn("key of the lookup", F.struct(F.col("kind"), deal.alias("deal"), city.alias("city"), district.alias("district"), band.alias("band")))
+    asked = write_table(rows.select("key of the lookup.*").distinct(), "asked")
+    tried = asked.select(F.struct(*own).alias("own"), "kind", "deal", F.explode(F.array_compact(F.array(*tries))).alias("t")).select("own", "kind", "deal", "t.*")
     usable = refs.where(reduce(lambda a, b: a | b, [(F.col("level") == level) & (F.col("n") >= least) for level, least in zip(LEVELS, mins)]))
-    found = asked.alias("a").join(usable.alias("m"), reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"m.{k}")) for k in KEYS]))
-    best = found.groupBy("a.row of the lookup").agg(F.min_by(F.struct(F.col("m.median").alias("median"), F.col("m.n").alias("n"), F.col("a.level").alias("level"), F.col("a.band").alias("band")), F.col("a.order")).alias("r"))
-    out = rows.join(best, "row of the lookup", "left").drop("row of the lookup")
-    return out.withColumns({f"{prefix}{c}": F.col(f"r.{c}") for c in ("median", "n", "level", "band")}).drop("r")
+    found = tried.alias("a").hint("merge").join(usable.alias("m"), _same(KEYS, "a", "m"))
+    best = found.groupBy("a.own").agg(F.min_by(F.struct(F.col("m.median").alias("median"), F.col("m.n").alias("n"), F.col("a.level").alias("level"), F.col("a.band").alias("band")), F.col("a.order")).alias("r"))
+    best = write_table(best.select("own", *[F.col(f"r.{c}").alias(f"{prefix}{c}") for c in ("median", "n", "level", "band")]), "answers")
+    return rows.hint("merge").join(best, F.col("key of the lookup").eqNullSafe(F.col("own")), "left").drop("key of the lookup", "own")
 
 
 def with_discount(rows: DataFrame, local_only: bool = True) -> DataFrame:

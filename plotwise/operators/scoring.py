@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions.pricing import arc_km, clamp, missing_if_zero, ppm2, size_band, total_price
-from plotwise.operators.market import high_plot_refs, high_plots, with_discount, with_high_plot_reference, with_reference
+from plotwise.operators.market import exact_median, high_plot_refs, high_plots, with_discount, with_high_plot_reference, with_reference
 
 UTILITIES = ("electricity", "water", "road")
 
@@ -89,7 +89,7 @@ def location_factor(c: Settings) -> Column:
 def calibrated_rates(rows: DataFrame, c: Settings) -> DataFrame:
     """A4: (rooms, rate, seen): nightly rates from observed per-night listings, blended with the prior and never below it."""
     observed = rows.where((F.col("kind") == "apartment") & (F.col("deal") == "short_term") & ~F.coalesce("abroad", F.lit(False)) & F.col("price_note").isNull() & F.col("price_eur").between(*map(float, c.nightly_range)))
-    per = observed.groupBy(rooms_key().alias("rooms")).agg(F.median(F.col("price_eur") / (0.75 + 0.25 * location_factor(c))).alias("m"), F.count("*").alias("n"))
+    per = exact_median(observed.select(rooms_key().alias("rooms"), (F.col("price_eur") / (0.75 + 0.25 * location_factor(c))).alias("v")), ["rooms"], "v").withColumnRenamed("median", "m")
     prior = rows.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(c.nightly)], "rooms int, prior double")
     n = F.coalesce("n", F.lit(0))
     blended = F.when(n >= c.nightly_least, F.greatest("prior", (n * F.col("m") + c.nightly_weight * F.col("prior")) / (n + c.nightly_weight))).otherwise(F.col("prior"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +109,7 @@ def shared_pins(spark, sf_dir):
 
 
 def _for_dedupe(spark, sf_dir):
-    return listings(spark, sf_dir).where("source <> 'portal' or deal = 'sale'").withColumn("image", F.lit(None).cast("string"))
+    return listings(spark, sf_dir).withColumn("image", F.lit(None).cast("string"))
 
 
 @query
@@ -179,94 +177,85 @@ def elevation_lookup(spark, sf_dir):
     return geo.with_dimension(rows, dimension, 2).select("id", "cell", "cell_elevation")
 
 
-def _below(rows, least, whole):
-    """The ids that the SQL of a query is limited to, or all of them."""
-    return rows if whole else rows.where(F.col("source_no") < least)
-
-
-def _votes(spark, sf_dir, whole=False):
-    """Votes derived from events: purchase and click are up, error is down; the user picks a researcher, the event a listing: one of the
-    first thousand orders, as in the SQL, or with ``whole`` any order of the table."""
+def _votes(spark, sf_dir):
+    """Votes derived from events: purchase and click are up, error is down; the user picks a researcher, the event any order of the table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'click', 'error')")
     rows = listings(spark, sf_dir).select("id", "kind", "city", "district", "area_m2", "price_eur", "source_no")
     own = rows.groupBy("source_no").agg(F.min("id").alias("id"))
     e = e.select("event_id", F.col("ts").alias("at"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("researcher"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("vote"), "event_type", "value")
-    if whole:
-        span = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg((F.max("l_orderkey") + 1).alias("span"))
-        order = F.col("event_id") * oracle.VOTE_STEP % F.col("span")
-        e = e.crossJoin(F.broadcast(span))
-    else:
-        order = F.col("event_id") % 997
+    span = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg((F.max("l_orderkey") + 1).alias("span"))
+    order = F.col("event_id") * oracle.VOTE_STEP % F.col("span")
+    e = e.crossJoin(F.broadcast(span))
     e = e.withColumn("source_no", order * 10 + 1 + F.col("event_id") % 6).drop("span")
     return e.join(own, "source_no").join(rows.drop("source_no"), "id").withColumnRenamed("id", "listing_id")
 
 
 @query
-def latest_vote(spark, sf_dir, whole=False):
-    return feedback.latest(_votes(spark, sf_dir, whole).select("researcher", "listing_id", "vote", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"]).select("researcher", "listing_id", "vote")
+def latest_vote(spark, sf_dir):
+    return feedback.latest(_votes(spark, sf_dir).select("researcher", "listing_id", "vote", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"]).select("researcher", "listing_id", "vote")
 
 
 @query
-def vote_lean(spark, sf_dir, whole=False):
-    counts = feedback.vote_counts(_votes(spark, sf_dir, whole), ["researcher", "city"])
+def vote_lean(spark, sf_dir):
+    counts = feedback.vote_counts(_votes(spark, sf_dir), ["researcher", "city"])
     return rounded(counts.select("researcher", "city", "up", "down", feedback.lean(F.col("up"), F.col("down")).alias("lean")))
 
 
-def _items(spark, sf_dir, whole=False):
-    rows = _below(listings(spark, sf_dir), 9000, whole)
+def _items(spark, sf_dir):
+    rows = listings(spark, sf_dir)
     return rows.select(F.concat(F.lit("r"), (F.col("source_no") % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), (F.col("source_no") % 101 + 0.0).alias("score"), (F.col("source_no") % 3 != 0).alias("qualified"))
 
 
-def _latest_votes(spark, sf_dir, whole=False):
-    return feedback.latest(_votes(spark, sf_dir, whole).select("researcher", "listing_id", "vote", "kind", "city", "district", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"])
+def _latest_votes(spark, sf_dir):
+    return feedback.latest(_votes(spark, sf_dir).select("researcher", "listing_id", "vote", "kind", "city", "district", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"])
 
 
 @query
-def feedback_rerank(spark, sf_dir, whole=False):
-    return rounded(feedback.rerank(_items(spark, sf_dir, whole), _latest_votes(spark, sf_dir, whole)).select("researcher", "id", "score", "delta"))
+def feedback_rerank(spark, sf_dir):
+    return rounded(feedback.rerank(_items(spark, sf_dir), _latest_votes(spark, sf_dir)).select("researcher", "id", "score", "delta"))
 
 
 @query
-def rejection_penalties(spark, sf_dir, whole=False):
-    v = _votes(spark, sf_dir, whole).where("vote < 0")
+def rejection_penalties(spark, sf_dir):
+    v = _votes(spark, sf_dir).where("vote < 0")
     code = F.element_at(F.array(*map(F.lit, ("sml", "big", "loc", "prc", "str"))), (F.col("event_id") % 5 + 1).cast("int"))
     rejections = v.select("researcher", "listing_id", code.alias("reason"), "kind", "city", "district", F.col("area_m2").alias("area"))
-    return rounded(feedback.rejection_penalties(_items(spark, sf_dir, whole), rejections))
+    return rounded(feedback.rejection_penalties(_items(spark, sf_dir), rejections))
 
 
 @query
-def vote_fold(spark, sf_dir, whole=False):
+def vote_fold(spark, sf_dir):
     """D18 over an ordered stream of up, down, ok and clear."""
-    v = _votes(spark, sf_dir, whole)
+    v = _votes(spark, sf_dir)
     name = F.when(F.col("vote") < 0, "down").when(F.col("event_id") % 7 == 0, "clear").when(F.col("event_type") == "purchase", "ok").otherwise("up")
     return feedback.fold_votes(v.select("researcher", "listing_id", name.alias("event"), "at", "event_id"))
 
 
 @query
-def facts_applied(spark, sf_dir, whole=False):
+def facts_applied(spark, sf_dir):
     """A17, J4."""
-    v = _votes(spark, sf_dir, whole).where("vote > 0")
+    v = _votes(spark, sf_dir).where("vote > 0")
     facts = v.select("listing_id", F.when(F.col("event_id") % 2 == 0, "price").otherwise("area").alias("field"), F.col("value").cast("string").alias("value"), F.col("at").alias("set_at"))
-    return _below(feedback.apply_facts(listings(spark, sf_dir), facts), 9000, whole).select("id", "price_eur", "area_m2")
+    return feedback.apply_facts(listings(spark, sf_dir), facts).select("id", "price_eur", "area_m2")
 
 
 @query
-def reviewed_hidden(spark, sf_dir, whole=False):
+def reviewed_hidden(spark, sf_dir):
     """J6 / J7."""
-    down = _latest_votes(spark, sf_dir, whole).where("vote < 0").select("researcher", F.col("listing_id").alias("id"))
-    return _items(spark, sf_dir, whole).join(down, ["researcher", "id"], "left_anti").select("researcher", "id")
+    down = _latest_votes(spark, sf_dir).where("vote < 0").select("researcher", F.col("listing_id").alias("id"))
+    return _items(spark, sf_dir).join(down, ["researcher", "id"], "left_anti").select("researcher", "id")
 
 
 @query
-def known_ids(spark, sf_dir, whole=False):
+def known_ids(spark, sf_dir):
     """J5, SRC5."""
-    return by_ids(listings(spark, sf_dir), _votes(spark, sf_dir, whole).select(F.col("listing_id").alias("id"))).select("id", "kind")
+    return by_ids(listings(spark, sf_dir), _votes(spark, sf_dir).select(F.col("listing_id").alias("id"))).select("id", "kind")
 
 
 @query
-def top_n_per_model(spark, sf_dir, whole=False):
+def top_n_per_model(spark, sf_dir):
     """W1, O1."""
-    return feedback.top_n(_items(spark, sf_dir, whole).where("qualified"), "researcher", [F.desc("score"), F.col("id")], 5).select("researcher", "id", "score", "place")
+    return feedback.top_n(_items(spark, sf_dir).where("qualified"), "researcher", [F.desc("score"), F.col("id")], 5).select("researcher", "id", "score", "place")
 
 
 @query
@@ -368,21 +357,21 @@ def score_auction(spark, sf_dir):
     return rounded(scoring.score_auction(sales, market.market_refs(rows), as_settings(), MINS).select("id", "discount", "appraisal", "score"))
 
 
-def _deals(spark, sf_dir, whole=False):
+def _deals(spark, sf_dir):
     names = F.array(*map(F.lit, ("airbnb", "land", "weekend", "flip", "motivated", "auctions")))
     n = F.col("source_no")
-    return _below(listings(spark, sf_dir), 20000, whole).select("id", "kind", F.col("area_m2").alias("area"), F.element_at(names, (n % 6 + 1).cast("int")).alias("researcher"), (n % 101 + 0.0).alias("score"), (n % 7 != 0).alias("qualified"), F.col("detail_at").isNotNull().alias("has_details"), F.element_at(F.array(*map(F.lit, ("ready", "needs_info", "pending", "ready"))), (n % 4 + 1).cast("int")).alias("status"), (n % 13 == 0).alias("warned"), F.when(n % 3 != 0, "12%").alias("below_market"), (n % 40).alias("comps"), (n % 17 == 0).alias("confirmed_by_owner"), *[F.when((n + k) % 3 == 0, "yes").otherwise("unknown").alias(u) for k, u in enumerate(scoring.UTILITIES)], F.when(n % 3 == 0, "building").when(n % 3 == 1, "agricultural").otherwise("unknown").alias("land_type"))
+    return listings(spark, sf_dir).select("id", "kind", F.col("area_m2").alias("area"), F.element_at(names, (n % 6 + 1).cast("int")).alias("researcher"), (n % 101 + 0.0).alias("score"), (n % 7 != 0).alias("qualified"), F.col("detail_at").isNotNull().alias("has_details"), F.element_at(F.array(*map(F.lit, ("ready", "needs_info", "pending", "ready"))), (n % 4 + 1).cast("int")).alias("status"), (n % 13 == 0).alias("warned"), F.when(n % 3 != 0, "12%").alias("below_market"), (n % 40).alias("comps"), (n % 17 == 0).alias("confirmed_by_owner"), *[F.when((n + k) % 3 == 0, "yes").otherwise("unknown").alias(u) for k, u in enumerate(scoring.UTILITIES)], F.when(n % 3 == 0, "building").when(n % 3 == 1, "agricultural").otherwise("unknown").alias("land_type"))
 
 
 @query
-def rating_tiers(spark, sf_dir, whole=False):
-    return _deals(spark, sf_dir, whole).select("id", "researcher", scoring.rating(F.col("researcher")).alias("rank"))
+def rating_tiers(spark, sf_dir):
+    return _deals(spark, sf_dir).select("id", "researcher", scoring.rating(F.col("researcher")).alias("rank"))
 
 
 @query
-def open_questions(spark, sf_dir, whole=False):
+def open_questions(spark, sf_dir):
     asked = scoring.questions(F.col("researcher"))
-    return _deals(spark, sf_dir, whole).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
+    return _deals(spark, sf_dir).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
 
 
 @query
@@ -394,8 +383,8 @@ def deal_stages(spark, sf_dir):
 
 
 @query
-def exported_items(spark, sf_dir, whole=False):
-    out = stages.export_items(_deals(spark, sf_dir, whole).select("researcher", "id", "score", "qualified"), 300)
+def exported_items(spark, sf_dir):
+    out = stages.export_items(_deals(spark, sf_dir).select("researcher", "id", "score", "qualified"), 300)
     return out.select("researcher", "count", "n_qualified", F.size("items").alias("n_items"), F.get("items", 0)["id"].alias("first_id"))
 
 
@@ -418,32 +407,32 @@ def detail_queue(spark, sf_dir):
 
 
 @query
-def alert_outbox(spark, sf_dir, whole=False):
-    sent = _latest_votes(spark, sf_dir, whole).select(F.lit("flip").alias("researcher"), F.col("listing_id").alias("id")).distinct()
-    return alerts.alert_outbox(_deals(spark, sf_dir, whole), sent).select("researcher", "id", "score", "place")
+def alert_outbox(spark, sf_dir):
+    sent = _latest_votes(spark, sf_dir).select(F.lit("flip").alias("researcher"), F.col("listing_id").alias("id")).distinct()
+    return alerts.alert_outbox(_deals(spark, sf_dir), sent).select("researcher", "id", "score", "place")
 
 
 @query
-def open_leads(spark, sf_dir, whole=False):
-    return alerts.open_leads(_deals(spark, sf_dir, whole))
+def open_leads(spark, sf_dir):
+    return alerts.open_leads(_deals(spark, sf_dir))
 
 
 @query
-def due_steps(spark, sf_dir, whole=False):
+def due_steps(spark, sf_dir):
     n = F.col("source_no")
-    steps = _below(listings(spark, sf_dir), 20000, whole).select("id", F.element_at(F.array(*map(F.lit, ("new", "offer", "won", "dropped"))), (n % 4 + 1).cast("int")).alias("stage"), F.date_add(F.lit(AS_OF).cast("date"), (n % 400 - 200).cast("int")).alias("due"))
+    steps = listings(spark, sf_dir).select("id", F.element_at(F.array(*map(F.lit, ("new", "offer", "won", "dropped"))), (n % 4 + 1).cast("int")).alias("stage"), F.date_add(F.lit(AS_OF).cast("date"), (n % 400 - 200).cast("int")).alias("due"))
     return alerts.due_steps(steps, AS_OF).withColumn("due", F.col("due").cast("string"))
 
 
 @query
-def bare_downvotes(spark, sf_dir, whole=False):
-    v = _votes(spark, sf_dir, whole)
-    return alerts.bare_downvotes(_latest_votes(spark, sf_dir, whole), v.where("vote < 0 and event_id % 2 = 0"))
+def bare_downvotes(spark, sf_dir):
+    v = _votes(spark, sf_dir)
+    return alerts.bare_downvotes(_latest_votes(spark, sf_dir), v.where("vote < 0 and event_id % 2 = 0"))
 
 
 @query
-def learning_suggestions(spark, sf_dir, whole=False):
-    v = _votes(spark, sf_dir, whole).where("vote < 0")
+def learning_suggestions(spark, sf_dir):
+    v = _votes(spark, sf_dir).where("vote < 0")
     return rounded(alerts.suggestions(v.select("researcher", F.when(F.col("event_id") % 2 == 0, "sml").otherwise("loc").alias("reason"), F.col("area_m2").alias("area"))))
 
 
@@ -526,16 +515,10 @@ def page_cards(spark, sf_dir):
 
 
 @query
-def stream_daily_counts(spark, sf_dir, late="1 day"):
-    """The days that are final, as in the SQL."""
-    e = jobs.read_stream(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return jobs.daily_counts(e, "ts", "event_type", late)
-
-
-@query
-def stream_daily_counts_whole(spark, sf_dir):
+def stream_daily_counts(spark, sf_dir):
     """All days, the last ones too."""
-    return stream_daily_counts(spark, sf_dir, None)
+    e = jobs.read_stream(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return jobs.daily_counts(e, "ts", "event_type", None)
 
 
 @query
@@ -548,7 +531,3 @@ def stream_alerts_once(spark, sf_dir):
 def stream_price_changes(spark, sf_dir):
     e = jobs.read_stream(spark, f"{sf_dir}/events.parquet")
     return rounded(jobs.price_change_stream(e.select(F.col("user_id").cast("string").alias("listing_id"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("value").alias("price_eur"))))
-
-
-#: The queries above that their SQL limits to the first ids, over every listing, and with votes on any of them.
-QUERIES.update({f"{name}_whole": partial(QUERIES[name], whole=True) for name in oracle.LIMITED})

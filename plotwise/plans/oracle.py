@@ -75,14 +75,14 @@ SQL["rate_calibration"] = f"{L}, N as (select {_ROOMS} as rooms, median(price_eu
 SQL["real_age"] = f"{L} select id, case when source = 'ads' then cast(floor(((select max(source_no) from L where source = 'ads') - source_no) / 975e0) as bigint) end as id_age_days from L"
 SQL["shared_pins"] = f"{L} select round(lat, 4) as lat, round(lng, 4) as lng, count(*) as n, 4 as digits from L where lat <> 0 and lng <> 0 group by 1, 2 having count(*) > 5 union all select round(lat, 5), round(lng, 5), count(*), 5 from L where lat <> 0 and lng <> 0 group by 1, 2 having count(*) > 3"
 _W = lambda t: f"list_distinct(list_filter(string_split(lower({t}), ' '), lambda w: length(w) >= 3))"
-DUP = f"""{L}, D as (select * from P where (source <> 'portal' or deal = 'sale') and nullif(tp, 0) is not null and area_m2 <> 0),
+DUP = f"""{L}, D as (select * from P where nullif(tp, 0) is not null and area_m2 <> 0),
 E as (select a.id as a, b.id as b from D a join D b on a.kind = b.kind and a.deal = b.deal and a.city is not distinct from b.city and (b.tp > a.tp or b.tp = a.tp and b.id > a.id) and b.tp <= a.tp * 1.01 and abs(a.area_m2 - b.area_m2) <= 0.03 * a.area_m2
 where not coalesce(a.district <> b.district, false) and case when a.source <> b.source then a.deal = 'sale' or coalesce(a.district = b.district, false)
 else (a.deal = 'sale' and a.tp >= 30000 and a.district is not null and b.district is not null) or len(list_intersect({_W('a.title')}, {_W('b.title')})) * 1.0 / len(list_distinct(list_concat({_W('a.title')}, {_W('b.title')}))) >= 0.5 end)"""
 SQL["dedupe_pairs"] = f"{DUP} select a, b from E"
 CLUSTERS = DUP.replace("with L as", "with recursive L as", 1) + ", U as (select a as x, b as y from E union select b, a from E), T as (select distinct x as node, x as root from U union select U.y, T.root from T join U on U.x = T.node), C as (select node as id, min(root) as cluster from T group by 1)"
 SQL["dedupe_clusters"] = f"{CLUSTERS} select id, cluster from C"
-SQL["dedupe_survivors"] = f"{CLUSTERS}, S as (select P.*, coalesce(C.cluster, P.id) as k from P left join C using (id) where source <> 'portal' or deal = 'sale'), O as (select id, row_number() over (partition by k order by detail_at is null, source <> 'ads', source_no, id) as r, count(*) over (partition by k) - 1 as duplicates from S) select id, duplicates from O where r = 1"
+SQL["dedupe_survivors"] = f"{CLUSTERS}, S as (select P.*, coalesce(C.cluster, P.id) as k from P left join C using (id)), O as (select id, row_number() over (partition by k order by detail_at is null, source <> 'ads', source_no, id) as r, count(*) over (partition by k) - 1 as duplicates from S) select id, duplicates from O where r = 1"
 SQL["exact_copies_first"] = f"{L}, M as (select kind, city, cast(floor(price_eur / 100) as bigint) as price_step, area_m2, id, source_no, row_number() over (partition by kind, city, floor(price_eur / 100), area_m2 order by source_no) as r, count(*) over (partition by kind, city, floor(price_eur / 100), area_m2) as copies from L) select kind, city, price_step, area_m2, id, copies from M where r = 1"
 TOWNS = "TW as (select 'NATION_' || cast(i as varchar) as town, 41 + i * 0.05e0 as tlat, 20.5e0 + i * 0.1e0 as tlng from range(25) t(i))"
 SQL["refile_nearest_town"] = f"{L}, {TOWNS}, K as (select id, L.city as filed, town, {km('lat', 'lng', 'tlat', 'tlng')} as d from L cross join TW where lat <> 0), Z as (select id, filed, min_by(town, d) as near, min(d) as dn, max(case when town = filed then d end) as df from K group by 1, 2) select id, case when dn <= 60 then near end as city, filed as city_form from Z where df > 40"
@@ -92,14 +92,16 @@ SQL["gazetteer_first_hit"] = f"{HITS} select id, name, pos from H1"
 SQL["pin_against_place"] = f"{HITS}, PD as (select L.id, nullif(lat, 0) as la, nullif(lng, 0) as ln, plat, plng, coalesce({km('nullif(lat, 0)', 'nullif(lng, 0)', 'plat', 'plng')} > 40, false) as far from L left join H1 using (id)) select id, round(case when far then plat else la end, 4) as lat, round(case when far then plng else ln end, 4) as lng, far as pin_dropped from PD"
 _CELL = "cast(cast(floor(lat * 100e0 + 0.5) as bigint) as varchar) || ',' || cast(cast(floor(lng * 100e0 + 0.5) as bigint) as varchar)"
 SQL["elevation_lookup"] = f"{L}, X as (select {_CELL} as cell, max(elevation) as cell_elevation from L where lat <> 0 group by 1 having max(elevation) < 1590) select id, case when lat <> 0 then {_CELL} end as cell, cell_elevation from L left join X on X.cell = case when lat <> 0 then {_CELL} end"
-VOTES = f"{L}, OWN as (select source_no, min(id) as id from L group by 1), V as (select e.event_id, e.ts as ts, 'r' || cast(e.user_id % 4 as varchar) as researcher, case when e.event_type = 'error' then -1 else 1 end as vote, e.event_type, e.value, l.id as listing_id, l.kind, l.city, l.district, l.area_m2 from events e join OWN on OWN.source_no = (e.event_id % 997) * 10 + 1 + e.event_id % 6 join L l on l.id = OWN.id where e.event_type in ('purchase', 'click', 'error')), LV as (select * from (select *, row_number() over (partition by researcher, listing_id order by ts desc, event_id desc) as r from V) where r = 1)"
+#: A prime step through the order numbers: events in turn meet all orders before any comes again.
+VOTE_STEP = 7919
+VOTES = f"{L}, MX as (select max(l_orderkey) + 1 as span from lineitem), OWN as (select source_no, min(id) as id from L group by 1), V as (select e.event_id, e.ts as ts, 'r' || cast(e.user_id % 4 as varchar) as researcher, case when e.event_type = 'error' then -1 else 1 end as vote, e.event_type, e.value, l.id as listing_id, l.kind, l.city, l.district, l.area_m2 from events e cross join MX join OWN on OWN.source_no = (e.event_id * {VOTE_STEP} % MX.span) * 10 + 1 + e.event_id % 6 join L l on l.id = OWN.id where e.event_type in ('purchase', 'click', 'error')), LV as (select * from (select *, row_number() over (partition by researcher, listing_id order by ts desc, event_id desc) as r from V) where r = 1)"
 SQL["latest_vote"] = f"{VOTES} select researcher, listing_id, vote from LV"
 SQL["vote_lean"] = f"{VOTES}, Y as (select researcher, city, count(*) filter (vote > 0) as up, count(*) filter (vote < 0) as down from V group by 1, 2) select researcher, city, up, down, round((up - down) * 1e0 / (up + down + 3), 4) as lean from Y"
-ITEMS = "I as (select 'r' || cast(source_no % 4 as varchar) as researcher, id, kind, city, district, area_m2 as area, source_no % 101 + 0e0 as score, source_no % 3 <> 0 as qualified from L where source_no < 9000)"
+ITEMS = "I as (select 'r' || cast(source_no % 4 as varchar) as researcher, id, kind, city, district, area_m2 as area, source_no % 101 + 0e0 as score, source_no % 3 <> 0 as qualified from L)"
 _lean = lambda c: f"(select (count(*) filter (v.vote > 0) - count(*) filter (v.vote < 0)) * 1e0 / (count(*) + 3) from LV v where v.researcher = i.researcher and v.listing_id <> i.id and {c})"
 SQL["feedback_rerank"] = f"{VOTES}, {ITEMS}, DL as (select i.*, 10 * {_lean('v.district = i.district and v.city = i.city')} + 5 * {_lean('v.city = i.city')} + 5 * {_lean('v.kind = i.kind')} as delta from I i where not exists (select 1 from LV d where d.researcher = i.researcher and d.listing_id = i.id and d.vote < 0)) select researcher, id, round(case when abs(delta) >= 2 then least(100.0, greatest(0.0, round_even(score + delta, 0))) else score end, 4) as score, round(delta, 4) as delta from DL"
 SQL["vote_fold"] = f"{VOTES}, EV as (select researcher, listing_id, ts, event_id, case when vote < 0 then 'down' when event_id % 7 = 0 then 'clear' when event_type = 'purchase' then 'ok' else 'up' end as event from V), LD as (select researcher, listing_id, max_by(event, (ts, event_id)) as last from EV group by 1, 2), DN as (select researcher, listing_id, max((ts, event_id)) as d from EV where event = 'down' group by 1, 2), PS as (select e.researcher, e.listing_id, min(e.ts) as since from EV e left join DN using (researcher, listing_id) where e.event in ('up', 'ok') and (DN.d is null or (e.ts, e.event_id) > DN.d) group by 1, 2) select researcher, listing_id, case when last in ('up', 'ok') then 1 when last = 'down' then -1 end as vote, last = 'down' as rejected, last = 'ok' as confirmed, since as pipeline_since from LD left join PS using (researcher, listing_id)"
-SQL["facts_applied"] = f"{VOTES}, FT as (select listing_id, case when event_id % 2 = 0 then 'price' else 'area' end as field, value, ts from V where vote > 0), FL as (select listing_id, max_by(value, ts) filter (field = 'price') as p, max_by(value, ts) filter (field = 'area') as a from FT group by 1) select id, (coalesce(p, price_eur)) as price_eur, (coalesce(a, area_m2)) as area_m2 from L left join FL on FL.listing_id = L.id where source_no < 9000"
+SQL["facts_applied"] = f"{VOTES}, FT as (select listing_id, case when event_id % 2 = 0 then 'price' else 'area' end as field, value, ts from V where vote > 0), FL as (select listing_id, max_by(value, ts) filter (field = 'price') as p, max_by(value, ts) filter (field = 'area') as a from FT group by 1) select id, (coalesce(p, price_eur)) as price_eur, (coalesce(a, area_m2)) as area_m2 from L left join FL on FL.listing_id = L.id"
 SQL["reviewed_hidden"] = f"{VOTES}, {ITEMS} select researcher, id from I i where not exists (select 1 from LV d where d.researcher = i.researcher and d.listing_id = i.id and d.vote < 0)"
 SQL["known_ids"] = f"{VOTES} select id, kind from L where id in (select listing_id from V)"
 SQL["top_n_per_model"] = f"{L}, {ITEMS}, RN as (select researcher, id, score, row_number() over (partition by researcher order by score desc, id) as place from I where qualified) select researcher, id, score, place from RN where place <= 5"
@@ -132,7 +134,7 @@ SQL["score_auction"] = f"""{REFS}, A as (select *, source_no % 12 - 2 as days, s
 A1 as (select * from A where days >= 0 and tp >= 1000 and tp <= case when kind = 'land' then 170000 else 80000 end), A2 as (select *, cast(null as varchar) as no_district from A1), F as ({lookup('A2', "'sale'", 'no_district')}),
 S as (select A2.*, case when F.ref_level <> 'national' then 1 - sv / F.ref_median end as discount from A2 left join F using (id))
 select id, round(discount, 4) as discount, round(tp * case turn when 2 then 1.5 when 3 then 2.0 else 1.0 end, 4) as appraisal, round(100 * {c01(f'''0.55 * {c01('(coalesce(discount, 0) + 0.05) / 0.45')} + 0.15 * (turn - 1) / 2.0 + 0.15 * case when discount is not null then 1.0 else 0.3 end + 0.15 * case when days >= 3 then 1.0 else 0.6 end''')}, 4) as score from S where discount is null or discount >= -0.30"""
-_DEALS = f"{L}, DE as (select *, ['airbnb', 'land', 'weekend', 'flip', 'motivated', 'auctions'][source_no % 6 + 1] as researcher, source_no % 101 as sc, source_no % 7 <> 0 as qualified, detail_at is not null as det, ['ready', 'needs_info', 'pending', 'ready'][source_no % 4 + 1] as st, source_no % 13 = 0 as warned, source_no % 3 <> 0 as below, source_no % 40 as comps, source_no % 17 = 0 as okd from L where source_no < 20000)"
+_DEALS = f"{L}, DE as (select *, ['airbnb', 'land', 'weekend', 'flip', 'motivated', 'auctions'][source_no % 6 + 1] as researcher, source_no % 101 as sc, source_no % 7 <> 0 as qualified, detail_at is not null as det, ['ready', 'needs_info', 'pending', 'ready'][source_no % 4 + 1] as st, source_no % 13 = 0 as warned, source_no % 3 <> 0 as below, source_no % 40 as comps, source_no % 17 = 0 as okd from L)"
 SQL["rating_tiers"] = f"{_DEALS}, T0 as (select *, case when sc >= 90 then 0 when sc >= 80 then 1 when sc >= 70 then 2 when sc >= 55 then 3 else 4 end as r0, researcher in ('land', 'weekend', 'flip', 'auctions') as mk from DE), T1 as (select *, case when r0 < 2 and not (qualified and det and st not in ('needs_info', 'pending') and not warned and (not mk or below)) then 2 else r0 end as r1 from T0), T2 as (select *, case when (mk or researcher = 'airbnb') and r1 = 0 and comps < 30 then 1 else r1 end as r2 from T1), T3 as (select *, case when (mk or researcher = 'airbnb') and r2 = 1 and comps < 15 then 2 else r2 end as r3 from T2) select id, researcher, case when not qualified then greatest(r3, 3) else r3 end as rank from T3"
 _ask = lambda k, u: f"case when kind = 'land' and (source_no + {k}) % 3 <> 0 then '{u}' end"
 SQL["open_questions"] = f"{_DEALS}, QS as (select *, case when det then concat_ws(',', {_ask(0, 'electricity')}, {_ask(1, 'water')}, {_ask(2, 'road')}, case when kind = 'land' then case source_no % 3 when 2 then 'building_land' when 1 then 'rezoning' end end) else '' end as questions from DE) select id, questions, case when okd then 'confirmed' when questions <> '' and sc >= 45 then 'needs_info' when not qualified and questions = '' then 'pending' else 'ready' end as deal_status from QS"
@@ -154,7 +156,7 @@ SQL["detail_queue"] = f"{_PRIO}, Q1 as (select id, priority from PR where detail
 _SENT = VOTES + ", DE as " + _DEALS.split(", DE as ", 1)[1]
 SQL["alert_outbox"] = f"{_SENT}, OB as (select researcher, id, sc + 0e0 as score, row_number() over (partition by researcher order by sc desc, id) as place from DE where sc >= 60 and qualified and st <> 'needs_info' and not (researcher = 'flip' and id in (select listing_id from LV))) select researcher, id, score, place from OB where place <= 5"
 SQL["open_leads"] = f"{_DEALS} select id, researcher, sc + 0e0 as score from DE where st = 'needs_info' order by sc desc, id limit 5"
-SQL["due_steps"] = f"{L}, ST as (select id, ['new', 'offer', 'won', 'dropped'][source_no % 4 + 1] as stage, cast(date '{AS_OF}' + cast(source_no % 400 - 200 as int) as date) as due from L where source_no < 20000) select id, stage, cast(due as varchar) as due from ST where due <= date '{AS_OF}' and stage not in ('won', 'dropped') order by due, id limit 15"
+SQL["due_steps"] = f"{L}, ST as (select id, ['new', 'offer', 'won', 'dropped'][source_no % 4 + 1] as stage, cast(date '{AS_OF}' + cast(source_no % 400 - 200 as int) as date) as due from L) select id, stage, cast(due as varchar) as due from ST where due <= date '{AS_OF}' and stage not in ('won', 'dropped') order by due, id limit 15"
 SQL["bare_downvotes"] = f"{VOTES} select researcher, listing_id from LV d where vote < 0 and not exists (select 1 from V where V.vote < 0 and V.event_id % 2 = 0 and V.researcher = d.researcher and V.listing_id = d.listing_id)"
 SQL["learning_suggestions"] = f"{VOTES}, SG as (select researcher, case when event_id % 2 = 0 then 'sml' else 'loc' end as reason, count(*) as n, median(area_m2) as md from V where vote < 0 group by 1, 2) select researcher, reason, n, round(case when reason = 'sml' then round_even(md / 5, 0) * 5 + 5 end, 4) as suggested from SG where n >= 3"
 SQL["rejection_penalties"] = f"""{VOTES}, {ITEMS}, RJ as (select researcher, listing_id, ['sml', 'big', 'loc', 'prc', 'str'][event_id % 5 + 1] as reason, kind, city, district, area_m2 as area from V where vote < 0),
@@ -170,27 +172,6 @@ N2 as (select *, now <> coalesce(lag(now) over (partition by listing_id order by
 N3 as (select *, (select coalesce(max((m.ts, m.event_id)), (timestamp '1900-01-01', 0)) from N2 m where m.listing_id = N2.listing_id and m.moved) as since from N2 where back = 1)
 select listing_id, now as stage, coalesce((select max_by(t.typed, (t.ts, t.event_id)) from EV t where t.listing_id = N3.listing_id and t.typed is not null and (t.ts, t.event_id) >= N3.since), case when listing_id % 3 = 0 then {_step(NEXT_STEP_AUCTION)} end, {_step(NEXT_STEP)}) as next_step, now <> 'dropped' as active from N3"""
 SQL["exported_items"] = f"{_DEALS}, RK as (select *, row_number() over (partition by researcher order by qualified desc, sc desc, id) as place from DE) select researcher, count(*) as count, count(*) filter (qualified) as n_qualified, count(*) filter (place <= 300) as n_items, min(id) filter (place = 1) as first_id from RK group by 1"
-SQL["stream_daily_counts"] = "with D as (select date_trunc('day', ts) as day, event_type, count(*) as n from events group by 1, 2) select cast(day as timestamp) as day, event_type, n from D where day + interval 1 day <= (select max(ts) from events) - interval 1 day"
+SQL["stream_daily_counts"] = "select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n from events group by 1, 2"
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
-
-#: Queries over the first ids or votes alone; each has a twin over the whole tables, NAME_whole.
-LIMITED = tuple(
-    "rating_tiers open_questions exported_items alert_outbox open_leads due_steps feedback_rerank rejection_penalties reviewed_hidden top_n_per_model facts_applied "
-    "latest_vote vote_lean vote_fold known_ids bare_downvotes learning_suggestions".split()
-)
-#: A prime step through the order numbers: events in turn meet all orders before any comes again.
-VOTE_STEP = 7919
-
-
-def _whole(sql: str) -> str:
-    for limited, whole in (
-        (" where source_no < 9000", ""), (" where source_no < 20000", ""), (", OWN as (", ", MX as (select max(l_orderkey) + 1 as span from lineitem), OWN as ("),
-        ("from events e join OWN", "from events e cross join MX join OWN"), ("(e.event_id % 997) * 10", f"(e.event_id * {VOTE_STEP} % MX.span) * 10"),
-    ):
-        sql = sql.replace(limited, whole)
-    return sql
-
-
-SQL.update({f"{name}_whole": _whole(SQL[name]) for name in LIMITED})
-SQL["stream_daily_counts_whole"] = "select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n from events group by 1, 2"

@@ -36,6 +36,10 @@ def test_exact_median_is_the_trimmed_one(spark):
         v = sorted(x for y, x in rows if y == k)
         cut = len(v) // 10 if len(v) >= 10 else 0
         assert got[k] == (median(v[cut : len(v) - cut]), len(v))
+    narrowed = exact_median(spark.createDataFrame(rows + [("a", 1e9), ("c", None), ("d", 3.0), ("d", 4.0)], "k string, v double"), ["k"], "v", few=3, parts=4, upper=True)
+    for r in narrowed.collect():
+        v = sorted([x for y, x in rows if y == r.k] + ([1e9] if r.k == "a" else []) + ([3.0, 4.0] if r.k == "d" else []))
+        assert (r.median, r.n) == (v[len(v) // 2], len(v)) and r.k != "c"
 
 
 def test_upper_median_of_sizes(spark):
