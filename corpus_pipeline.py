@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotwise.llm.edit_dups import near_duplicate_documents
 from plotwise.llm.packing import pack_documents
 from plotwise.llm.personal_data import find_personal_data, masked
-from plotwise.llm.quality import fit_quality, graded, score_quality
+from plotwise.llm.quality import fit_quality, graded, quoted, score_quality
 from plotwise.llm.wordtok import default_tokenizer
 from plotwise.scratch import write_table
 
@@ -18,14 +18,22 @@ def _key(text_md5: Column) -> Column:
     return F.concat_ws(":", text_md5, F.col("doc_id").cast("string"))
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
 def _own_key() -> Column:
     return _key(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade (clean) is high enough; rows and columns are otherwise as they were."""
+    """Documents whose probability of the top grade (clean) is high enough; rows and columns are otherwise as they were.
+
+    As in all stages: null texts count as empty, rows that repeat an id are separate, column names may hold any sign and further columns go
+    through untouched, and an empty table gives an empty table.
+    """
     model = fit_quality(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), 3)
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select("text", F.struct(*_columns(docs)).alias("row"))
     return score_quality(rows, model, ["row"]).where("kept").select("row.*")
 
 
@@ -33,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near duplicates; of rows that repeat id and text, one."""
     kept = write_table(near_duplicate_documents(docs).where("kept").select(_key(F.col("text_md5")).alias("key of the row")), "kept")
     keyed = docs.withColumn("key of the row", _own_key())
-    return keyed.hint("merge").join(kept, "key of the row", "left_semi").dropDuplicates(["key of the row"]).drop("key of the row").select(*docs.columns)
+    return keyed.hint("merge").join(kept, "key of the row", "left_semi").dropDuplicates(["key of the row"]).drop("key of the row").select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     done = keyed.withColumn("text", F.when(F.col("spans of the row").isNotNull(), masked(F.col("text"), F.col("spans of the row"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("spans of the row").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return done.select(*_columns(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from plotwise.llm.wordtok import per_text, text_slices
 
@@ -171,18 +172,23 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel, least: float)
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), kept], names=[*rest, "quality_score", "expected_grade", "tail_probability", "kept"])
 
 
-MADE = "quality_score double, expected_grade double, tail_probability double, kept boolean"
+MADE = StructType([StructField(n, DoubleType()) for n in ("quality_score", "expected_grade", "tail_probability")] + [StructField("kept", BooleanType())])
+
+
+def quoted(name: str) -> str:
+    """A column name that is taken as it is, dots and blanks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, columns: list[str], least: float = 0.4, text_col: str = "text") -> DataFrame:
     """``columns`` of every row with quality_score, expected_grade, tail_probability and kept (tail_probability of ``least`` or more).
 
-    Rows are scored where they are; a column of docs with one of the four names is replaced. Null texts count as empty; empty texts
+    Rows are scored where they are; a column of docs with one of the four names is replaced; any other column name is legal. Null texts count as empty; empty texts
     get the score of a text without words; an empty table gives an empty table.
     """
-    columns = [c for c in columns if c not in ("quality_score", "expected_grade", "tail_probability", "kept")]
-    rows = docs.select(F.col(text_col).cast("string").alias("text of the row"), *columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), MADE])
+    columns = [c for c in columns if c not in MADE.fieldNames()]
+    rows = docs.select(F.col(text_col).cast("string").alias("text of the row"), *[F.col(quoted(c)) for c in columns])
+    schema = StructType([*rows.schema.fields[1:], *MADE.fields])
     return rows.mapInArrow(partial(_score, model=model, least=least), schema)
 
 
