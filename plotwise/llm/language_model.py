@@ -11,8 +11,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,86 +54,58 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-@dataclass
-class Trie:
-    """Counts of (context, symbol) keys, sorted, for each context length 0 ... order; and of each context its total, its number of
-    distinct successors, and the total that these have in the context one byte shorter."""
-
-    order: int
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    contexts: list[np.ndarray]
-    totals: list[np.ndarray]
-    distinct: list[np.ndarray]
-    shorter: list[np.ndarray]
-
-    @staticmethod
-    def of(order: int, keys: np.ndarray, counts: np.ndarray) -> Trie:
-        levels = {order: summed(keys, counts)}
-        for k in range(order - 1, -1, -1):
-            more = levels[k + 1]
-            levels[k] = summed(more[0] & ((1 << 8 * (k + 1)) - 1), more[1])
-        t = Trie(order, [], [], [], [], [], [])
-        for k in range(order + 1):
-            key, n = levels[k]
-            own = key >> 8
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-            sums = (lambda x, first=first: np.add.reduceat(x, first) if len(first) else x[:0])
-            below = np.zeros(len(key), np.int64)
-            if k:
-                below = t.counts[k - 1][np.searchsorted(t.keys[k - 1], key & ((1 << 8 * k) - 1))]
-            for held, x in zip((t.keys, t.counts, t.contexts, t.totals, t.distinct, t.shorter), (key, n, own[first], sums(n), sums(np.ones(len(key), np.int64)), sums(below))):
-                held.append(x)
-        return t
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each key after the bytes before it."""
-        out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
-        gone, gone_total = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for k in range(self.order, -1, -1):
-            key = keys & ((1 << 8 * (k + 1)) - 1)
-            if not len(self.contexts[k]):
-                continue
-            node = np.minimum(np.searchsorted(self.contexts[k], key >> 8), len(self.contexts[k]) - 1)
-            known = open_ & (self.contexts[k][node] == key >> 8)
-            left = self.distinct[k][node] - gone
-            known &= left > 0
-            room = (self.totals[k][node] - gone_total + left).astype(float)
-            at = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
-            hit = known & (self.keys[k][at] == key)
-            out[hit] += np.log10(self.counts[k][at[hit]] / room[hit])
-            open_ &= ~hit
-            miss = known & ~hit
-            out[miss] += np.log10(left[miss] / room[miss])
-            # what the context has seen is excluded from the shorter one, where it has this total
-            gone = np.where(miss, self.distinct[k][node], gone)
-            gone_total = np.where(miss, self.shorter[k][node], np.where(k > 0, self._suffix_total(k, keys, gone_total, gone, miss), gone_total))
-        out[open_] -= np.log10(np.maximum(256 - gone[open_], 1))
-        return out
+def gram_chances(grams: DataFrame, order: int) -> DataFrame:
+    """(gram, chance, seen): the log10 probability of the last byte of every key of ``grams`` (gram, n, seen) after the ``order`` bytes before it.
 
-    def _suffix_total(self, k: int, keys: np.ndarray, total: np.ndarray, gone: np.ndarray, miss: np.ndarray) -> np.ndarray:
-        """The total, one context further down, of the symbols that are excluded where the context itself adds none: it has seen the same
-        symbols as the longer one, so its own total stands for them."""
-        key = keys & ((1 << 8 * (k + 1)) - 1)
-        node = np.minimum(np.searchsorted(self.contexts[k], key >> 8), len(self.contexts[k]) - 1)
-        same = ~miss & (gone > 0) & (self.contexts[k][node] == key >> 8)
-        return np.where(same, self.shorter[k][node], total)
+    ``n`` is the count in training texts and may be 0, ``seen`` goes through. The trie is a table of (context, symbol) counts for each context
+    length, and each key goes down from the longest context to the one that has its symbol, by joins on the context and on the key, for
+    as long as it is not found. Tables of contexts of two bytes and fewer, and of keys of two, have 65,536 rows at most and are broadcast.
+    """
+    mask = lambda k: (1 << 8 * (k + 1)) - 1
+    levels = {order: grams.where("n > 0").select(F.col("gram").alias("key"), "n")}
+    for k in range(order - 1, -1, -1):
+        levels[k] = write_table(levels[k + 1].groupBy(F.col("key").bitwiseAND(F.lit(mask(k))).alias("key")).agg(F.sum("n").alias("n")), "level")
+    sent = lambda table, size: F.broadcast(table) if size <= 2 else table.hint("merge")
+    rows = grams.withColumns({"out": F.lit(0.0), "open": F.lit(True), "gone": F.lit(0).cast("long"), "gone_total": F.lit(0).cast("long")})
+    done = []
+    for k in range(order, -1, -1):
+        symbols = levels[k].withColumn("context", F.shiftright("key", 8))
+        if k:
+            shorter = sent(levels[k - 1].select(F.col("key").alias("tail"), F.col("n").alias("below")), k)
+            symbols = symbols.withColumn("tail", F.col("key").bitwiseAND(F.lit(mask(k - 1)))).join(shorter, "tail")
+        else:
+            symbols = symbols.withColumn("below", F.lit(0).cast("long"))
+        contexts = symbols.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("below").alias("shorter"))
+        contexts, hits = write_table(contexts, "contexts"), levels[k].select("key", F.col("n").alias("count"))
+        own = rows.withColumn("key", F.col("gram").bitwiseAND(F.lit(mask(k)))).withColumn("context", F.shiftright("key", 8))
+        own = own.join(sent(contexts, k), "context", "left").join(sent(hits, k + 1), "key", "left")
+        left = F.col("distinct") - F.col("gone")
+        known = F.coalesce(left > 0, F.lit(False))
+        room = F.col("total") - F.col("gone_total") + left
+        hit, miss = known & F.col("count").isNotNull(), known & F.col("count").isNull()
+        gone = F.when(miss, F.col("distinct")).otherwise(F.col("gone"))
+        # what a context has seen is excluded from the shorter one; a context that adds no symbol to the longer one has that total there too
+        total = F.when(miss | (~miss & (F.col("gone") > 0) & F.col("distinct").isNotNull()), F.col("shorter")).otherwise(F.col("gone_total"))
+        out = F.col("out") + F.when(hit, F.log10(F.col("count") / room)).when(miss, F.log10(left / room)).otherwise(0.0)
+        own = write_table(own.select("gram", "seen", "n", out.alias("out"), (~hit).alias("open"), gone.alias("gone"), total.alias("gone_total")), "chances")
+        done.append(own.where("not open").select("gram", F.col("out").alias("chance"), "seen"))
+        rows = own.where("open")
+    done.append(rows.select("gram", (F.col("out") - F.log10(F.greatest(256 - F.col("gone"), F.lit(1)))).alias("chance"), "seen"))
+    return reduce(lambda x, y: x.unionByName(y), done)
 
 
 class GramTable:
-    """log10 probabilities of the trie's own longest keys in an open-addressed table; other keys are worked out from the trie once each."""
+    """Values of byte keys in an open-addressed table."""
 
-    def __init__(self, trie: Trie):
-        self.trie = trie
-        keys = trie.keys[trie.order]
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(10, int(2 * len(keys) + 1).bit_length())
-        self.slots, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        place, left, value = self._slot(keys), np.arange(len(keys)), trie.log10(keys)
+        self.slots, self.value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, np.nan)
+        place, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = self.slots[place] == -1
             took = np.unique(place[free], return_index=True)[1]
             mine = np.flatnonzero(free)[took]
-            self.slots[place[mine]], self.value[place[mine]] = keys[left[mine]], value[left[mine]]
+            self.slots[place[mine]], self.value[place[mine]] = keys[left[mine]], values[left[mine]]
             rest = np.ones(len(left), bool)
             rest[mine] = False
             left, place = left[rest], (place[rest] + 1) & (len(self.slots) - 1)
@@ -142,68 +113,74 @@ class GramTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; not a number where the table lacks a key."""
         place = self._slot(keys)
         found = self.slots[place]
-        out = self.value[place].astype(np.float64)
-        left = np.flatnonzero(found != keys)
+        out = self.value[place]
+        left = np.flatnonzero((found != keys) & (found != -1))
         while len(left):
-            gone = self.slots[place[left]] == -1
-            if gone.any():
-                lost, back = np.unique(keys[left[gone]], return_inverse=True)
-                out[left[gone]] = self.trie.log10(lost)[back]
-                left = left[~gone]
             place[left] = (place[left] + 1) & (len(self.slots) - 1)
-            hit = self.slots[place[left]] == keys[left]
-            out[left[hit]] = self.value[place[left[hit]]]
-            left = left[~hit]
+            found = self.slots[place[left]]
+            out[left] = self.value[place[left]]
+            left = left[(found != keys[left]) & (found != -1)]
         return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch], order: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (word, gram, n): counts of the words and of the byte grams of a task's training texts, added up before they leave it."""
+    """Rows (word, gram, n, seen): counts of the words of a task's training texts, and of the byte grams of its training texts (n) and of all
+    its texts (seen), added up before they leave it."""
     words: dict[str, int] = {}
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
 
-    def rows(word: list, gram: np.ndarray, n) -> Iterator[pa.RecordBatch]:
-        total = len(word) + len(gram)
-        for lo in range(0, total, 100_000):
-            w = word[lo : lo + 100_000]
-            g = gram[max(0, lo - len(word)) : max(0, lo + 100_000 - len(word))]
-            yield pa.RecordBatch.from_arrays([pa.array([*w, *[None] * len(g)], pa.string()), pa.array([None] * len(w) + g.tolist(), pa.int64()), pa.array(n[lo : lo + 100_000], pa.int64())], names=["word", "gram", "n"])
+    def rows(word: dict, gram: np.ndarray, both: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, n = list(word), np.fromiter(word.values(), np.int64, len(word))
+        for lo in range(0, len(names), 100_000):
+            part = n[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 100_000], pa.string()), pa.nulls(len(part), pa.int64()), pa.array(part), pa.array(part)], names=["word", "gram", "n", "seen"])
+        for lo in range(0, len(gram), 100_000):
+            part = gram[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.string()), pa.array(part), *[pa.array(both[lo : lo + 100_000, c].copy()) for c in (0, 1)]], names=["word", "gram", "n", "seen"])
 
     for batch in batches:
         for lo, to in text_slices(batch.column(0)):
-            low = pc.ascii_lower(batch.column(0).slice(lo, to - lo))
-            coded = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(low)))
-            for w, n in zip(coded.field("values").to_numpy(zero_copy_only=False), coded.field("counts").to_numpy().tolist()):
-                if w:
-                    words[w] = words.get(w, 0) + n
-            words[END_WORD] = words.get(END_WORD, 0) + to - lo
-            own, n = np.unique(byte_grams(low, order)[0], return_counts=True)
-            keys, counts = summed(np.concatenate([keys, own]), np.concatenate([counts, n]))
+            part = batch.slice(lo, to - lo)
+            low = pc.ascii_lower(part.column(0))
+            for trains in (True, False):
+                texts = low.filter(pc.invert(part.column(1)) if trains else part.column(1))
+                own, n = np.unique(byte_grams(texts, order)[0], return_counts=True)
+                keys, counts = summed(np.concatenate([keys, own]), np.concatenate([counts, np.stack([n * trains, n], 1)]))
+                if trains:
+                    coded = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(texts)))
+                    for w, k in zip(coded.field("values").to_numpy(zero_copy_only=False), coded.field("counts").to_numpy().tolist()):
+                        if w:
+                            words[w] = words.get(w, 0) + k
+                    words[END_WORD] = words.get(END_WORD, 0) + len(texts)
             if len(words) > most or len(keys) > most * 4:
-                yield from rows(list(words), keys, [*words.values(), *counts.tolist()])
+                yield from rows(words, keys, counts)
                 words, keys, counts = {}, keys[:0], counts[:0]
-    yield from rows(list(words), keys, [*words.values(), *counts.tolist()])
+    yield from rows(words, keys, counts)
 
 
 _tables: dict[str, GramTable] = {}
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.RecordBatch]:
-    name, *counted = model.value
+def _scores(batches: Iterator[pa.RecordBatch], model, frequent, order: int) -> Iterator[pa.RecordBatch]:
+    name, *held = model.value
     if name not in _tables:
         _tables.clear()
-        _tables[name] = GramTable(Trie.of(*counted))
+        _tables[name] = GramTable(*held)
     table, common = _tables[name], frequent.value
     for batch in batches:
         for lo, to in text_slices(batch.column(2), 2_000_000):
             part = batch.slice(lo, to - lo)
             low = pc.ascii_lower(part.column(2))
-            keys, n = byte_grams(low, table.trie.order)
+            keys, n = byte_grams(low, order)
             ends = np.r_[0, np.cumsum(n)]
-            total = np.r_[0.0, np.cumsum(table.log10(keys))]
+            chance = table.get(keys)
+            other = np.isnan(chance)
+            total = np.r_[0.0, np.cumsum(np.where(other, 0.0, chance))]
+            grams = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(other)][ends].astype(np.int32)), pa.array(keys[other]))
             words = pc.ascii_split_whitespace(low)
             coded = pc.dictionary_encode(words.flatten())
             names = coded.dictionary.to_numpy(zero_copy_only=False)
@@ -221,55 +198,51 @@ def _scores(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.R
             cut = np.r_[0, np.cumsum(is_rare)][offsets].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), coded.dictionary.take(pa.array(codes[is_rare])))
             tokens = per_text((~empty).astype(np.int64)[codes], offsets) + 1
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), pa.array(known), lists, pa.array(total[ends[1:]] - total[ends[:-1]])], names=["doc_id", "held_out", "n_tokens", "base", "known", "rare", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokens), pa.array(sums[offsets[1:]] - sums[offsets[:-1]]), pa.array(known), lists, grams, pa.array(total[ends[1:]] - total[ends[:-1]])], names=["doc_id", "held_out", "n_tokens", "base", "known", "rare", "grams", "score"])
+
 
+def _most_frequent(table: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the greatest counts, ``most`` at most, by a histogram of eight steps for each doubling: a few hundred rows, whatever the input."""
+    step = F.floor(F.log2(F.col(count).cast("double")) * 8)
+    total, least = 0, None
+    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r.step
+    return table.where(step >= least) if least is not None else table.limit(0)
 
-def score_documents(docs: DataFrame, order: int = 4, max_grams: int = 3_000_000, frequent_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score_documents(docs: DataFrame, order: int = 4, frequent_grams: int = 1_000_000, frequent_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    All counts are over all training rows. The trie is sent to the workers, so its size has a bound: a trie of more than ``max_grams`` longest keys
-    is cut to the longest order that has fewer (order 1 has at most 65,536). Of the words, at most ``frequent_words`` of the most frequent are
-    sent; all others are looked up by a join, so no count is left out. Null texts count as empty; a null id trains; repeated ids are
-    separate rows; without training rows the score is uniform over bytes; an empty table gives an empty result; other columns are not read.
+    All counts are over all training rows, and the order is the same at every size. The probability of each distinct key of the scored texts is
+    worked out once, by joins with the trie's tables (``gram_chances``). Those of at most ``frequent_grams`` of the most frequent keys are
+    sent to the workers (16 bytes each), and counts of at most ``frequent_words`` words; all other keys and words of a text are looked up by
+    a join, so nothing is left out and these two bounds do not change a score. Null texts count as empty; a null id trains; repeated ids
+    are separate rows; without training rows the score is uniform over bytes; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = rows.where("not held_out").select("text").mapInArrow(partial(_counts, order=order, most=300_000), "word string, gram long, n long")
-    counts = write_table(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
-    words, grams = counts.where("word is not null").select("word", "n"), counts.where("gram is not null").select("gram", "n")
-    train, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    size = grams.count()
-    while size > max_grams and order > 1:
-        order -= 1
-        grams = write_table(grams.groupBy((F.col("gram").bitwiseAND((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-        size = grams.count()
-    table = grams.toArrow()
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, order, table.column("gram").to_numpy(), table.column("n").to_numpy()))
-    # eight steps for each doubling of the count: a histogram of a few hundred rows, whatever the input
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    total, least = 0, None
-    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        total += r["count"]
-        if total > frequent_words:
-            break
-        least = r.step
-    common = {r.word: r.n for r in words.where(step >= least).collect()} if least is not None else {}
-    common.setdefault(END_WORD, words.where(F.col("word") == END_WORD).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    frequent = spark.sparkContext.broadcast(common)
-    end = common[END_WORD]
-    made = rows.mapInArrow(_bound(model, frequent), "doc_id long, held_out boolean, n_tokens long, base double, known long, rare array<string>, score double")
+    counted = rows.select("text", "held_out").mapInArrow(partial(_counts, order=order, most=300_000), "word string, gram long, n long, seen long")
+    counts = write_table(counted.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), "counts")
+    words = counts.where("word is not null").select("word", "n")
+    train, distinct, end = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END_WORD, F.col("n"))), F.lit(0))).first()
+    chances = write_table(gram_chances(counts.where("gram is not null").select("gram", "n", "seen"), order), "chances_of_all")
+    table = _most_frequent(chances, "seen", frequent_grams).select("gram", "chance").toArrow()
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, table.column("gram").to_numpy(), table.column("chance").to_numpy()))
+    frequent = spark.sparkContext.broadcast({r.word: r.n for r in _most_frequent(words.where("n > 0"), "n", frequent_words).collect()} | {END_WORD: end})
+    made = rows.mapInArrow(partial(_scores, model=model, frequent=frequent, order=order), "doc_id long, held_out boolean, n_tokens long, base double, known long, rare array<string>, grams array<long>, score double")
     scored = write_table(made.withColumn("uid", F.monotonically_increasing_id()), "scored")
     rare = scored.select("uid", F.explode("rare").alias("word")).hint("merge").join(words, "word", "left")
-    rest = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count("n").alias("seen"))
+    rest = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.count(F.when(F.col("n") > 0, 1)).alias("seen"))
+    other = scored.select("uid", F.explode("grams").alias("gram")).hint("merge").join(chances.select("gram", "chance"), "gram").groupBy("uid").agg(F.sum("chance").alias("further"))
     scale = math.log10(train + 0.5 * (distinct + 1))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + math.log10(end + 0.5) - F.col("n_tokens") * scale
     n_known = F.col("known") + F.coalesce("seen", F.lit(0)) + F.lit(int(end > 0))
-    return scored.drop("rare").hint("merge").join(rest, "uid", "left").select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-
-def _bound(model, frequent):
-    return partial(_scores, model=model, frequent=frequent)
+    whole = scored.drop("rare", "grams").hint("merge").join(rest, "uid", "left").hint("merge").join(other, "uid", "left")
+    return whole.select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("further", F.lit(0.0))).alias("score"))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plotwise.llm import fingerprints, personal_data
-from plotwise.llm.language_model import GramTable, Trie, byte_grams, score_documents
+from plotwise.llm.language_model import GramTable, byte_grams, gram_chances, score_documents
 from plotwise.llm.quality import fit_arrays, fit_quality, score_quality
 from plotwise.llm.secrets import ChainField, base_spans, fit_field, scan_secrets
 
 
-def test_ppm_is_the_definition():
+def test_ppm_is_the_definition(spark):
     rng = np.random.default_rng(0)
     text = ["".join(rng.choice(list("abc "), size=rng.integers(0, 12))) for _ in range(60)] + ["zz", "zy"]
     for order in (1, 3):
         keys, _ = byte_grams(pa.array(text), order)
-        table = GramTable(Trie.of(order, *np.unique(keys, return_counts=True)))
+        of_training = dict(zip(*(x.tolist() for x in np.unique(keys, return_counts=True))))
         counts = collections.defaultdict(collections.Counter)
         for s in text:
             b = bytes([255] * order) + s.encode() + b"\xff"
@@ -40,12 +40,25 @@ def test_ppm_is_the_definition():
                     gone |= set(seen)
             return p / (256 - len(gone))
 
-        for _ in range(40):
-            context = bytes(rng.choice(np.frombuffer(b"abcz qy\xff", np.uint8), size=order))
-            got = 10 ** table.log10(np.arange(256) + (int.from_bytes(context, "big") << 8))
+        contexts = [bytes(rng.choice(np.frombuffer(b"abcz qy\xff", np.uint8), size=order)) for _ in range(40)]
+        asked = {(int.from_bytes(c, "big") << 8) + s for c in contexts for s in range(256)} | of_training.keys()
+        rows = spark.createDataFrame([(g, of_training.get(g, 0), 1) for g in asked], "gram long, n long, seen long")
+        chances = {r.gram: r.chance for r in gram_chances(rows, order).collect()}
+        assert chances.keys() == asked
+        for context in contexts:
+            got = 10 ** np.array([chances[(int.from_bytes(context, "big") << 8) + s] for s in range(256)])
             assert abs(got.sum() - 1) < 1e-6 and max(abs(got[s] - chance(context, s)) for s in range(256)) < 1e-6
 
 
+def test_gram_table():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 3000))
+    table = GramTable(keys[::2], np.arange(len(keys[::2]), dtype=float))
+    got = table.get(keys)
+    assert (got[::2] == np.arange(len(keys[::2]))).all() and np.isnan(got[1::2]).all()
+    assert np.isnan(GramTable(keys[:0], np.zeros(0)).get(keys)).all()
+
+
 def test_document_scores(spark):
     made = [(i, "The cat sat on the mat. " * (i % 5)) for i in range(40)] + [(100, None), (None, "a B c"), (7, "rare words here"), (7, "x" * 50000)]
     got = score_documents(spark.createDataFrame(made, "doc_id long, text string"), frequent_words=3).collect()
@@ -55,6 +68,10 @@ def test_document_scores(spark):
     want = sorted((i is None, i or 0, len(words(t)), round(sum(math.log10((train[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words(t)), 6), sum(train[w] > 0 for w in words(t))) for i, t in made)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.base_score, 6), r.n_known) for r in got) == want
     assert all(r.score < 0 and r.train_tokens == total for r in got)
+    # which keys and words are sent does not change a score
+    few = score_documents(spark.createDataFrame(made, "doc_id long, text string"), frequent_grams=20, frequent_words=1).collect()
+    shown = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in rows)
+    assert shown(few) == shown(got)
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
