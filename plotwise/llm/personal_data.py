@@ -1,8 +1,9 @@
 """Operator 8: personal data by fixed patterns and bootstrapped contextual extraction, in DataFrame functions alone.
 
 What the fixed patterns find are the seeds. The words around the seeds are lexical patterns. A graph joins each pattern with the token values seen
-in it; scores go back and forth between the two sides for a few rounds. Tokens that no fixed pattern covers, but whose value and pattern
-both score high, are added as kind ``found``.
+in it; scores go back and forth between the two sides for a few rounds, and what scores high in one round supports patterns in the next
+as a seed does. Tokens that no fixed pattern covers, but whose value and pattern both score high, are added as kind ``found``. Only tokens of
+five signs or more with a digit or an @ can be found.
 """
 
 from __future__ import annotations
@@ -85,9 +86,13 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def shape(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(token, r"\p{L}++", "a"), "[0-9]", "0")
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start,end,value,left,around>>: identifier-like tokens and their contexts: the two words before; the word before and the one
-    after."""
+    """array<struct<start,end,value,left,around,shaped>>: identifier-like tokens and their contexts: the two words before; the word before and
+    the one after; the word before and the token's shape, in which runs of letters are ``a`` and digits 0."""
 
     def context(m: Column) -> Column:
         before = F.lower(F.substring(text, F.greatest(m["start"] - 59, F.lit(1)), F.least(m["start"], F.lit(60))))
@@ -95,9 +100,9 @@ def candidates(text: Column) -> Column:
         words = F.array_remove(F.split(before, r"\s+"), "")
         left = F.array_join(F.slice(words, -2, 2), " ")
         one, follow = F.element_at(words, -1), F.regexp_extract(after, r"^\S*\s+(\S+)", 1)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["match"]).alias("value"), F.when(F.size(words) >= 2, left).alias("left"), F.when((F.size(words) >= 1) & (follow != ""), F.concat_ws(" _ ", one, follow)).alias("around"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["match"]).alias("value"), F.when(F.size(words) >= 2, left).alias("left"), F.when((F.size(words) >= 1) & (follow != ""), F.concat_ws(" _ ", one, follow)).alias("around"), F.when(F.size(words) >= 1, F.concat_ws(" ", one, shape(m["match"]))).alias("shaped"))
 
-    kind = "array<struct<start:int,end:int,value:string,left:string,around:string>>"
+    kind = "array<struct<start:int,end:int,value:string,left:string,around:string,shaped:string>>"
     return F.when(text.rlike("[0-9@]"), F.transform(match_spans(text, TOKEN), context)).otherwise(F.array().cast(kind))
 
 
@@ -105,19 +110,19 @@ def _overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
 
 
-def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int, smoothing: float, support: int) -> tuple[DataFrame, DataFrame]:
+def score_graph(edges: DataFrame, seeds: DataFrame, rounds: int, smoothing: float, support: int, least_value: float) -> tuple[DataFrame, DataFrame]:
     """(pattern scores, value scores) of a graph of distinct (pattern, value) edges.
 
-    A pattern's score is the sum of its values' scores over their number plus ``smoothing``; below ``support`` seeds it is 0. A value's is 1 for
-    seeds, else the chance that not all of its patterns are wrong. All sums have a map-side part, so a pattern with very many
+    A pattern's score is the sum of its values' scores over their number plus ``smoothing``; with fewer than ``support`` values of
+    ``least_value`` or more it is 0. A value's is 1 for seeds, else the chance that not all of its patterns are wrong. All sums have a map-side part, so a pattern with very many
     values is no more than a row a task.
     """
     scores = seeds.select("value", F.lit(1.0).alias("s"))
     patterns = None
     for _ in range(rounds):
-        known = edges.hint("merge").join(scores, "value", "left").hint("merge").join(seeds.select("value", F.lit(1).alias("seed")), "value", "left")
-        rated = known.groupBy("pattern").agg(F.sum(F.coalesce("s", F.lit(0.0))).alias("sum"), F.count("*").alias("n"), F.count("seed").alias("seeds"))
-        patterns = write_table(rated.select("pattern", F.when(F.col("seeds") >= support, F.col("sum") / (F.col("n") + smoothing)).otherwise(0.0).alias("p")).where("p > 0"), "patterns")
+        known = edges.hint("merge").join(scores, "value", "left")
+        rated = known.groupBy("pattern").agg(F.sum(F.coalesce("s", F.lit(0.0))).alias("sum"), F.count("*").alias("n"), F.count_if(F.col("s") >= least_value).alias("support"))
+        patterns = write_table(rated.select("pattern", F.when(F.col("support") >= support, F.col("sum") / (F.col("n") + smoothing)).otherwise(0.0).alias("p")).where("p > 0"), "patterns")
         new = edges.hint("merge").join(patterns, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("s"))
         scores = write_table(new.hint("merge").join(seeds.select("value"), "value", "left_anti").select("value", "s").unionByName(seeds.select("value", F.lit(1.0).alias("s"))), "values")
     return patterns, scores
@@ -133,10 +138,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = rows.select("doc_id", F.md5("text").alias("text_md5"), base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("tokens")).withColumn("uid", F.monotonically_increasing_id())
     table = write_table(made, "spans")
     token = table.where("size(tokens) > 0").select("uid", "base", F.explode("tokens").alias("t")).select("uid", "t.*", _overlaps(F.col("base"), F.col("t.start"), F.col("t.end")).alias("seed"))
-    token = write_table(token.select("uid", "start", "end", "value", "seed", F.explode(F.array_compact(F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("a "), "around")))).alias("pattern")), "tokens")
+    token = write_table(token.select("uid", "start", "end", "value", "seed", F.explode(F.array_compact(F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("a "), "around"), F.concat(F.lit("s "), "shaped")))).alias("pattern")), "tokens")
     edges = write_table(token.select("pattern", "value").distinct(), "graph")
     seeds = write_table(token.where("seed").select("value").distinct(), "seeds")
-    patterns, values = score_graph(edges, seeds, rounds, smoothing, support)
+    patterns, values = score_graph(edges, seeds, rounds, smoothing, support, least_value)
     strong = token.where("not seed").hint("merge").join(patterns.where(F.col("p") >= least_pattern), "pattern").hint("merge").join(values.where(F.col("s") >= least_value), "value")
     new = strong.select("uid", F.struct(F.lit(FOUND).alias("kind"), "start", "end").alias("span")).groupBy("uid").agg(F.collect_set("span").alias("new"))
     out = table.drop("tokens").hint("merge").join(write_table(new, "found"), "uid", "left").withColumn("new", F.coalesce("new", F.array().cast(SPAN)))

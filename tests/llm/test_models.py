@@ -195,3 +195,19 @@ def test_fingerprints(spark):
         assert abs(r.near_edited - like(shingles(t), shingles(edited))) < (0.35 if not exact else 0.2)
         assert abs(r.near_next - like(shingles(t), shingles(follow))) < 0.2
     assert fingerprints.compare_with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_personal_data_of_a_second_round(spark):
+    """Member numbers stand where addresses stand; account numbers only where member numbers stand. Both are found, ordinary numbers are not.
+    Of the addresses' own kind, those hidden from the fixed patterns are found again by their surroundings."""
+    rng = random.Random(4)
+    number = lambda: f"m{rng.randrange(10**6)}x"
+    members, accounts = [number() for _ in range(12)], [f"acct-{rng.randrange(10**6)}" for _ in range(6)]
+    made = [f"please write to user{i}@mail.org today about it" for i in range(20)] + [f"please write to {m} today about it" for m in members[:8]]
+    made += [f"the holder known as {x} signs here" for x in members[:8] + accounts] + [f"page {i} of report2026 has {100 + i}000 words" for i in range(30)]
+    hidden = [f"user{i}(at)mail.org" for i in range(50, 60)]
+    made += [f"please write to {h} today about it" for h in hidden]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(made)] + [(0, None, None)], "doc_id long, text string, `a.b` string")
+    got = {r.spans and (r.doc_id, r.spans) for r in personal_data.find_personal_data(rows).collect()} - {None, ""}
+    found = {made[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, spans in got for s in spans.split(",") if s.startswith("found")}
+    assert found >= set(members[:8]) | set(accounts) | set(hidden) and not any(x.startswith(("report", "1")) for x in found)
