@@ -472,6 +472,17 @@ def _ads(spark, sf_dir):
     return listings(spark, sf_dir).select("id", "kind", "price_eur", "area_m2", words.alias("title"), body.alias("text"))
 
 
+@query
+def advert_facts(spark, sf_dir):
+    """What adverts say, which are made of the orders' numbers in the words that sellers use."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("a"))
+    a, tall = F.col("a").cast("string"), (100 + F.col("a") % 3000).cast("string")
+    said = [F.concat(F.lit("Цена: "), a, F.lit(" €, 3 соби, за реновирање")), F.concat(F.lit("prodavam za "), (1000 + F.col("a") % 9000).cast("string"), F.lit("k evra, "), tall, F.lit("m nadmorska visina")),
+            F.concat(F.lit("Куќа на Халкидики, цена "), a, F.lit(" денари")), F.concat(F.lit("80 €/м2, надморска висина "), tall, F.lit(" м")), F.concat(F.lit("2,5 SOBI &amp; balkon, namesten, cena "), a, F.lit(" mkd")), F.lit(None).cast("string")]
+    t = F.element_at(F.array(*said), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return rounded(o.select("o_orderkey", text.mentions_per_m2(t).alias("per_m2"), text.is_abroad(t).alias("abroad"), text.stated_price(t).alias("price"), text.altitude(t).alias("altitude"), text.rooms(t).alias("rooms"), text.furnished(t).cast("string").alias("furnished"), text.needs_renovation(t).alias("renovate")))
+
+
 @query
 def parsed_ads(spark, sf_dir):
     """X5, X6, X7, X13."""

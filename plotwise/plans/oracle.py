@@ -173,5 +173,12 @@ N3 as (select *, (select coalesce(max((m.ts, m.event_id)), (timestamp '1900-01-0
 select listing_id, now as stage, coalesce((select max_by(t.typed, (t.ts, t.event_id)) from EV t where t.listing_id = N3.listing_id and t.typed is not null and (t.ts, t.event_id) >= N3.since), case when listing_id % 3 = 0 then {_step(NEXT_STEP_AUCTION)} end, {_step(NEXT_STEP)}) as next_step, now <> 'dropped' as active from N3"""
 SQL["exported_items"] = f"{_DEALS}, RK as (select *, row_number() over (partition by researcher order by qualified desc, sc desc, id) as place from DE) select researcher, count(*) as count, count(*) filter (qualified) as n_qualified, count(*) filter (place <= 300) as n_items, min(id) filter (place = 1) as first_id from RK group by 1"
 SQL["stream_daily_counts"] = "select cast(date_trunc('day', ts) as timestamp) as day, event_type, count(*) as n from events group by 1, 2"
+SQL["advert_facts"] = r"""with A as (select o_orderkey, cast(floor(o_totalprice) as bigint) as a from orders),
+T as (select o_orderkey, case o_orderkey % 6 when 0 then 'Цена: ' || a || ' €, 3 соби, за реновирање' when 1 then 'prodavam za ' || (1000 + a % 9000) || 'k evra, ' || (100 + a % 3000) || 'm nadmorska visina' when 2 then 'Куќа на Халкидики, цена ' || a || ' денари'
+  when 3 then '80 €/м2, надморска висина ' || (100 + a % 3000) || ' м' when 4 then '2,5 SOBI &amp; balkon, namesten, cena ' || a || ' mkd' end as t from A),
+S as (select *, regexp_extract(t, '(?i)(?:цена|cena|prodavam za)[^0-9€]{0,25}?([0-9]{4,7})(k?) *(€|evra|денари|mkd)', ['n', 'k', 'u']) as p, coalesce(try_cast(regexp_extract(t, '([0-9]{3,4})m nadmorska', 1) as double), try_cast(regexp_extract(t, 'надморска висина ([0-9]{3,4})', 1) as double)) as m from T),
+E as (select *, try_cast(p.n as double) * case p.k when 'k' then 1000 else 1 end / case when p.u in ('денари', 'mkd') then 61.5e0 else 1 end as v from S)
+select o_orderkey, coalesce(t like '%€/м2%', false) as per_m2, coalesce(t like '%Халкидики%', false) as abroad, round(case when v between 1000 and 5000000 then v end, 4) as price, case when m between 100 and 2800 then m end as altitude,
+  try_cast(replace(regexp_extract(t, '(?i)([0-9,]+) (?:соби|sobi)', 1), ',', '.') as double) as rooms, case when t like '%namesten%' then 'true' end as furnished, coalesce(t like '%реновирање%', false) as renovate from E"""
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
