@@ -58,3 +58,8 @@ def changed_urls(entries: DataFrame, known: DataFrame) -> DataFrame:
     """Entries that are new, or whose non-empty lastmod differs from the stored one."""
     k = known.select("url", F.col("lastmod").alias("stored"), F.lit(True).alias("hit"))
     return entries.join(k, "url", "left").where(F.col("hit").isNull() | ((F.coalesce("lastmod", F.lit("")) != "") & ~F.col("lastmod").eqNullSafe(F.col("stored")))).select("url", "lastmod")
+
+
+def due_urls(entries: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """The ``most`` changed entries to read next, the newest first, then by url; entries without a date come last."""
+    return changed_urls(entries, known).orderBy(F.desc_nulls_last("lastmod"), "url").limit(most)

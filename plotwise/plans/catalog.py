@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions import pricing, text
-from plotwise.operators import alerts, dedupe, feedback, geo, market, scoring, stages, upsert
+from plotwise.operators import alerts, dedupe, feedback, geo, market, runs, scoring, stages, upsert
 from plotwise.plans import oracle
 from plotwise.sources import pages
 from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, stale_details
@@ -298,12 +298,22 @@ def prune_cascade(spark, sf_dir):
     return children
 
 
-@query
-def changed_urls(spark, sf_dir):
+def _sitemap(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("url").agg(F.min("page_id").alias("page_id"))
     entries = p.select("url", F.when(F.col("page_id") % 5 == 0, "").otherwise((F.col("page_id") % 7).cast("string")).alias("lastmod"))
     known = p.where("page_id % 3 <> 0").select("url", (F.col("page_id") % 6).cast("string").alias("lastmod"))
-    return upsert.changed_urls(entries, known)
+    return entries, known
+
+
+@query
+def changed_urls(spark, sf_dir):
+    return upsert.changed_urls(*_sitemap(spark, sf_dir))
+
+
+@query
+def due_urls(spark, sf_dir):
+    """A run reads 150 pages at most."""
+    return upsert.due_urls(*_sitemap(spark, sf_dir), 150)
 
 
 def _scored_base(spark, sf_dir):
@@ -472,6 +482,32 @@ def _ads(spark, sf_dir):
     return listings(spark, sf_dir).select("id", "kind", "price_eur", "area_m2", words.alias("title"), body.alias("text"))
 
 
+def _runs(spark, sf_dir):
+    """Job runs made of the events: one job for each user."""
+    e, kind = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type")
+    status = F.when(kind == "error", "running").when(kind == "signup", "failed").otherwise("ok")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("job"), F.col("ts").alias("started"), F.when(status == "ok", F.col("ts") + F.expr("interval 10 minutes")).alias("finished"), status.alias("status"),
+                    F.when((kind == "click") & (F.col("user_id") % 2 == 0), "full").when(kind == "view", "quick").alias("mode"), (F.col("event_id") % 500).alias("pages"))
+
+
+@query
+def run_status(spark, sf_dir):
+    """SNK9."""
+    return runs.settled(_runs(spark, sf_dir)).select("id", "job", "status")
+
+
+@query
+def hours_since_full(spark, sf_dir):
+    """A13."""
+    return rounded(runs.hours_since_full(_runs(spark, sf_dir), "2024-02-01"))
+
+
+@query
+def recent_runs(spark, sf_dir):
+    """SRC7."""
+    return runs.recent(_runs(spark, sf_dir)).select("id", "job", "status", "pages")
+
+
 @query
 def advert_facts(spark, sf_dir):
     """What adverts say, which are made of the orders' numbers in the words that sellers use."""

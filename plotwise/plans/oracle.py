@@ -180,5 +180,12 @@ S as (select *, regexp_extract(t, '(?i)(?:цена|cena|prodavam za)[^0-9€]{0,
 E as (select *, try_cast(p.n as double) * case p.k when 'k' then 1000 else 1 end / case when p.u in ('денари', 'mkd') then 61.5e0 else 1 end as v from S)
 select o_orderkey, coalesce(t like '%€/м2%', false) as per_m2, coalesce(t like '%Халкидики%', false) as abroad, round(case when v between 1000 and 5000000 then v end, 4) as price, case when m between 100 and 2800 then m end as altitude,
   try_cast(replace(regexp_extract(t, '(?i)([0-9,]+) (?:соби|sobi)', 1), ',', '.') as double) as rooms, case when t like '%namesten%' then 'true' end as furnished, coalesce(t like '%реновирање%', false) as renovate from E"""
+SQL["due_urls"] = f"select * from ({SQL['changed_urls']}) order by lastmod desc nulls last, url limit 150"
+_RUNS = """with RU as (select event_id as id, user_id as job, ts as started, case event_type when 'error' then 'running' when 'signup' then 'failed' else 'ok' end as status,
+  case when event_type = 'click' and user_id % 2 = 0 then 'full' when event_type = 'view' then 'quick' end as mode, event_id % 500 as pages from events)"""
+SQL["run_status"] = f"{_RUNS} select id, job, case when status = 'running' and row_number() over (partition by job order by started desc, id desc) > 1 then 'interrupted' else status end as status from RU"
+SQL["hours_since_full"] = f"""{_RUNS}, F as (select job, max(started) as at from RU where status = 'ok' and mode = 'full' group by 1), G as (select job, max(started) as at from RU where status = 'ok' and mode is null and pages > 250 group by 1)
+select j.job, round((epoch_us(timestamp '2024-02-01') - epoch_us(coalesce(F.at, G.at) + interval 10 minutes)) / 3.6e9, 4) as hours from (select distinct job from RU) j left join F using (job) left join G using (job)"""
+SQL["recent_runs"] = f"{_RUNS} select id, job, status, pages from RU order by id desc limit 10"
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
