@@ -78,15 +78,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[texts[1], sums[1, at]]), pa.array(np.r_[texts[0], sums[0, at]])], names=["bucket", "toxic", "clean"])
 
 
-def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, smoothing: float, least_z: float) -> np.ndarray:
+def log_count_ratios(toxic: np.ndarray, clean: np.ndarray, smoothing: float, least_z: float, least_ratio: float = 0.0) -> np.ndarray:
     """log of (share of a bucket among toxic features / its share among clean ones), each with ``smoothing`` counts at the overall shares; 0
-    where the difference is less than ``least_z`` standard errors."""
+    where the difference is less than ``least_z`` standard errors or the ratio nearer to 0 than ``least_ratio``, which would hardly move a score."""
     a, b = max(int(toxic.sum()), 1), max(int(clean.sum()), 1)
     share = a / (a + b)
     n = toxic + clean
     z = np.abs(toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
     ratio = np.log((toxic + smoothing * share) / share) - np.log((clean + smoothing * (1 - share)) / (1 - share))
-    return np.where(z >= least_z, ratio, 0.0)
+    return np.where((z >= least_z) & (np.abs(ratio) >= least_ratio), ratio, 0.0)
 
 
 @dataclass
@@ -160,7 +160,7 @@ def _chosen_features(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> I
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array((pairs % max(len(chosen), 1)).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], names=["toxic", "cols", "counts"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, smoothing: float = 10.0, least_z: float = 6.0, decay: float = 0.1, rounds: int = 250, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000, smoothing: float = 10.0, least_z: float = 6.0, least_ratio: float = 0.7, decay: float = 0.1, rounds: int = 250, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> ToxicityModel:
     """A model of ``labels`` (id, toxic 0 or 1) over the texts of ``docs``.
 
     It is fitted on ``sample_rows`` labelled documents at most, chosen by a hash of their id, which bounds what is broadcast and what reaches
@@ -176,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000,
     toxic, clean = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     seen = sums[sums["bucket"] >= 0]
     toxic[seen["bucket"]], clean[seen["bucket"]] = seen["toxic"], seen["clean"]
-    ratios = log_count_ratios(toxic, clean, smoothing, least_z)
+    ratios = log_count_ratios(toxic, clean, smoothing, least_z, least_ratio)
     chosen = np.flatnonzero(ratios)
     table = rows.mapInArrow(partial(_chosen_features, chosen=chosen), "toxic int, cols array<int>, counts array<int>").toArrow()
     lists = table.column("cols").combine_chunks()
