@@ -143,10 +143,61 @@ def test_groups_near_the_threshold(spark):
                 root = [min(x, y) if p in (x, y) else p for p in root]
     assert 1 < len(set(root[:60])) + len(set(root[100:])) < 120
     rows = spark.createDataFrame([(i, " ".join(d), "x") for i, d in enumerate(docs)], "doc_id long, text string, `a.b` string")
-    for block, rounds in ((8, 1),):
-        import plotwise.llm.edit_dups as module
+    got = {r.doc_id: r.class_id for r in near_duplicate_documents(rows, rounds=1).collect()}
+    assert [got[i] for i in range(len(docs))] == root
 
-        module.BLOCK, kept = block, module.BLOCK
-        got = {r.doc_id: r.class_id for r in near_duplicate_documents(rows, rounds=rounds).collect()}
-        module.BLOCK = kept
-        assert [got[i] for i in range(len(docs))] == root
+
+def rare_pairs(texts, similarity, kind, counts=None):
+    """Pairs that share enough rare elements, by numpy alone."""
+    import pyarrow as pa
+
+    from plotwise.llm import edit_dups as e
+
+    share = 1 - similarity
+    elements, doc, _ = e.rare_elements(pa.array(texts), np.zeros(1 << e.BITS) if counts is None else counts, kind, share)
+    n = np.array([len(t.split()) for t in texts])
+    own = [set(elements[doc == i].tolist()) for i in range(len(texts))]
+    spare = np.maximum(n - kind + 1, 1) - np.floor(kind * share * n + 1e-9)
+    return {(i, j) for i in range(len(n)) for j in range(i) if len(own[i] & own[j]) >= max(1, min(e.SHARED, spare[i], spare[j]))}
+
+
+def test_texts_that_are_alike_share_rare_elements():
+    """The filter loses no pair within the similarity, for any order of the elements."""
+    rng = random.Random(5)
+    for trial in range(60):
+        words = [f"w{rng.randrange(rng.choice([6, 60, 2000]))}" for _ in range(rng.randint(1, 90))]
+        texts = [" ".join(words)]
+        for _ in range(12):
+            made = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 4))):
+                at = rng.randrange(len(made) + 1)
+                made[at : at + rng.randint(0, 1)] = [rng.choice([*words, "new"])] * rng.randint(0, 1)
+            texts.append(" ".join(made or ["x"]))
+        near = {(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i].split(), texts[j].split(), 0.8)}
+        counts = np.random.default_rng(trial).integers(0, 50, 1 << 18)
+        for kind in (1, 2):
+            assert near <= rare_pairs(texts, 0.8, kind, counts), (trial, kind)
+
+
+def test_a_common_passage_brings_no_texts_together(spark):
+    """Texts that have half of their words in common, none alike: pairs that are compared grow with their number, not its square."""
+    import plotwise.llm.edit_dups as module
+
+    rng, made = random.Random(9), {}
+    passage = " ".join(f"p{i}" for i in range(50))
+    for n in (500, 2000):
+        rows = spark.createDataFrame([(i, passage + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for i in range(n)], "doc_id long, text string")
+        seen, kept = [], module._pairs_left
+
+        def counted(*args, seen=seen, kept=kept):
+            pairs = kept(*args)
+            seen.append(pairs.count())
+            return pairs
+
+        module._pairs_left = counted
+        try:
+            assert near_duplicate_documents(rows).where("kept").count() == n
+        finally:
+            module._pairs_left = kept
+        made[n] = sum(seen)
+    assert made[2000] <= 4 * made[500] + 50
