@@ -24,6 +24,8 @@ from plotwise.scratch import write_table
 BITS = 18
 BUCKETS = 1 << BITS
 SIZES = (3, 4, 5, 6)
+#: Bytes of text that are taken apart at a time.
+SLICE = 1_000_000
 ODD = np.uint32(0x9E3779B1)
 
 
@@ -64,7 +66,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, toxic, clean): what each bucket counts in the texts of a task, (toxic, text). Bucket -1 has the number of texts."""
     sums, texts = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
-        for lo, to in text_slices(batch.column(1)):
+        for lo, to in text_slices(batch.column(1), SLICE):
             part = batch.slice(lo, to - lo)
             label = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             words, doc, word = words_of(part.column(1))
@@ -142,7 +144,7 @@ def _chosen_features(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> I
     place = np.full(BUCKETS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     for batch in batches:
-        for lo, to in text_slices(batch.column(1)):
+        for lo, to in text_slices(batch.column(1), SLICE):
             part = batch.slice(lo, to - lo)
             words, doc, word = words_of(part.column(1))
             of, bucket = ngram_buckets(words)
@@ -190,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 40_000,
 def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel, least: float) -> Iterator[pa.RecordBatch]:
     table = model.table()
     for batch in batches:
-        for lo, to in text_slices(batch.column(1)):
+        for lo, to in text_slices(batch.column(1), SLICE):
             part = batch.slice(lo, to - lo)
             score = model.score(part.column(1), table)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= least).astype(np.int32))], names=["doc_id", "score", "predicted"])
