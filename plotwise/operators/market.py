@@ -121,6 +121,18 @@ def with_discount(rows: DataFrame, local_only: bool = True) -> DataFrame:
     return rows.withColumn("discount", F.when(fine, 1 - ppm2() / F.col("ref_median")))
 
 
+#: Least discounts and what they are called in a verdict on one offer; a price above the reference is dear.
+VERDICTS = ((0.35, "too good"), (0.25, "very cheap"), (0.15, "cheap"), (0.0, "fair"))
+
+
+def verdicts(posts: DataFrame, refs: DataFrame, mins: tuple[int, int, int] = (15, 8, 15)) -> DataFrame:
+    """(id, discount, verdict) of posts (id, kind, deal, city, district, price_eur, price_note, area_m2) against their reference, a national one
+    included; unknown where price, area or reference lack."""
+    found = with_discount(with_reference(posts, refs, mins), False)
+    word = reduce(lambda acc, v: acc.when(F.col("discount") >= v[0], v[1]), VERDICTS[1:], F.when(F.col("discount") >= VERDICTS[0][0], VERDICTS[0][1]))
+    return found.select("id", "discount", word.when(F.col("discount").isNotNull(), "dear").otherwise("unknown").alias("verdict"))
+
+
 def deals_below_median(rows: DataFrame, refs: DataFrame, mins: tuple[int, int, int] = (15, 8, 15)) -> DataFrame:
     """The flagship: listings below their local median, furthest first."""
     out = with_discount(with_reference(rows, refs, mins)).where("discount > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Stages in order and the next step that each suggests; auctions have some of their own.
@@ -26,6 +26,12 @@ NEXT_STEP_AUCTION = {
 }
 
 
+def default_step(stage: Column, researcher: Column) -> Column:
+    """The next step that a stage suggests."""
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return F.coalesce(F.when(researcher == "auctions", table(NEXT_STEP_AUCTION)[stage]), table(NEXT_STEP)[stage])
+
+
 def fold_stages(events: DataFrame) -> DataFrame:
     """(listing_id, stage, next_step, active) after ordered events (listing_id, researcher, stage, next_step, at, event_id).
 
@@ -40,8 +46,7 @@ def fold_stages(events: DataFrame) -> DataFrame:
     order = F.struct("at", "event_id")
     last = rows.groupBy("listing_id").agg(F.max_by("now", order).alias("stage"), F.max("turn").alias("turn"), F.min_by("researcher", order).alias("researcher"))
     typed = rows.where("next_step is not null").groupBy("listing_id", "turn").agg(F.max_by("next_step", order).alias("typed"))
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    default = F.coalesce(F.when(F.col("researcher") == "auctions", table(NEXT_STEP_AUCTION)[F.col("stage")]), table(NEXT_STEP)[F.col("stage")])
+    default = default_step(F.col("stage"), F.col("researcher"))
     out = last.join(typed, ["listing_id", "turn"], "left")
     return out.select("listing_id", "stage", F.coalesce("typed", default).alias("next_step"), (F.col("stage") != "dropped").alias("active"))
 

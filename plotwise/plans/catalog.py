@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions import pricing, text
 from plotwise.operators import alerts, dedupe, feedback, geo, market, runs, scoring, stages, upsert
 from plotwise.plans import oracle
+from plotwise.scratch import write_table
 from plotwise.sources import pages
 from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, stale_details
-from plotwise.streaming import jobs
+from plotwise.streaming import folds, jobs
 
 QUERIES: dict = {}
 SQL = oracle.SQL
@@ -177,9 +178,9 @@ def elevation_lookup(spark, sf_dir):
     return geo.with_dimension(rows, dimension, 2).select("id", "cell", "cell_elevation")
 
 
-def _votes(spark, sf_dir):
+def _votes(spark, sf_dir, events=None):
     """Votes derived from events: purchase and click are up, error is down; the user picks a researcher, the event any order of the table."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'click', 'error')")
+    e = (spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events).where("event_type in ('purchase', 'click', 'error')")
     rows = listings(spark, sf_dir).select("id", "kind", "city", "district", "area_m2", "price_eur", "source_no")
     own = rows.groupBy("source_no").agg(F.min("id").alias("id"))
     e = e.select("event_id", F.col("ts").alias("at"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("researcher"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("vote"), "event_type", "value")
@@ -223,12 +224,21 @@ def rejection_penalties(spark, sf_dir):
     return rounded(feedback.rejection_penalties(_items(spark, sf_dir), rejections))
 
 
+def _vote_events(votes):
+    name = F.when(F.col("vote") < 0, "down").when(F.col("event_id") % 7 == 0, "clear").when(F.col("event_type") == "purchase", "ok").otherwise("up")
+    return votes.select("researcher", "listing_id", name.alias("event"), "at", "event_id")
+
+
 @query
 def vote_fold(spark, sf_dir):
     """D18 over an ordered stream of up, down, ok and clear."""
-    v = _votes(spark, sf_dir)
-    name = F.when(F.col("vote") < 0, "down").when(F.col("event_id") % 7 == 0, "clear").when(F.col("event_type") == "purchase", "ok").otherwise("up")
-    return feedback.fold_votes(v.select("researcher", "listing_id", name.alias("event"), "at", "event_id"))
+    return feedback.fold_votes(_vote_events(_votes(spark, sf_dir)))
+
+
+@query
+def stream_feedback(spark, sf_dir):
+    """ST4: the same as a stream in any order."""
+    return folds.vote_stream(_vote_events(_votes(spark, sf_dir, jobs.read_stream(spark, f"{sf_dir}/events.parquet"))))
 
 
 @query
@@ -272,11 +282,15 @@ def price_history_arrays(spark, sf_dir):
     return rows.groupBy("district").agg(F.count("*").alias("n"), F.min_by("price_eur", F.struct("last_seen", "id")).alias("first"), F.max_by("price_eur", F.struct("last_seen", "id")).alias("last"))
 
 
+def _cards(rows):
+    return rows.where("source_no % 2 = 0").select("id", F.concat("title", F.lit(" new")).alias("title"), F.when(F.col("source_no") % 4 == 0, F.col("price_eur") * 0.9).otherwise(F.col("price_eur")).alias("price_eur"), "site_old_price", F.lit(None).cast("string").alias("image"), "deal", "price_note", "area_m2", "last_seen")
+
+
 def _two_batches(spark, sf_dir):
     rows = listings(spark, sf_dir).withColumn("image", F.lit(None).cast("string"))
     cols = ["id", "title", "price_eur", "site_old_price", "image", "deal", "price_note", "area_m2", "last_seen"]
     current = rows.where("source_no % 3 <> 0").select(*cols, "first_price", "detail_at")
-    batch = rows.where("source_no % 2 = 0").select("id", F.concat("title", F.lit(" new")).alias("title"), F.when(F.col("source_no") % 4 == 0, F.col("price_eur") * 0.9).otherwise(F.col("price_eur")).alias("price_eur"), "site_old_price", "image", "deal", "price_note", "area_m2", "last_seen")
+    batch = _cards(rows)
     return current, batch
 
 
@@ -384,12 +398,21 @@ def open_questions(spark, sf_dir):
     return _deals(spark, sf_dir).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
 
 
-@query
-def deal_stages(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def _stage_events(e):
     stage = F.when(F.col("event_type") == "view", "viewing").when(F.col("event_type") == "click", "contacted").when(F.col("event_type") == "purchase", "offer").when(F.col("event_type") == "error", "no such stage").otherwise("checks")
     stage = F.when(F.col("event_id") % 10 == 0, "dropped").otherwise(stage)
-    return stages.fold_stages(e.select(F.col("user_id").alias("listing_id"), F.when(F.col("user_id") % 3 == 0, "auctions").otherwise("flip").alias("researcher"), stage.alias("stage"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("step "), F.col("event_id").cast("string"))).alias("next_step"), F.col("ts").alias("at"), "event_id"))
+    return e.select(F.col("user_id").alias("listing_id"), F.when(F.col("user_id") % 3 == 0, "auctions").otherwise("flip").alias("researcher"), stage.alias("stage"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("step "), F.col("event_id").cast("string"))).alias("next_step"), F.col("ts").alias("at"), "event_id")
+
+
+@query
+def deal_stages(spark, sf_dir):
+    return stages.fold_stages(_stage_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+@query
+def stream_deal_stages(spark, sf_dir):
+    """ST6: the same as a stream in any order."""
+    return folds.stage_stream(_stage_events(jobs.read_stream(spark, f"{sf_dir}/events.parquet")))
 
 
 @query
@@ -473,13 +496,13 @@ def title_jaccard(spark, sf_dir):
     return rounded(names.select("p_brand", "p_type", dedupe.jaccard(dedupe.title_words(F.col("a")), dedupe.title_words(F.col("b"))).alias("jaccard")))
 
 
-def _ads(spark, sf_dir):
+def _ads(spark, sf_dir, lineitem=None):
     """Listing texts made from the listings' own numbers, in the words that sellers use."""
     n = F.col("source_no")
     words = F.element_at(F.array(*map(F.lit, ("Се продава стан", "Se izdava stan", "Плац", "Куќа со двор", "Бара се стан"))), (n % 5 + 1).cast("int"))
     facts = F.element_at(F.array(*map(F.lit, ("струја има, вода во близина", "nema struja i voda, pristap so makadam", "асфалт и вода до плацот", "се очекува струја", ""))), (n % 5 + 1).cast("int"))
     body = F.concat_ws(" ", facts, F.format_string("цена %.0f €, %.0f m2", "price_eur", "area_m2"))
-    return listings(spark, sf_dir).select("id", "kind", "price_eur", "area_m2", words.alias("title"), body.alias("text"))
+    return listings(spark, sf_dir, lineitem).select("id", "kind", "city", "district", "price_eur", "area_m2", words.alias("title"), body.alias("text"))
 
 
 def _runs(spark, sf_dir):
@@ -540,15 +563,27 @@ def reply_facts(spark, sf_dir):
     return c.where("role = 'user'").select("conv_id", "turn", F.to_json(text.seller_facts(said)).alias("facts"))
 
 
+def _posts(spark, sf_dir, lineitem=None):
+    """What the texts of posts say of price and area, and where they are."""
+    ads = _ads(spark, sf_dir, lineitem)
+    return ads.select("id", "kind", F.lit("sale").alias("deal"), "city", "district", text.parse_price(F.col("text")).alias("price_eur"), text.parse_area(F.col("text")).alias("area_m2"), F.lit(None).cast("string").alias("price_note"))
+
+
+def _verdicts(posts, refs):
+    return rounded(market.verdicts(posts, refs, MINS))
+
+
 @query
 def quick_check(spark, sf_dir):
-    """Posts against the market: facts from the text, reference, verdict."""
-    rows = listings(spark, sf_dir)
-    posts = _ads(spark, sf_dir).select("id", "kind", F.lit("sale").alias("deal"), text.parse_price(F.col("text")).alias("price_eur"), text.parse_area(F.col("text")).alias("area_m2")).withColumn("price_note", F.lit(None).cast("string"))
-    posts = posts.join(rows.select("id", "city", "district"), "id")
-    found = market.with_discount(market.with_reference(posts, market.market_refs(rows), MINS), False)
-    verdict = F.when(F.col("discount") >= 0.35, "too good").when(F.col("discount") >= 0.25, "very cheap").when(F.col("discount") >= 0.15, "cheap").when(F.col("discount") >= 0, "fair").when(F.col("discount").isNotNull(), "dear").otherwise("unknown")
-    return rounded(found.select("id", "discount", verdict.alias("verdict")))
+    """D14, SRC17: posts against the market: facts from the text, reference, verdict."""
+    return _verdicts(_posts(spark, sf_dir), market.market_refs(listings(spark, sf_dir)))
+
+
+@query
+def stream_post_check(spark, sf_dir):
+    """ST7: the same as a stream of posts against a written table of references."""
+    refs = write_table(market.market_refs(listings(spark, sf_dir)), "references")
+    return jobs.post_check_stream(_posts(spark, sf_dir, jobs.read_stream(spark, f"{sf_dir}/lineitem.parquet")), lambda n: refs, _verdicts, "id string, discount double, verdict string")
 
 
 @query
@@ -578,3 +613,29 @@ def stream_alerts_once(spark, sf_dir):
 def stream_price_changes(spark, sf_dir):
     e = jobs.read_stream(spark, f"{sf_dir}/events.parquet")
     return rounded(jobs.price_change_stream(e.select(F.col("user_id").cast("string").alias("listing_id"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("value").alias("price_eur"))))
+
+
+@query
+def stream_upsert(spark, sf_dir):
+    """ST1: cards merged as a stream, with the price history that it adds to."""
+    last = Window.partitionBy("id").orderBy(F.desc("last_seen"), F.desc("price_eur"))
+    current = _two_batches(spark, sf_dir)[0].withColumn("turn", F.row_number().over(last)).where("turn = 1").drop("turn")
+    cards = _cards(listings(spark, sf_dir, jobs.read_stream(spark, f"{sf_dir}/lineitem.parquet")))
+    state, history = jobs.upsert_stream(cards, current)
+    added = history.groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("n_history"))
+    return state.join(added, "id", "left").select("id", "title", "price_eur", "first_price", F.coalesce("n_history", F.lit(0)).alias("n_history"))
+
+
+@query
+def stream_expiry(spark, sf_dir):
+    """ST8: the children of listings that a stream has seen in the last 400 days."""
+    alive = folds.expiry_stream(listings(spark, sf_dir, jobs.read_stream(spark, f"{sf_dir}/lineitem.parquet")).select("id", "last_seen"), 400)
+    return listings(spark, sf_dir).join(alive, "id", "left_semi").select(F.col("id").alias("listing_id"), "price_eur")
+
+
+@query
+def stream_sitemap(spark, sf_dir):
+    """ST3: the entries that three snapshots of a sitemap made due, one after the other."""
+    p = jobs.read_stream(spark, f"{sf_dir}/pages.parquet").select("url", "page_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("snapshot"))
+    lastmod = F.when((F.col("page_id") + F.col("snapshot")) % 5 == 0, "").otherwise((F.col("page_id") * (F.col("snapshot") + 1) % 3).cast("string"))
+    return jobs.sitemap_stream(p.select(F.col("snapshot").cast("long").alias("snapshot"), "url", lastmod.alias("lastmod")))

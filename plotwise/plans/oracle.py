@@ -189,3 +189,14 @@ select j.job, round((epoch_us(timestamp '2024-02-01') - epoch_us(coalesce(F.at,
 SQL["recent_runs"] = f"{_RUNS} select id, job, status, pages from RU order by id desc limit 10"
 # off the ties, as the queries round
 SQL.update({k: re.sub(r", ([34])\) as ", r" + 1e-9, \1) + 0 as ", v) for k, v in SQL.items()})
+SQL["stream_feedback"], SQL["stream_deal_stages"] = SQL["vote_fold"], SQL["deal_stages"]
+SQL["stream_expiry"] = f"{L} select id as listing_id, price_eur from L where id in (select id from L where last_seen >= {DAY} - interval 400 days)"
+_SAID = f"select id, kind, city, district, 'sale' as deal, nullif(round(price_eur), 0) as price_eur, cast(null as varchar) as price_note, nullif(round(area_m2), 0) as area_m2 from L"
+SQL["quick_check"] = f"""{REFS}, SA as ({_SAID}), PQ as (select *, {unit_sql()} as v, {BAND} as band from SA), F as ({lookup('PQ', 'x.deal')}), D as (select PQ.id, 1 - PQ.v / F.ref_median as discount from PQ left join F using (id))
+select id, round(discount + 1e-9, 4) + 0.0 as discount, case when discount >= 0.35 then 'too good' when discount >= 0.25 then 'very cheap' when discount >= 0.15 then 'cheap' when discount >= 0 then 'fair' when discount is not null then 'dear' else 'unknown' end as verdict from D"""
+SQL["stream_post_check"] = SQL["quick_check"]
+SQL["stream_sitemap"] = """with EN as (select url, cast(s as bigint) as snapshot, max(case when (page_id + s) % 5 = 0 then '' else cast(page_id * (s + 1) % 3 as varchar) end) as lastmod from pages cross join range(3) r(s) where url is not null group by 1, 2),
+B as (select *, row_number() over (partition by url order by snapshot) as k, last_value(nullif(lastmod, '') ignore nulls) over (partition by url order by snapshot rows between unbounded preceding and 1 preceding) as stored from EN)
+select snapshot, url, lastmod from B where k = 1 or (lastmod <> '' and lastmod <> coalesce(stored, ''))"""
+_LAST = "qualify row_number() over (partition by id order by last_seen desc, price_eur desc) = 1"
+SQL["stream_upsert"] = f"select id, title, price_eur, first_price, cast((is_new or changed) and price_eur is not null as bigint) as n_history from ({SQL['upsert_merge'].replace(' from C full join N ', f' from (select * from C {_LAST}) C full join (select * from N {_LAST}) N ')})"

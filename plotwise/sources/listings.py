@@ -42,9 +42,10 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listings view; columns that a query does not use are never read."""
-    return spark.sql(LISTINGS_SQL.replace("from lineitem join orders", "from {lineitem} join {orders}").replace("join part on", "join {part} on").replace("join supplier on", "join {supplier} on").replace("join nation on", "join {nation} on"), **tables(spark, sf_dir, "lineitem", "orders", "part", "supplier", "nation"))
+def listings(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """The listings view; columns that a query does not use are never read. With ``lineitem``, a stream of that table, it is a stream of listings."""
+    given = tables(spark, sf_dir, "lineitem", "orders", "part", "supplier", "nation") | ({} if lineitem is None else {"lineitem": lineitem})
+    return spark.sql(LISTINGS_SQL.replace("from lineitem join orders", "from {lineitem} join {orders}").replace("join part on", "join {part} on").replace("join supplier on", "join {supplier} on").replace("join nation on", "join {nation} on"), **given)
 
 
 def active(rows: DataFrame, as_of: str, stale_days: int = 10) -> DataFrame:

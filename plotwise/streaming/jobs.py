@@ -1,17 +1,24 @@
-"""Incremental maintenance as Structured Streaming jobs over file streams; each ends when the files there are read."""
+"""Incremental maintenance as Structured Streaming jobs over file streams; each ends when the files there are read.
+
+Every job takes a ``root``, its folder in the shared store, with its progress and its tables. A run with the root of an earlier one, stopped or
+failed, goes on from there; without a root a job starts anew.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotwise.operators.upsert import history_rows, price_changes, upsert
 from plotwise.scratch import scratch_path
+from plotwise.streaming.tables import BatchTable, KeyedTable
 
 
-def run_batches(stream: DataFrame, each, name: str) -> None:
-    """Hand every micro-batch of what is there to ``each(batch, number)``, then stop; progress is kept in the shared folder."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", scratch_path(stream.sparkSession, f"progress_{name}")).trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, each: Callable, root: str) -> None:
+    """Hand every micro-batch of what is there to ``each(batch, number)``, then stop."""
+    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -24,84 +31,142 @@ def read_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", names).parquet(top)
 
 
-def upsert_stream(cards: DataFrame, start: DataFrame, name: str = "listings") -> tuple[DataFrame, DataFrame]:
-    """ST1: (state, history) after merging all card batches. Each batch number writes its own version, so a repeated batch replaces itself."""
-    spark = start.sparkSession
-    root = scratch_path(spark, name)
-    state = start.columns
-    start.write.mode("overwrite").parquet(f"{root}/state/-1")
+def read_sitemaps(spark: SparkSession, folder: str, needle: str) -> DataFrame:
+    """SRC8 as a stream of (snapshot, url, lastmod) over the XML files of a folder; a file's number is the last one in its name."""
+    rows = spark.readStream.format("xml").option("rowTag", "url").option("maxFilesPerTrigger", 1).schema("loc string, lastmod string").load(folder)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)[^0-9]*$", 1).try_cast("long")
+    return rows.where(F.contains("loc", F.lit(needle))).select(number.alias("snapshot"), F.col("loc").alias("url"), F.coalesce("lastmod", F.lit("")).alias("lastmod"))
+
+
+def _ddl(frame: DataFrame, *columns: str) -> str:
+    """The columns of a frame, or some of them, as a DDL string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if not columns or f.name in columns)
+
+
+def upsert_stream(cards: DataFrame, start: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """ST1: (state, history) after merging all card batches into ``start``, whose rows are the first version.
+
+    A batch reads the rows of its own ids and writes what the merge makes of them, so it costs what it changes. Of several cards of an id in one batch
+    the latest counts, of equal ones the dearest.
+    """
+    spark, root = start.sparkSession, root or scratch_path(start.sparkSession, "listings")
+    table = KeyedTable(spark, f"{root}/state", _ddl(start), ["id"])
+    history = BatchTable(spark, f"{root}/history", "listing_id string, seen_at timestamp, price_eur double")
+    if not table.batches():
+        table.write(start, 0)  # the batches of cards are numbered from 1
 
     def merge(batch: DataFrame, n: int) -> None:
         last = Window.partitionBy("id").orderBy(F.desc("last_seen"), F.desc("price_eur"))
         newest = batch.withColumn("turn", F.row_number().over(last)).where("turn = 1").drop("turn")
-        merged = upsert(spark.read.parquet(f"{root}/state/{n - 1}"), newest)
-        merged.select(*state).write.mode("overwrite").parquet(f"{root}/state/{n}")
-        history_rows(merged).write.mode("overwrite").parquet(f"{root}/history/batch={n}")
-        versions.append(n)
-
-    versions: list[int] = []
-    run_batches(cards, merge, name)
-    if not versions:
-        return start, start.limit(0).select(F.col("id").alias("listing_id"), F.col("last_seen").alias("seen_at"), "price_eur")
-    return spark.read.parquet(f"{root}/state/{versions[-1]}"), spark.read.parquet(f"{root}/history").drop("batch")
-
-
-def alerts_once(items: DataFrame, name: str = "alerts") -> DataFrame:
-    """ST5: each (listing_id, researcher) once with its least ``at``, in whatever order they come; the ledger is a table in the shared folder."""
-    spark = items.sparkSession
-    root = scratch_path(spark, name)
-    keys = ["listing_id", "researcher"]
-    versions: list[int] = []
+        touched = table.state(n + 1).hint("merge").join(newest.select("id"), "id", "left_semi")
+        merged = upsert(touched, newest).persist()
+        table.write(merged, n + 1)
+        history.write(history_rows(merged).withColumn("seen_at", F.col("seen_at").cast("timestamp")), n)
+        merged.unpersist()
+
+    run_batches(cards, merge, root)
+    return table.state().select(*start.columns), history.read().drop("batch")
 
-    def add(batch: DataFrame, n: int) -> None:
-        rows = batch.select(*keys, "at")
-        ledger = spark.read.parquet(f"{root}/{versions[-1]}").unionByName(rows) if versions else rows
-        ledger.groupBy(keys).agg(F.min("at").alias("at")).write.mode("overwrite").parquet(f"{root}/{n}")
-        versions.append(n)
 
-    run_batches(items, add, name)
-    return spark.read.parquet(f"{root}/{versions[-1]}") if versions else spark.createDataFrame([], "listing_id string, researcher string, at timestamp")
+def alerts_once(items: DataFrame, root: str | None = None) -> DataFrame:
+    """ST5: each (listing_id, researcher) once with its least ``at``, in whatever order they come.
+
+    A batch adds the least times of its own keys to the ledger; what is in it already stays as it is. Keys that are new to the ledger are the alerts
+    that the batch sends: :func:`sent_by` gives them.
+    """
+    spark, root = items.sparkSession, root or scratch_path(items.sparkSession, "alerts")
+    ledger = BatchTable(spark, f"{root}/ledger", "listing_id string, researcher string, at timestamp")
+    run_batches(items, lambda batch, n: ledger.write(batch.groupBy("listing_id", "researcher").agg(F.min("at").alias("at")), n), root)
+    return ledger.read().groupBy("listing_id", "researcher").agg(F.min("at").alias("at"))
+
+
+def sent_by(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """The alerts of a batch: its keys that no batch before had (J8, SNK4)."""
+    ledger = BatchTable(spark, f"{root}/ledger", "listing_id string, researcher string, at timestamp")
+    keys = ["listing_id", "researcher"]
+    return ledger.read(batch + 1).where(F.col("batch") == batch).drop("batch").join(ledger.read(batch).select(*keys).distinct(), keys, "left_anti")
 
 
-def daily_counts(events: DataFrame, at: str, key: str, late: str | None = None, name: str = "daily") -> DataFrame:
-    """ST9: events by day and key. Counts are merged by key into a written table, so late rows count too, in whatever order files come.
+def daily_counts(events: DataFrame, at: str, key: str, late: str | None = None, root: str | None = None) -> DataFrame:
+    """ST9: events by day and key. A batch adds its own counts, which are summed when they are read, so late rows count too, in whatever order files come.
 
     With ``late`` only the days that are over by this much at the newest event: those that a watermark would have made final.
     """
-    spark = events.sparkSession
-    root = scratch_path(spark, name)
-    versions: list[int] = []
+    spark, root = events.sparkSession, root or scratch_path(events.sparkSession, "daily")
+    table = BatchTable(spark, f"{root}/counts", f"day timestamp, `{key}` {events.schema[key].dataType.simpleString()}, n long, newest timestamp")
 
     def add(batch: DataFrame, n: int) -> None:
-        rows = batch.where(F.col(at).isNotNull()).groupBy(F.date_trunc("day", at).alias("day"), key).agg(F.count("*").alias("n"), F.max(at).alias("newest"))
-        counts = spark.read.parquet(f"{root}/{versions[-1]}").unionByName(rows) if versions else rows
-        counts.groupBy("day", key).agg(F.sum("n").alias("n"), F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{root}/{n}")
-        versions.append(n)
-
-    run_batches(events, add, name)
-    if not versions:
-        return spark.createDataFrame([], f"day timestamp, {key} string, n long")
-    counts = spark.read.parquet(f"{root}/{versions[-1]}")
+        table.write(batch.where(F.col(at).isNotNull()).groupBy(F.date_trunc("day", at).alias("day"), key).agg(F.count("*").alias("n"), F.max(at).alias("newest")), n)
+
+    run_batches(events, add, root)
+    counts = table.read().groupBy("day", key).agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
     if late is not None:
         newest = counts.agg(F.max("newest").alias("end"))
         counts = counts.crossJoin(F.broadcast(newest)).where(F.expr(f"day + interval 1 day <= end - interval {late}"))
     return counts.select("day", key, "n")
 
 
-def price_change_stream(observations: DataFrame, tolerance: float = 0.5, name: str = "prices") -> DataFrame:
+def price_change_stream(observations: DataFrame, tolerance: float = 0.5, root: str | None = None, shards: int = 64) -> DataFrame:
     """ST2: changes of price against the last observation before it, in whatever order observations come.
 
-    Each batch adds its rows to a written history, without touching what is there. A late row changes what comes before its successor, so
-    the changes are taken from the history of each listing, once, when all batches are in.
+    The history is kept in shards by listing. A batch adds its rows, reads the shards that its listings are in and works out the changes of those
+    listings anew, since a late row also changes what comes after it; the last batch that had a listing gives its changes.
     """
-    spark = observations.sparkSession
-    root = scratch_path(spark, name)
-    versions: list[int] = []
+    spark, root = observations.sparkSession, root or scratch_path(observations.sparkSession, "prices")
+    row = "listing_id string, seen_at timestamp, price_eur double"
+    history = BatchTable(spark, f"{root}/history", f"{row}, shard int")
+    changes = BatchTable(spark, f"{root}/changes", f"{row}, before double")
+    done = KeyedTable(spark, f"{root}/done", "listing_id string, made int", ["listing_id"])
 
     def add(batch: DataFrame, n: int) -> None:
-        batch.select("listing_id", "seen_at", "price_eur").write.mode("overwrite").parquet(f"{root}/batch={n}")
-        versions.append(n)
+        rows = batch.select("listing_id", "seen_at", "price_eur").withColumn("shard", F.pmod(F.xxhash64("listing_id"), F.lit(shards)).cast("int"))
+        history.write(rows.repartition("shard").sortWithinPartitions("shard"), n)  # a file's least and greatest shard let a read skip it
+        touched = history.read(n + 1).where(F.col("batch") == n)
+        shards_met = [r.shard for r in touched.select("shard").distinct().collect()]  # ``shards`` numbers at most
+        ids = touched.select("listing_id").distinct()
+        own = history.read(n + 1).where(F.col("shard").isin(shards_met)).hint("merge").join(ids, "listing_id", "left_semi")
+        changes.write(price_changes(own.select("listing_id", "seen_at", "price_eur"), tolerance), n)
+        done.write(ids.withColumn("made", F.lit(n)), n)
 
-    run_batches(observations, add, name)
-    history = spark.read.schema("listing_id string, seen_at timestamp, price_eur double").parquet(*[f"{root}/batch={n}" for n in versions]) if versions else spark.createDataFrame([], "listing_id string, seen_at timestamp, price_eur double")
-    return price_changes(history, tolerance).select("listing_id", "seen_at", "before", "price_eur")
+    run_batches(observations, add, root)
+    last = done.state().withColumnRenamed("made", "batch")
+    return changes.read().hint("merge").join(last, ["listing_id", "batch"]).select("listing_id", "seen_at", "before", "price_eur")
+
+
+def sitemap_stream(snapshots: DataFrame, root: str | None = None) -> DataFrame:
+    """ST3: (snapshot, url, lastmod) of every entry that was new or changed when its snapshot came, over a stream of (snapshot, url, lastmod).
+
+    The state is the lastmod that was stored last for each url, replaced when an entry is due (J10). Snapshots of a url come in order, in one batch
+    or in several; one that comes after a later one counts for nothing. Of entries that repeat a url in a snapshot the greatest lastmod counts.
+    """
+    spark, root = snapshots.sparkSession, root or scratch_path(snapshots.sparkSession, "sitemap")
+    state = KeyedTable(spark, f"{root}/state", "url string, lastmod string, snapshot long", ["url"])
+    due = BatchTable(spark, f"{root}/due", "snapshot long, url string, lastmod string")
+
+    def capture(batch: DataFrame, n: int) -> None:
+        entries = batch.where("url is not null").groupBy("url", F.col("snapshot").cast("long").alias("snapshot")).agg(F.max(F.coalesce("lastmod", F.lit(""))).alias("lastmod"))
+        known = state.state(n).select("url", F.col("lastmod").alias("stored"), F.col("snapshot").alias("upto"))
+        met = entries.hint("merge").join(known, "url", "left").where("upto is null or snapshot > upto")
+        w = Window.partitionBy("url").orderBy("snapshot")
+        # what is stored before an entry: the last dated entry of this batch, else the state, else the first entry of all
+        before = F.coalesce(F.last(F.nullif("lastmod", F.lit("")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "stored", F.when(F.row_number().over(w) > 1, ""))
+        rows = met.withColumn("before", before).withColumn("is_due", F.col("before").isNull() | ((F.col("lastmod") != "") & (F.col("lastmod") != F.col("before")))).persist()
+        due.write(rows.where("is_due"), n)
+        newest = rows.groupBy("url").agg(F.max("snapshot").alias("snapshot"), F.max_by(F.when(F.col("lastmod") != "", F.col("lastmod")).otherwise(F.coalesce("before", F.lit(""))), "snapshot").alias("lastmod"))
+        state.write(newest, n)
+        rows.unpersist()
+
+    run_batches(snapshots, capture, root)
+    return due.read().drop("batch")
+
+
+def post_check_stream(posts: DataFrame, references: Callable[[int], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame], schema: str, root: str | None = None) -> DataFrame:
+    """ST7: what ``judge(posts, references)`` gives for a stream of posts, each against the references that are newest when its batch comes.
+
+    ``references(number of the batch)`` reads the static side; it is read anew for each batch, so a table that another job replaces between
+    batches is met in its newer version, and posts that were judged before stay as they were.
+    """
+    root = root or scratch_path(posts.sparkSession, "posts")
+    table = BatchTable(posts.sparkSession, f"{root}/verdicts", schema)
+    run_batches(posts, lambda batch, n: table.write(judge(batch, references(n)), n), root)
+    return table.read().drop("batch")
