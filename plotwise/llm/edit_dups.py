@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +28,14 @@ from plotwise.operators.components import connected_components
 from plotwise.scratch import write_table
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a text's bag of words, and how many occurrences of a word have a bit; later ones are counted.
+BAG, LABELS = 4096, 8
+#: Texts of one key that are compared with as many others at a time.
+BLOCK = 512
 #: Bits of the bucket in which an element of a text is counted, and how many rare elements two texts must share.
 BITS, SHARED = 18, 3
+#: Up to so many others that a text meets by its rare elements, on average, texts are brought together by them; beyond it, in blocks.
+MET = 16.0
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -125,6 +132,77 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, sketches: int, kee
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n_words.astype(np.int32)), keys], names=["id", "h", "n_words", "keys"])
 
 
+def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, more): of each text, bits of its occurrence-labelled words, and how many words have a label too high for a bit.
+
+    An edit adds at most one labelled word to a text and takes at most one from it, so two texts are at least as many edits apart as either has
+    bits, and further words, that the other lacks.
+    """
+    words, n_words = word_hashes(texts)
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    seen = occurrences(words, doc)
+    low = seen < np.uint64(LABELS)
+    bits = np.zeros((len(n_words), BAG), bool)
+    bits[doc[low], mixed(words[low] + (seen[low] + np.uint64(1)) * ODD) % np.uint64(BAG)] = True
+    return np.packbits(bits, axis=1), np.bincount(doc[~low], minlength=len(n_words))
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, to in text_slices(batch.column(1), 2_000_000):
+            for at in range(lo, to, 1000):
+                part = batch.slice(at, min(1000, to - at))
+                bits, more = bags(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(more)], names=["uid", "bits", "more"])
+
+
+def _lacks(bits: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least number of labelled words of each text i that its text j lacks."""
+    return np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64) + np.maximum(more[i] - more[j], 0)
+
+
+def _blocks_met(rows: pd.DataFrame, held: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """The pairs of all block pairs in ``rows`` that may be alike: in different components, with lengths and bags that allow the similarity, and
+    under the first of their common keys, so that no pair comes twice. ``held`` has the bag and the keys of each text in ``rows``."""
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "most")})
+    if not len(rows):
+        return none
+    held = held.sort_values("uid")
+    bits = np.frombuffer(b"".join(held["bits"]), np.uint64).reshape(len(held), -1)
+    keys, uid, more = np.stack(held["keys"].to_numpy()), held["uid"].to_numpy(), held["more"].to_numpy()
+    text = np.searchsorted(uid, rows["uid"].to_numpy())
+    key, right, n, component = (rows[c].to_numpy() for c in ("key", "right", "n_words", "component"))
+    order = np.lexsort((rows["j"], rows["i"], key))
+    meets = rows["i"].to_numpy()[order], rows["j"].to_numpy()[order], key[order]
+    new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in meets], axis=0)])
+    out = [none]
+    for lo, to in zip(new, np.r_[new[1:], len(order)]):
+        own = order[lo:to]
+        left, other = own[~right[own]], own[right[own]]
+        same = meets[0][lo] == meets[1][lo]  # a block that meets itself comes once
+        other = left if same else other
+        step = max(1, 100_000 // max(len(other), 1))
+        for at in range(0, len(left), step):
+            part = left[at : at + step]
+            most = np.floor(np.maximum(n[part][:, None], n[other][None]) * (1 - similarity) + 1e-9)
+            may = (component[part][:, None] != component[other][None]) & (np.abs(n[part][:, None] - n[other][None]) <= most)
+            if same:
+                may &= text[part][:, None] < text[other][None]
+            i, j = np.nonzero(may)
+            limit, i, j = most[i, j], text[part[i]], text[other[j]]
+            for k in range(0, len(i), 5_000):
+                a, b, m = i[k : k + 5_000], j[k : k + 5_000], limit[k : k + 5_000]
+                common = keys[a] == keys[b]
+                here = keys[a, common.argmax(axis=1)] == key[own[0]]
+                a, b, m = a[here], b[here], m[here]
+                near = _lacks(bits, more, a, b) <= m
+                a, b, m = a[near], b[near], m[near]
+                near = _lacks(bits, more, b, a) <= m
+                x, y = uid[a[near]], uid[b[near]]
+                out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "most": m[near].astype(np.int64)}))
+    return pd.concat(out)
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[pa.RecordBatch]:
     """(kind, bucket, n): the elements of all texts of a task, counted by bucket; kind is the number of words of an element."""
     sums = np.zeros((len(kinds), 1 << BITS), np.int64)
@@ -156,13 +234,17 @@ def rare_elements(texts: pa.Array, counts: np.ndarray, kind: int, share: float)
 
 
 def _costs(batches: Iterator[pa.RecordBatch], counts: dict, share: float) -> Iterator[pa.RecordBatch]:
-    """(kind, cost): how many times the rare elements of a task's texts occur in all texts, about."""
-    cost = dict.fromkeys(counts, 0.0)
+    """(kind, cost, texts): how many other texts the rare elements of a task's texts occur in, about; what the usual bucket holds is put down to the many
+    elements that share it by chance."""
+    cost, texts = dict.fromkeys(counts, 0.0), 0
+    usual = {k: float(np.median(n) + 3 * np.sqrt(np.median(n))) for k, n in counts.items()}
     for batch in batches:
+        texts += batch.num_rows
         for lo, to in text_slices(batch.column(1), 2_000_000):
             for kind in cost:
-                cost[kind] += float(rare_elements(batch.column(1).slice(lo, to - lo), counts[kind], kind, share)[2].sum())
-    yield pa.RecordBatch.from_arrays([pa.array(list(cost), pa.int32()), pa.array(list(cost.values()), pa.float64())], names=["kind", "cost"])
+                found = rare_elements(batch.column(1).slice(lo, to - lo), counts[kind], kind, share)[2]
+                cost[kind] += float(np.maximum(found - 1 - usual[kind], 0).sum())
+    yield pa.RecordBatch.from_arrays([pa.array(list(cost), pa.int32()), pa.array(list(cost.values()), pa.float64()), pa.array([texts] * len(cost))], names=["kind", "cost", "texts"])
 
 
 def _rare(batches: Iterator[pa.RecordBatch], counts: np.ndarray, kind: int, share: float) -> Iterator[pa.RecordBatch]:
@@ -287,26 +369,29 @@ def _pivots(parts: DataFrame, turn: int) -> DataFrame:
     return ends.select("key", F.explode(F.array("large", "small")).alias("end")).select("key", F.col("end.component").alias("main"), F.col(f"end.pick_{turn}.p").alias("p"), F.col(f"end.pick_{turn}.n_p").alias("n_p"))
 
 
-def _pairs_left(asked: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, most) of the texts in ``asked`` (uid, text, n_words, component, outer) that may be alike, are in different components and not both
-    without ``outer``: all pairs within the similarity, and few others.
-
-    Texts that are alike share rare elements (``rare_elements``), so only texts that do meet, by an equi-join on the element; a passage that
-    thousands of texts have in common brings no two of them together as long as it leaves each some elements of its own. Elements are single words or
-    pairs of words, whichever occur less often where they are rare, by counts in a fixed number of buckets.
-    """
-    spark, share = asked.sparkSession, 1 - similarity
-    kinds = (1, 2) if share < 0.25 else (1,)  # with more edits, two texts may have no pair of words in common
-    sums = asked.select("uid", "text").mapInArrow(partial(_bucket_counts, kinds=kinds), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+def _element_counts(asked: DataFrame, kinds: tuple) -> dict[int, np.ndarray]:
+    """How often the elements of each kind occur in the texts of ``asked``, by bucket: a fixed number of counts."""
+    sums = asked.select("uid", "text").mapInArrow(partial(_bucket_counts, kinds=kinds), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = {k: np.zeros(1 << BITS, np.float32) for k in kinds}
-    for k, own in sums.groupby("kind"):
-        counts[k][own["bucket"]] = own["n"]
-    if not len(sums):
-        return spark.createDataFrame([], "a long, b long, most long")
-    cost = asked.select("uid", "text").mapInArrow(partial(_costs, counts=counts, share=share), "kind int, cost double").groupBy("kind").agg(F.sum("cost").alias("cost")).collect()
-    kind = min(cost, key=lambda r: (r["cost"], r["kind"]))["kind"]
+    kind, bucket, n = (sums.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+    for k in kinds:
+        counts[k][bucket[kind == k]] = n[kind == k]
+    return counts
+
+
+def _rarest_kind(asked: DataFrame, counts: dict[int, np.ndarray], share: float) -> tuple[int, float]:
+    """(kind, how many others a text meets by its rare elements of that kind, on average) of the kind whose elements meet least."""
+    cost = asked.select("uid", "text").mapInArrow(partial(_costs, counts=counts, share=share), "kind int, cost double, texts long").groupBy("kind").agg((F.sum("cost") / F.greatest(F.sum("texts"), F.lit(1))).alias("cost")).collect()
+    best = min(cost, key=lambda r: (r["cost"], r["kind"]), default=None)
+    return (best["kind"], best["cost"]) if best else (1, 0.0)
+
+
+def _pairs_by_elements(asked: DataFrame, counts: np.ndarray, kind: int, similarity: float) -> DataFrame:
+    """(a, b, most) of the texts in ``asked`` (uid, text, n_words, component, outer) that may be alike, are in different components and not both
+    without ``outer``, by an equi-join on their rare elements, of which texts that are alike share some."""
+    share = 1 - similarity
     schema = "element long, uid long, n_words int, component long, outer boolean"
-    rows = write_table(asked.select("uid", "text", "n_words", "component", "outer").mapInArrow(partial(_rare, counts=counts[kind], kind=kind, share=share), schema), "rare")
+    rows = write_table(asked.select("uid", "text", "n_words", "component", "outer").mapInArrow(partial(_rare, counts=counts, kind=kind, share=share), schema), "rare")
     a, b = rows.where("outer").alias("a"), rows.alias("b")
     alike = F.least("a.n_words", "b.n_words") >= F.greatest("a.n_words", "b.n_words") * (similarity - 1e-9)
     once = ~F.col("b.outer") | (F.col("a.uid") < F.col("b.uid"))
@@ -317,14 +402,41 @@ def _pairs_left(asked: DataFrame, similarity: float) -> DataFrame:
     return found.select("a", "b", _edits("n", "m", similarity).cast("long").alias("most"))
 
 
+def _pairs_by_blocks(outer: DataFrame, core: DataFrame, bagged: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, most) of the texts of one key that are in different components and may be alike, without regard to what they share: those of ``outer`` (key, uid, n_words, component)
+    with each other and with those of ``core``, the largest component of each key.
+
+    The texts of a key are dealt to blocks of about ``BLOCK`` by length class. Pairs of blocks meet in tasks, but not two blocks of ``core``, nor
+    blocks of lengths too far apart. A task holds some pairs of blocks at a time, each text's bag once, and gives out only the pairs of
+    texts whose bags of words allow the similarity.
+    """
+    both = outer.withColumn("core", F.lit(False)).unionByName(core.withColumn("core", F.lit(True)))
+    named = both.withColumn("rung", F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1.0001 / similarity))).cast("int"))
+    held = write_table(named.groupBy("key", "core", "rung").agg(F.pow(2, F.ceil(F.log2(F.count("*") / BLOCK))).cast("int").alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1))), "held")
+    block = lambda no: F.concat_ws(":", F.col("core").cast("string"), F.col("rung").cast("string"), F.col("blocks").cast("string"), no.cast("string"))
+    dealt = write_table(named.hint("merge").join(held, ["key", "core", "rung"]).withColumn("block", block(F.pmod(F.xxhash64("uid"), "blocks"))).drop("core", "rung", "blocks"), "dealt")
+    blocks = write_table(held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no")).select("key", "core", "rung", block(F.col("no")).alias("block")), "blocks")
+    i, j = blocks.where("not core").select("key", F.col("rung").alias("rung_i"), F.col("block").alias("i")), blocks.select("key", "core", "rung", F.col("block").alias("j"))
+    meets = write_table(i.hint("merge").join(j, "key").where((F.abs(F.col("rung_i") - F.col("rung")) <= 1) & (F.col("core") | (F.col("i") <= F.col("j")))).select("key", "i", "j"), "meets")
+    # the same pair of blocks of many keys has much the same texts, so these come together, in parts of bounded size
+    alike_blocks = meets.groupBy("i", "j").agg(F.ceil(F.count("*") / 20).cast("int").alias("parts"))
+    meets = write_table(meets.hint("merge").join(alike_blocks, ["i", "j"]).select("key", "i", "j", F.xxhash64("i", "j", F.pmod(F.xxhash64("key"), "parts")).alias("group")), "groups")
+    at = lambda side: dealt.hint("merge").join(meets.withColumn("block", F.col(side)), ["key", "block"]).drop("block")
+    rows = write_table(at("i").withColumn("right", F.lit(False)).unionByName(at("j").where("i <> j").withColumn("right", F.lit(True))), "meeting")
+    texts = write_table(rows.select("group", "uid").distinct().hint("merge").join(bagged, "uid"), "bags_met")
+    return rows.groupBy("group").cogroup(texts.groupBy("group")).applyInPandas(partial(_blocks_met, similarity=similarity), "a long, b long, most long")
+
+
 def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5, sketches: int = 72, keep: int = 2, rounds: int = 4, seed: int = 11) -> DataFrame:
     """(doc_id, text_md5, class_id, n_class, kept) for every row of ``docs``; other columns are not read.
 
     Equal texts form one class by their hash before anything else, so thousands of copies cost one row each. Then come up to ``rounds`` rounds
     of linear work: under each key, one text of its largest component and one of its smallest are compared with the texts of other
     components; links join components, and keys whose texts are all in one component are done. Of the texts of the keys that are left, those in
-    different components that share enough of their rarest words, as texts within the similarity must, are compared by alignment. So the
-    classes are those of all candidate pairs, without listing the pairs inside a large group or of texts that have a passage in common.
+    different components that share enough of their rarest words, as texts within the similarity must, are compared by alignment. Where even rare
+    words are shared by many, as in a large group of copies near the threshold, the texts of a key meet in blocks instead, by length and bag of
+    words, which leave out only pairs that cannot be alike. So the classes are those of all candidate pairs, without listing the pairs inside a
+    large group or of texts that have a passage in common.
 
     class_id is the least doc_id of the class (null only if all are null); one row of each class is kept: the first by doc_id, nulls last.
     Null texts count as empty; empty texts, and texts of white space alone, are equal only to themselves. Texts with fewer words than
@@ -372,9 +484,17 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
         pivots = _pivots(parts, turn + 1)
     core = shared.hint("merge").join(main, "key").hint("merge").join(labels, "uid").where("component = main")
     sides = outer.select("uid", F.lit(True).alias("outer")).union(core.select("uid", F.lit(False))).groupBy("uid").agg(F.max("outer").alias("outer"))
-    sides = sides.hint("merge").join(labels, "uid").hint("merge").join(everything.select("uid", "n_words"), "uid")
-    asked = write_table(texts.hint("merge").join(sides, "uid").select("uid", "text", "n_words", "component", "outer"), "asked")
-    near = write_table(_pairs_left(asked, similarity), "near")
+    sides = write_table(sides.hint("merge").join(labels, "uid").hint("merge").join(everything.select("uid", "n_words"), "uid"), "sides")
+    asked = write_table(texts.join(sides, "uid").select("uid", "text", "n_words", "component", "outer"), "asked")  # broadcast only where the files of ``sides`` are small
+    counts = _element_counts(asked, (1, 2) if similarity > 0.75 else (1,))  # with more edits, two texts may have no pair of words in common
+    kind, met = _rarest_kind(asked, counts, 1 - similarity)
+    if met <= MET:
+        near = _pairs_by_elements(asked, counts[kind], kind, similarity)
+    else:
+        bagged = asked.select("uid", "text").mapInArrow(_bags, "uid long, bits binary, more long")
+        bagged = write_table(bagged.hint("merge").join(everything.select("uid", "keys"), "uid"), "bags")
+        near = _pairs_by_blocks(outer, core.drop("main"), bagged, similarity)
+    near = write_table(near, "near")
     pairs = write_table(near.hint("merge").join(tried, ["a", "b"], "left_anti"), "pairs")
     labels = write_table(_moved(labels, _moves(_distances(pairs, texts, "links"), labels)), "labels")
 

@@ -187,17 +187,17 @@ def test_a_common_passage_brings_no_texts_together(spark):
     passage = " ".join(f"p{i}" for i in range(50))
     for n in (500, 2000):
         rows = spark.createDataFrame([(i, passage + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for i in range(n)], "doc_id long, text string")
-        seen, kept = [], module._pairs_left
+        seen, kept = [], module._pairs_by_elements
 
         def counted(*args, seen=seen, kept=kept):
             pairs = kept(*args)
             seen.append(pairs.count())
             return pairs
 
-        module._pairs_left = counted
+        module._pairs_by_elements = counted
         try:
             assert near_duplicate_documents(rows).where("kept").count() == n
         finally:
-            module._pairs_left = kept
+            module._pairs_by_elements = kept
         made[n] = sum(seen)
     assert made[2000] <= 4 * made[500] + 50
