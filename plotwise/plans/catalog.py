@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions import pricing, text
-from plotwise.operators import alerts, dedupe, feedback, geo, market, runs, scoring, stages, upsert
-from plotwise.plans import oracle
+from plotwise.operators import alerts, analysis, dedupe, feedback, geo, market, reasons, runs, scoring, stages, upsert
+from plotwise.plans import oracle, texts
 from plotwise.scratch import write_table
 from plotwise.sources import pages
 from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, stale_details
@@ -427,6 +427,33 @@ def _prioritised(spark, sf_dir):
     return found.withColumn("priority", alerts.detail_priority(("NATION_1", "NATION_2", "NATION_3"), (120, 900)))
 
 
+@query
+def eligible_listings(spark, sf_dir):
+    """P8."""
+    return analysis.eligible(_scored_base(spark, sf_dir), 45).select("id", "deal", "days_listed")
+
+
+@query
+def all_models(spark, sf_dir):
+    """D20, UD2: the deals of all registered models over one table of references."""
+    found = analysis.analyse(_scored_base(spark, sf_dir), as_settings(), MINS)
+    return rounded(found)
+
+
+@query
+def all_penalties(spark, sf_dir):
+    """Rejections for all kinds of reasons against deals of the same researcher: by size, place, and what their texts say."""
+    codes = ("sml", "big", "loc", "prc", "str", "far", "ren", "bsm", "old", "nhm", "tit", "shr", "agr", "ter", "dup")
+    v = _votes(spark, sf_dir).where("vote < 0")
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % 15 + 1).cast("int"))
+    rejections = v.select("researcher", "listing_id", code.alias("reason"), "kind", "city", "district", F.col("area_m2").alias("area"))
+    said = ("Стан за реновирање", "Сутерен 40м2", "без лифт", "Деловен простор", "без имотен лист", "1/2 идеален дел", "Нива", "стрмна падина", "Стан")
+    n = F.col("source_no")
+    title = F.element_at(F.array(*map(F.lit, said)), (n % 9 + 1).cast("int"))
+    items = listings(spark, sf_dir).select(F.concat(F.lit("r"), (n % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), title.alias("title"), F.lit(None).cast("string").alias("description"))
+    return rounded(reasons.penalties(items, rejections).select("researcher", "id", "penalty", F.array_join("reasons", ",").alias("reasons")))
+
+
 @query
 def detail_priority(spark, sf_dir):
     return _prioritised(spark, sf_dir).select("id", "priority")
@@ -546,8 +573,8 @@ def advert_facts(spark, sf_dir):
 def parsed_ads(spark, sf_dir):
     """X5, X6, X7, X13."""
     t = F.col("text")
-    u = text.utilities(text.norm(t))
-    return rounded(_ads(spark, sf_dir).select("id", text.parse_price(t).alias("price"), text.parse_area(t).alias("area"), text.deal_type(F.col("title"), t, F.col("price_eur"), F.col("kind")).alias("deal"), *[u[k].alias(k) for k in scoring.UTILITIES]))
+    ads = _ads(spark, sf_dir).withColumn("u", text.once(text.norm(t), text.utilities))
+    return rounded(ads.select("id", text.parse_price(t).alias("price"), text.parse_area(t).alias("area"), text.deal_type(F.col("title"), t, F.col("price_eur"), F.col("kind")).alias("deal"), *[F.col("u")[k].alias(k) for k in scoring.UTILITIES]))
 
 
 @query
@@ -639,3 +666,7 @@ def stream_sitemap(spark, sf_dir):
     p = jobs.read_stream(spark, f"{sf_dir}/pages.parquet").select("url", "page_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("snapshot"))
     lastmod = F.when((F.col("page_id") + F.col("snapshot")) % 5 == 0, "").otherwise((F.col("page_id") * (F.col("snapshot") + 1) % 3).cast("string"))
     return jobs.sitemap_stream(p.select(F.col("snapshot").cast("long").alias("snapshot"), "url", lastmod.alias("lastmod")))
+
+
+QUERIES |= texts.QUERIES
+SQL |= texts.SQL

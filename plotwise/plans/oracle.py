@@ -107,7 +107,7 @@ SQL["known_ids"] = f"{VOTES} select id, kind from L where id in (select listing_
 SQL["top_n_per_model"] = f"{L}, {ITEMS}, RN as (select researcher, id, score, row_number() over (partition by researcher order by score desc, id) as place from I where qualified) select researcher, id, score, place from RN where place <= 5"
 SQL["price_changes"] = f"{L}, PD as (select district as listing_id, last_seen as seen_at, min(price_eur) as price_eur from L where district is not null group by 1, 2), BF as (select *, lag(price_eur) over (partition by listing_id order by seen_at) as before from PD) select listing_id, seen_at, (price_eur) as price_eur, (before) as before from BF where abs(price_eur - before) > 0.5"
 SQL["price_history_arrays"] = f"{L} select district, count(*) as n, (min_by(price_eur, (last_seen, id))) as first, (max_by(price_eur, (last_seen, id))) as last from L where district is not null group by 1"
-TWO = f"{L}, C as (select * from L where source_no % 3 <> 0), N as (select id, title || ' new' as title, case when source_no % 4 = 0 then price_eur * 0.9e0 else price_eur end as price_eur, site_old_price from L where source_no % 2 = 0)"
+TWO = f"{L}, C as (select * from L where source_no % 3 <> 0), N as (select id, title || ' new' as title, case when source_no % 4 = 0 then price_eur * 0.9e0 else price_eur end as price_eur, site_old_price, last_seen from L where source_no % 2 = 0)"
 SQL["upsert_merge"] = f"{TWO} select id, case when C.id is null then N.title when N.id is not null and C.detail_at is null then coalesce(N.title, C.title) else C.title end as title, (case when C.id is null then N.price_eur when abs(N.price_eur - C.price_eur) > 0.5 then N.price_eur else C.price_eur end) as price_eur, (case when C.id is null then coalesce(N.site_old_price, N.price_eur) else C.first_price end) as first_price, C.id is null as is_new, coalesce(abs(N.price_eur - C.price_eur) > 0.5, false) as changed from C full join N using (id)"
 SQL["partial_update"] = f"{TWO} select id, coalesce(N.title, C.title) as title, (case when N.id is not null then N.site_old_price else C.site_old_price end) as site_old_price, (C.price_eur) as price_eur from C left join N using (id)"
 SQL["prune_cascade"] = f"{L} select id as listing_id, (price_eur) as price_eur from L where last_seen >= {DAY} - interval 400 days"
@@ -199,4 +199,15 @@ SQL["stream_sitemap"] = """with EN as (select url, cast(s as bigint) as snapshot
 B as (select *, row_number() over (partition by url order by snapshot) as k, last_value(nullif(lastmod, '') ignore nulls) over (partition by url order by snapshot rows between unbounded preceding and 1 preceding) as stored from EN)
 select snapshot, url, lastmod from B where k = 1 or (lastmod <> '' and lastmod <> coalesce(stored, ''))"""
 _LAST = "qualify row_number() over (partition by id order by last_seen desc, price_eur desc) = 1"
-SQL["stream_upsert"] = f"select id, title, price_eur, first_price, cast((is_new or changed) and price_eur is not null as bigint) as n_history from ({SQL['upsert_merge'].replace(' from C full join N ', f' from (select * from C {_LAST}) C full join (select * from N {_LAST}) N ')})"
+SQL["stream_upsert"] = f"select id, title, price_eur, first_price, cast((is_new or changed) and price_eur is not null as bigint) as n_history from ({SQL['upsert_merge'].replace(TWO, f'{TWO}, C1 as (select * from C {_LAST}), N1 as (select * from N {_LAST})').replace(' from C full join N ', ' from C1 C full join N1 N ')})"
+SQL["eligible_listings"] = f"{L} select id, deal, source_no % 90 as days_listed from L where deal <> 'wanted' and not sold and source_no % 90 <= 45"
+_MODEL_SQL = (("land", "score_land", "qualified"), ("weekend", "score_high_plots", "qualified"), ("flip", "score_flip", "cast(right(id, 1) as int) % 3 <> 0"), ("motivated", "score_motivated", "true"))
+SQL["all_models"] = " union all ".join(f"select '{name}' as researcher, id, score, {fine} as qualified from ({SQL[q]})" for name, q, fine in _MODEL_SQL)
+_CODES = "['sml', 'big', 'loc', 'prc', 'str', 'far', 'ren', 'bsm', 'old', 'nhm', 'tit', 'shr', 'agr', 'ter', 'dup']"
+SQL["all_penalties"] = f"""{VOTES}, IT as (select 'r' || source_no % 4 as researcher, id, kind, city, district, area_m2 as area, ['ren', 'bsm', 'old', 'nhm', 'tit', 'shr', 'agr', 'ter', ''][source_no % 9 + 1] as says from L),
+RJ as (select researcher, listing_id, {_CODES}[event_id % 15 + 1] as reason, kind, city, district, area_m2 as area from V where vote < 0),
+SL as (select researcher, reason, count(*) as n, list_sort(list(area))[cast(floor(count(area) / 2) as int) + 1] as lim from RJ group by 1, 2),
+HP as (select i.researcher, i.id, SL.reason from IT i join SL using (researcher) where (SL.reason = 'sml' and i.area <= SL.lim) or (SL.reason = 'big' and i.area >= SL.lim) or SL.reason = i.says
+union select i.researcher, i.id, r.reason from IT i join RJ r on r.researcher = i.researcher and r.listing_id <> i.id and ((r.reason = 'loc' and r.city = i.city and r.district = i.district) or (r.reason in ('prc', 'str') and r.kind = i.kind and r.city = i.city) or (r.reason = 'far' and r.city = i.city))),
+HN as (select HP.*, (select count(*) from RJ r where r.researcher = HP.researcher and r.reason = HP.reason and r.listing_id <> HP.id) as n from HP)
+select researcher, id, round(sum(-12e0 * n / (n + 2)) + 1e-9, 4) + 0.0 as penalty, string_agg(reason, ',' order by reason) as reasons from HN where n > 0 group by 1, 2"""
