@@ -22,6 +22,14 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in docs.columns]
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _own_key() -> Column:
     return _key(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
@@ -39,18 +47,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates; of rows that repeat id and text, one."""
-    kept = write_table(near_duplicate_documents(docs).where("kept").select(_key(F.col("text_md5")).alias("key of the row")), "kept")
-    keyed = docs.withColumn("key of the row", _own_key())
-    return keyed.hint("merge").join(kept, "key of the row", "left_semi").dropDuplicates(["key of the row"]).drop("key of the row").select(*_columns(docs))
+    key = _free(docs, "key of the row")
+    kept = write_table(near_duplicate_documents(docs).where("kept").select(_key(F.col("text_md5")).alias(key)), "kept")
+    keyed = docs.withColumn(key, _own_key())
+    return keyed.hint("merge").join(kept, key, "left_semi").dropDuplicates([key]).select(*_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the identifiers in their text replaced by [EMAIL], [IP], [CARD], [PHONE] or [FOUND]; n_chars follows the text."""
-    spans = find_personal_data(docs).where("size(spans_list) > 0").select(_key(F.col("text_md5")).alias("key of the row"), F.col("spans_list").alias("spans of the row")).dropDuplicates(["key of the row"])
-    keyed = docs.withColumn("key of the row", _own_key()).hint("merge").join(write_table(spans, "found"), "key of the row", "left")
-    done = keyed.withColumn("text", F.when(F.col("spans of the row").isNotNull(), masked(F.col("text"), F.col("spans of the row"))).otherwise(F.col("text")))
+    key, found = _free(docs, "key of the row"), _free(docs, "spans of the row")
+    spans = find_personal_data(docs).where("size(spans_list) > 0").select(_key(F.col("text_md5")).alias(key), F.col("spans_list").alias(found)).dropDuplicates([key])
+    keyed = docs.withColumn(key, _own_key()).hint("merge").join(write_table(spans, "found"), key, "left")
+    done = keyed.withColumn("text", F.when(F.col(found).isNotNull(), masked(F.col("text"), F.col(found))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("spans of the row").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*_columns(docs))
 
 
@@ -61,7 +71,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("personal data", personal_data), ("packing", packing)]
 
-#: Training, sketches and tokenizers have no SQL form; tests compare each stage with a brute-force version.
+#: Training, sketches and tokenizers have no SQL form; tests/llm/test_pipeline.py holds near duplicates to all pairs, and the other stages to rules.
 ORACLE_SQL = None
 
 
