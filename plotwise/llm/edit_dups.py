@@ -456,9 +456,9 @@ def near_duplicate_documents(docs: DataFrame, id_col: str = "doc_id", text_col:
     texts = write_table(rows.select("h", "text").hint("merge").join(wanted, "h").dropDuplicates(["uid"]).select("uid", "text"), "wanted")
 
     close = F.least("n_p", "n_words") >= F.greatest("n_p", "n_words") * (similarity - 1e-9)
-    # at first a text meets the pivots of its two most frequent keys alone: a large group is joined by two pairs a text, and only what is
+    # at first a text meets the pivots of its three most frequent keys alone: a large group is joined by three pairs a text, and only what is
     # then in different components goes through all its keys
-    most = F.slice(F.sort_array(F.collect_set(F.struct("n", "p", "n_p")), asc=False), 1, 2)
+    most = F.slice(F.sort_array(F.collect_set(F.struct("n", "p", "n_p")), asc=False), 1, 3)
     first_met = shared.where((F.col("uid") != F.col("p")) & close).groupBy("uid", "n_words").agg(most.alias("most")).select("uid", "n_words", F.explode("most").alias("m")).select("uid", "n_words", "m.p", "m.n_p")
     shared = shared.select("key", "uid", "n_words")
     outer, parts, tried, pivots = shared.withColumn("component", F.col("uid")), None, None, None
