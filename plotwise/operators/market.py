@@ -14,47 +14,56 @@ KEYS = ["kind", "deal", "level", "city", "district", "band"]
 LEVELS = ("district", "city", "national")
 
 
-#: Distinct values that are put in order at a time, and parts into which a wider range is cut.
-FEW, PARTS = 2000, 256
+#: Rows of a group that are put in order at a time, and parts into which the range of a larger group is cut.
+FEW, PARTS = 10_000, 256
 
 
 def _same(keys: list[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, few: int = FEW, parts: int = PARTS, upper: bool = False) -> DataFrame:
+def exact_median(rows: DataFrame, keys: list[str], value: str, few: int = FEW, parts: int = PARTS, upper: bool = False, reread: bool = False) -> DataFrame:
     """(keys, median, n): exact medians, with null values left out and null keys as keys.
 
-    Values are counted once, with a map-side part. While the middle ranks of a group lie among more than ``few`` distinct values, their range is
-    cut into ``parts`` and narrowed to the parts that hold them. Only then are values put in order, so no task holds a whole group, however
-    large. Cutting the same number of values from both ends does not move a median, so this is also the robust median that trims a tenth
-    at each end. ``upper``: of two middle values the greater one instead of their mean.
+    A group of at most ``few`` rows is put in order at once. In a larger one the range of values is cut into ``parts`` and narrowed to the parts that
+    hold the middle ranks, until few rows or single values are left; equal values are then counted before they meet. So no task holds a large
+    group, also where one value makes up most of it. Cutting the same number of values from both ends does not move a median, so this is also
+    the robust median that trims a tenth at each end. ``upper``: of two middle values the greater one instead of their mean. The rows are read
+    once for each step, so they are written first; ``reread``: they come from a written table by cheap steps and need not be.
     """
-    counted = write_table(rows.where(F.col(value).isNotNull()).groupBy(*keys, (F.col(value).cast("double") + 0.0).alias("v")).agg(F.count("*").alias("c")), "counted")
-    state = counted.groupBy(keys).agg(F.sum("c").alias("n"), F.lit(0).cast("long").alias("below"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("inside"))
-    state = write_table(state, "ranges")
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + 0.0).alias("v"))
+    rows = rows if reread else write_table(rows, "values")
+    # written tables of one row a group: their true size decides how they are joined
+    state = write_table(rows.groupBy(keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups")
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    own = [F.col(f"s.{k}") for k in keys]
+
+    def within(ranges: DataFrame) -> DataFrame:
+        return rows.alias("c").join(ranges.alias("s"), _same(keys, "c", "s")).where(F.col("v").between(F.col("lo"), F.col("hi")))
+
+    small = within(state.where(f"n <= {few}")).select(*own, "n", F.lit(0).cast("long").alias("below"), "v", F.lit(1).cast("long").alias("c"))
+    large = state.where(f"n > {few}").withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")})
+    settled = []
     # each turn leaves at most two parts of a range; doubles are told apart long before the last one
     for _ in range(80):
-        wide = state.where(f"inside > {few} and lo < hi")
-        if wide.isEmpty():
+        settled.append(large.where(f"inside <= {few} or lo = hi"))
+        large = large.where(f"inside > {few} and lo < hi")
+        if large.isEmpty():
             break
         part = F.least(F.lit(parts - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).cast("int")
-        within = counted.alias("c").hint("merge").join(wide.alias("w"), _same(keys, "c", "w")).where(F.col("v").between(F.col("lo"), F.col("hi")))
-        bins = within.groupBy(*[F.col(f"w.{k}") for k in keys], "n", "below", part.alias("part")).agg(F.sum("c").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("held"))
+        bins = within(large).groupBy(*own, "n", "below", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("part"))  # at most ``parts`` rows a group
         hit = bins.withColumn("upto", upto).where(((F.col("upto") >= low) & (F.col("upto") - F.col("c") < low)) | ((F.col("upto") >= high) & (F.col("upto") - F.col("c") < high)))
-        narrow = hit.groupBy(*keys, "n").agg(F.min(F.col("upto") - F.col("c")).alias("below"), F.min("least").alias("lo"), F.max("most").alias("hi"), F.sum("held").alias("inside"))
-        state = write_table(state.where(f"not (inside > {few} and lo < hi)").unionByName(narrow), "ranges")
-    near = counted.alias("c").hint("merge").join(state.alias("s"), _same(keys, "c", "s")).where(F.col("v").between(F.col("lo"), F.col("hi")))
-    groups = near.groupBy(*[F.col(f"s.{k}") for k in keys], "n", "below").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("slots"))
-
-    def at(rank: Column) -> Column:
-        """The value at a rank, counted from 1."""
-        step = F.aggregate("slots", F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("v")), lambda a, s: F.struct((a["seen"] + s["c"]).alias("seen"), F.coalesce(a["v"], F.when(a["seen"] + s["c"] >= rank, s["v"])).alias("v")))
-        return step["v"]
-
-    return groups.select(*keys, (at(high) if upper else (at(low) + at(high)) / 2).alias("median"), "n")
+        held = F.sum(F.when(F.col("least") == F.col("most"), 1).otherwise(F.col("c")))
+        large = write_table(hit.groupBy(*keys, "n").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min(F.col("upto") - F.col("c")).alias("below"), held.alias("inside")), "ranges")
+    else:
+        settled.append(large)
+    if len(settled) > 1:
+        ranges = reduce(lambda a, b: a.unionByName(b), settled)
+        small = small.unionByName(within(ranges).groupBy(*own, "n", "below", "v").agg(F.count("*").alias("c")))
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    middle = small.withColumn("upto", upto).where(((F.col("upto") >= low) & (F.col("upto") - F.col("c") < low)) | ((F.col("upto") >= high) & (F.col("upto") - F.col("c") < high)))
+    return middle.groupBy(*keys).agg((F.max("v") if upper else (F.min("v") + F.max("v")) / 2).alias("median"), F.max("n").alias("n"))
 
 
 def unit_prices(rows: DataFrame) -> DataFrame:
@@ -77,9 +86,10 @@ def bucketed(rows: DataFrame) -> DataFrame:
 def market_refs(rows: DataFrame) -> DataFrame:
     """A1 + A2: (kind, deal, level, city, district, band, median, n) of every bucket.
 
-    Prices per square metre are worked out once and written, so that their use in six buckets each does not repeat the arithmetic.
+    Prices per square metre are worked out once and written, so that their use in six buckets each does not repeat the arithmetic. They are
+    written by place, large places over several files, so that sums before a shuffle leave about one row a bucket.
     """
-    return exact_median(bucketed(write_table(unit_prices(rows), "unit_prices")), KEYS, "v")
+    return exact_median(bucketed(write_table(unit_prices(rows).hint("rebalance", "kind", "deal", "city", "district"), "unit_prices")), KEYS, "v", reread=True)
 
 
 def market_summary(refs: DataFrame, least: int = 5) -> DataFrame:
@@ -112,7 +122,7 @@ def with_reference(rows: DataFrame, refs: DataFrame, mins: tuple[int, int, int]
     found = tried.alias("a").hint("merge").join(usable.alias("m"), _same(KEYS, "a", "m"))
     best = found.groupBy("a.own").agg(F.min_by(F.struct(F.col("m.median").alias("median"), F.col("m.n").alias("n"), F.col("a.level").alias("level"), F.col("a.band").alias("band")), F.col("a.order")).alias("r"))
     best = write_table(best.select("own", *[F.col(f"r.{c}").alias(f"{prefix}{c}") for c in ("median", "n", "level", "band")]), "answers")
-    return rows.hint("merge").join(best, F.col("key of the lookup").eqNullSafe(F.col("own")), "left").drop("key of the lookup", "own")
+    return rows.join(best, F.col("key of the lookup").eqNullSafe(F.col("own")), "left").drop("key of the lookup", "own")
 
 
 def with_discount(rows: DataFrame, local_only: bool = True) -> DataFrame:
