@@ -218,6 +218,20 @@ def rating(researcher: Column) -> Column:
     return F.when(~F.col("qualified"), F.greatest(rank, F.lit(3))).otherwise(rank)
 
 
+#: Signs and names of the tiers, best first.
+TIER_LABELS = (("💎", "Once-in-a-lifetime"), ("🔥", "Exceptional deal"), ("⭐", "Great deal"), ("👍", "Good deal"), ("👀", "Worth a look"))
+
+
+def rating_label(rank: Column) -> Column:
+    """What a tier is called."""
+    return F.get(F.array(*[F.lit(f"{sign} {name}") for sign, name in TIER_LABELS]), rank)
+
+
+def best_first(deals: DataFrame) -> DataFrame:
+    """O2: ``deals`` (researcher, id, rank, score) list by list, the better tier first, then the higher score. A sort by ranges: no task holds a list."""
+    return deals.orderBy("researcher", "rank", F.desc("score"), "id")
+
+
 def questions(researcher: Column) -> Column:
     """Codes of what only the seller can say. Needs has_details, kind, electricity, water, road, land_type, area."""
     land = F.col("kind") == "land"

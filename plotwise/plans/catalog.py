@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotwise.functions import pricing, text
 from plotwise.operators import alerts, analysis, dedupe, feedback, geo, market, reasons, runs, scoring, stages, upsert
-from plotwise.plans import oracle, texts
+from plotwise.plans import derived, oracle, owner, texts
 from plotwise.scratch import write_table
 from plotwise.sources import pages
 from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, stale_details
@@ -178,50 +178,28 @@ def elevation_lookup(spark, sf_dir):
     return geo.with_dimension(rows, dimension, 2).select("id", "cell", "cell_elevation")
 
 
-def _votes(spark, sf_dir, events=None):
-    """Votes derived from events: purchase and click are up, error is down; the user picks a researcher, the event any order of the table."""
-    e = (spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events).where("event_type in ('purchase', 'click', 'error')")
-    rows = listings(spark, sf_dir).select("id", "kind", "city", "district", "area_m2", "price_eur", "source_no")
-    own = rows.groupBy("source_no").agg(F.min("id").alias("id"))
-    e = e.select("event_id", F.col("ts").alias("at"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("researcher"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("vote"), "event_type", "value")
-    span = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg((F.max("l_orderkey") + 1).alias("span"))
-    order = F.col("event_id") * oracle.VOTE_STEP % F.col("span")
-    e = e.crossJoin(F.broadcast(span))
-    e = e.withColumn("source_no", order * 10 + 1 + F.col("event_id") % 6).drop("span")
-    return e.join(own, "source_no").join(rows.drop("source_no"), "id").withColumnRenamed("id", "listing_id")
-
-
 @query
 def latest_vote(spark, sf_dir):
-    return feedback.latest(_votes(spark, sf_dir).select("researcher", "listing_id", "vote", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"]).select("researcher", "listing_id", "vote")
+    return feedback.latest(derived.votes(spark, sf_dir).select("researcher", "listing_id", "vote", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"]).select("researcher", "listing_id", "vote")
 
 
 @query
 def vote_lean(spark, sf_dir):
-    counts = feedback.vote_counts(_votes(spark, sf_dir), ["researcher", "city"])
+    counts = feedback.vote_counts(derived.votes(spark, sf_dir), ["researcher", "city"])
     return rounded(counts.select("researcher", "city", "up", "down", feedback.lean(F.col("up"), F.col("down")).alias("lean")))
 
 
-def _items(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    return rows.select(F.concat(F.lit("r"), (F.col("source_no") % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), (F.col("source_no") % 101 + 0.0).alias("score"), (F.col("source_no") % 3 != 0).alias("qualified"))
-
-
-def _latest_votes(spark, sf_dir):
-    return feedback.latest(_votes(spark, sf_dir).select("researcher", "listing_id", "vote", "kind", "city", "district", "at", "event_id"), ["researcher", "listing_id"], ["at", "event_id"])
-
-
 @query
 def feedback_rerank(spark, sf_dir):
-    return rounded(feedback.rerank(_items(spark, sf_dir), _latest_votes(spark, sf_dir)).select("researcher", "id", "score", "delta"))
+    return rounded(feedback.rerank(derived.items(spark, sf_dir), derived.latest_votes(spark, sf_dir)).select("researcher", "id", "score", "delta"))
 
 
 @query
 def rejection_penalties(spark, sf_dir):
-    v = _votes(spark, sf_dir).where("vote < 0")
+    v = derived.votes(spark, sf_dir).where("vote < 0")
     code = F.element_at(F.array(*map(F.lit, ("sml", "big", "loc", "prc", "str"))), (F.col("event_id") % 5 + 1).cast("int"))
     rejections = v.select("researcher", "listing_id", code.alias("reason"), "kind", "city", "district", F.col("area_m2").alias("area"))
-    return rounded(feedback.rejection_penalties(_items(spark, sf_dir), rejections))
+    return rounded(feedback.rejection_penalties(derived.items(spark, sf_dir), rejections))
 
 
 def _vote_events(votes):
@@ -232,19 +210,19 @@ def _vote_events(votes):
 @query
 def vote_fold(spark, sf_dir):
     """D18 over an ordered stream of up, down, ok and clear."""
-    return feedback.fold_votes(_vote_events(_votes(spark, sf_dir)))
+    return feedback.fold_votes(_vote_events(derived.votes(spark, sf_dir)))
 
 
 @query
 def stream_feedback(spark, sf_dir):
     """ST4: the same as a stream in any order."""
-    return folds.vote_stream(_vote_events(_votes(spark, sf_dir, jobs.read_stream(spark, f"{sf_dir}/events.parquet"))))
+    return folds.vote_stream(_vote_events(derived.votes(spark, sf_dir, jobs.read_stream(spark, f"{sf_dir}/events.parquet"))))
 
 
 @query
 def facts_applied(spark, sf_dir):
     """A17, J4."""
-    v = _votes(spark, sf_dir).where("vote > 0")
+    v = derived.votes(spark, sf_dir).where("vote > 0")
     facts = v.select("listing_id", F.when(F.col("event_id") % 2 == 0, "price").otherwise("area").alias("field"), F.col("value").cast("string").alias("value"), F.col("at").alias("set_at"))
     return feedback.apply_facts(listings(spark, sf_dir), facts).select("id", "price_eur", "area_m2")
 
@@ -252,20 +230,20 @@ def facts_applied(spark, sf_dir):
 @query
 def reviewed_hidden(spark, sf_dir):
     """J6 / J7."""
-    down = _latest_votes(spark, sf_dir).where("vote < 0").select("researcher", F.col("listing_id").alias("id"))
-    return _items(spark, sf_dir).join(down, ["researcher", "id"], "left_anti").select("researcher", "id")
+    down = derived.latest_votes(spark, sf_dir).where("vote < 0").select("researcher", F.col("listing_id").alias("id"))
+    return derived.items(spark, sf_dir).join(down, ["researcher", "id"], "left_anti").select("researcher", "id")
 
 
 @query
 def known_ids(spark, sf_dir):
     """J5, SRC5."""
-    return by_ids(listings(spark, sf_dir), _votes(spark, sf_dir).select(F.col("listing_id").alias("id"))).select("id", "kind")
+    return by_ids(listings(spark, sf_dir), derived.votes(spark, sf_dir).select(F.col("listing_id").alias("id"))).select("id", "kind")
 
 
 @query
 def top_n_per_model(spark, sf_dir):
     """W1, O1."""
-    return feedback.top_n(_items(spark, sf_dir).where("qualified"), "researcher", [F.desc("score"), F.col("id")], 5).select("researcher", "id", "score", "place")
+    return feedback.top_n(derived.items(spark, sf_dir).where("qualified"), "researcher", [F.desc("score"), F.col("id")], 5).select("researcher", "id", "score", "place")
 
 
 @query
@@ -381,21 +359,15 @@ def score_auction(spark, sf_dir):
     return rounded(scoring.score_auction(sales, market.market_refs(rows), as_settings(), MINS).select("id", "discount", "appraisal", "score"))
 
 
-def _deals(spark, sf_dir):
-    names = F.array(*map(F.lit, ("airbnb", "land", "weekend", "flip", "motivated", "auctions")))
-    n = F.col("source_no")
-    return listings(spark, sf_dir).select("id", "kind", F.col("area_m2").alias("area"), F.element_at(names, (n % 6 + 1).cast("int")).alias("researcher"), (n % 101 + 0.0).alias("score"), (n % 7 != 0).alias("qualified"), F.col("detail_at").isNotNull().alias("has_details"), F.element_at(F.array(*map(F.lit, ("ready", "needs_info", "pending", "ready"))), (n % 4 + 1).cast("int")).alias("status"), (n % 13 == 0).alias("warned"), F.when(n % 3 != 0, "12%").alias("below_market"), (n % 40).alias("comps"), (n % 17 == 0).alias("confirmed_by_owner"), *[F.when((n + k) % 3 == 0, "yes").otherwise("unknown").alias(u) for k, u in enumerate(scoring.UTILITIES)], F.when(n % 3 == 0, "building").when(n % 3 == 1, "agricultural").otherwise("unknown").alias("land_type"))
-
-
 @query
 def rating_tiers(spark, sf_dir):
-    return _deals(spark, sf_dir).select("id", "researcher", scoring.rating(F.col("researcher")).alias("rank"))
+    return derived.deals(spark, sf_dir).select("id", "researcher", scoring.rating(F.col("researcher")).alias("rank"))
 
 
 @query
 def open_questions(spark, sf_dir):
     asked = scoring.questions(F.col("researcher"))
-    return _deals(spark, sf_dir).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
+    return derived.deals(spark, sf_dir).select("id", F.array_join(asked, ",").alias("questions"), scoring.deal_status(asked).alias("deal_status"))
 
 
 def _stage_events(e):
@@ -417,7 +389,7 @@ def stream_deal_stages(spark, sf_dir):
 
 @query
 def exported_items(spark, sf_dir):
-    out = stages.export_items(_deals(spark, sf_dir).select("researcher", "id", "score", "qualified"), 300)
+    out = stages.export_items(derived.deals(spark, sf_dir).select("researcher", "id", "score", "qualified"), 300)
     return out.select("researcher", "count", "n_qualified", F.size("items").alias("n_items"), F.get("items", 0)["id"].alias("first_id"))
 
 
@@ -444,7 +416,7 @@ def all_models(spark, sf_dir):
 def all_penalties(spark, sf_dir):
     """Rejections for all kinds of reasons against deals of the same researcher: by size, place, and what their texts say."""
     codes = ("sml", "big", "loc", "prc", "str", "far", "ren", "bsm", "old", "nhm", "tit", "shr", "agr", "ter", "dup")
-    v = _votes(spark, sf_dir).where("vote < 0")
+    v = derived.votes(spark, sf_dir).where("vote < 0")
     code = F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % 15 + 1).cast("int"))
     rejections = v.select("researcher", "listing_id", code.alias("reason"), "kind", "city", "district", F.col("area_m2").alias("area"))
     said = ("Стан за реновирање", "Сутерен 40м2", "без лифт", "Деловен простор", "без имотен лист", "1/2 идеален дел", "Нива", "стрмна падина", "Стан")
@@ -468,13 +440,13 @@ def detail_queue(spark, sf_dir):
 
 @query
 def alert_outbox(spark, sf_dir):
-    sent = _latest_votes(spark, sf_dir).select(F.lit("flip").alias("researcher"), F.col("listing_id").alias("id")).distinct()
-    return alerts.alert_outbox(_deals(spark, sf_dir), sent).select("researcher", "id", "score", "place")
+    sent = derived.latest_votes(spark, sf_dir).select(F.lit("flip").alias("researcher"), F.col("listing_id").alias("id")).distinct()
+    return alerts.alert_outbox(derived.deals(spark, sf_dir), sent).select("researcher", "id", "score", "place")
 
 
 @query
 def open_leads(spark, sf_dir):
-    return alerts.open_leads(_deals(spark, sf_dir))
+    return alerts.open_leads(derived.deals(spark, sf_dir))
 
 
 @query
@@ -486,13 +458,13 @@ def due_steps(spark, sf_dir):
 
 @query
 def bare_downvotes(spark, sf_dir):
-    v = _votes(spark, sf_dir)
-    return alerts.bare_downvotes(_latest_votes(spark, sf_dir), v.where("vote < 0 and event_id % 2 = 0"))
+    v = derived.votes(spark, sf_dir)
+    return alerts.bare_downvotes(derived.latest_votes(spark, sf_dir), v.where("vote < 0 and event_id % 2 = 0"))
 
 
 @query
 def learning_suggestions(spark, sf_dir):
-    v = _votes(spark, sf_dir).where("vote < 0")
+    v = derived.votes(spark, sf_dir).where("vote < 0")
     return rounded(alerts.suggestions(v.select("researcher", F.when(F.col("event_id") % 2 == 0, "sml").otherwise("loc").alias("reason"), F.col("area_m2").alias("area"))))
 
 
@@ -668,5 +640,5 @@ def stream_sitemap(spark, sf_dir):
     return jobs.sitemap_stream(p.select(F.col("snapshot").cast("long").alias("snapshot"), "url", lastmod.alias("lastmod")))
 
 
-QUERIES |= texts.QUERIES
-SQL |= texts.SQL
+QUERIES |= texts.QUERIES | owner.QUERIES
+SQL |= texts.SQL | owner.SQL
