@@ -61,3 +61,8 @@ def suggestions(rejections: DataFrame, least: int = 3) -> DataFrame:
     found = counts.join(exact_median(rejections, ["researcher", "reason"], "area").drop("n"), ["researcher", "reason"], "left")
     step = F.bround(F.col("median") / 5) * 5 + 5
     return found.where(F.col("n") >= least).select("researcher", "reason", "n", F.when(F.col("reason") == "sml", step).alias("suggested"))
+
+
+def pages_over(notices: DataFrame, as_of: str) -> DataFrame:
+    """(page, over): whether all dated sales on a page lie before the day of analysis, and there is one. Needs page, auction_date."""
+    return notices.groupBy("page").agg(F.coalesce(F.bool_and(F.col("auction_date") < F.lit(as_of).cast("date")), F.lit(False)).alias("over"))

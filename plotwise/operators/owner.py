@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions.text import norm, once
+from plotwise.operators.market import exact_median
 from plotwise.operators.reasons import REASONS, Reason
 
 #: What a rejection for a reason teaches, by the way its registry entry learns.
@@ -194,3 +195,25 @@ def bad_districts(rejections: DataFrame, most: int = 5) -> DataFrame:
     """(researcher, district, n, place): the districts most often rejected for their location. Counted before they are ranked."""
     counts = rejections.where("reason = 'loc' and coalesce(district, '') <> ''").groupBy("researcher", "district").agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("researcher").orderBy(F.desc("n"), "district"))).where(F.col("place") <= most)
+
+
+def setting_suggestions(rejections: DataFrame, least_areas: dict[str, float], most_rent: float, building_only: bool = False, partial_shares: bool = True, least: int = 3) -> DataFrame:
+    """(researcher, setting, suggested, n): settings that rejections (researcher, reason, area, price) speak for, beyond what is set.
+
+    ``least_areas``: the least area set by researcher; it goes five above the median of what was too small, in fives. Rents: fifty below the median of what
+    was too high. Zeros and nulls count neither for a median nor for the areas needed, but a rent needs only rejections. Medians are exact.
+    """
+    key = ["researcher", "reason"]
+    n = rejections.groupBy(key).agg(F.count("*").alias("n"))
+    said = rejections.where("reason in ('sml', 'rnt')").select(*key, F.when(F.col("reason") == "sml", F.nullif("area", F.lit(0.0))).otherwise(F.nullif("price", F.lit(0.0))).alias("v"))
+    rows = n.join(exact_median(said, key, "v").withColumnRenamed("n", "given"), key, "left")
+    current = F.create_map(*[F.lit(x) for k, v in least_areas.items() for x in (k, float(v))])
+    area, rent = F.bround(F.col("median") / 5) * 5 + 5, F.col("median") - 50
+    rules = {
+        "min_area": ((F.col("reason") == "sml") & (F.col("given") >= least) & (area > F.try_element_at(current, F.col("researcher"))), area),
+        "require_building_land": ((F.col("reason") == "agr") & (F.col("researcher") == "land") & (F.col("n") >= least) & F.lit(not building_only), F.lit(1.0)),
+        "max_rent": ((F.col("reason") == "rnt") & (F.col("researcher") == "airbnb") & (F.col("n") >= least) & (rent < most_rent), F.floor(rent).cast("double")),
+        "include_partial_shares": ((F.col("reason") == "shr") & F.lit(partial_shares), F.lit(0.0)),
+    }
+    found = F.array_compact(F.array(*[F.when(fits, F.struct(F.lit(name).alias("setting"), value.alias("suggested"))) for name, (fits, value) in rules.items()]))
+    return rows.select("researcher", "n", F.explode(found).alias("s")).select("researcher", "s.setting", "s.suggested", "n")

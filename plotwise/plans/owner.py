@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotwise.operators import feedback, owner, scoring
+from plotwise.functions import auctions
+from plotwise.operators import alerts, feedback, owner, scoring
 from plotwise.operators.reasons import REASONS
 from plotwise.plans import derived, oracle
 from plotwise.sources.listings import listings, tables
@@ -209,3 +210,41 @@ def public_deals(spark, sf_dir):
     rank = scoring.rating(F.col("researcher"))
     rated = deals.withColumn("rank", rank).withColumn("status", F.when(F.col("confirmed_by_owner"), "confirmed").otherwise(F.col("status")))
     return scoring.best_first(owner.public(rated)).select("id", "researcher", "rank", scoring.rating_label(F.col("rank")).alias("label"), "status")
+
+
+_SUGGEST = ("sml", "agr", "rnt", "shr")
+_LEAST = {"land": 40.0, "flip": 20.0, "weekend": 500.0}
+
+
+@query(f"""{oracle.VOTES}, RJ as (select ['airbnb', 'land', 'flip', 'weekend'][cast(right(researcher, 1) as int) + 1] as researcher, {list(_SUGGEST)!r}[event_id // 2 % 4 + 1] as reason, case when event_id % 5 > 0 then area_m2 else 0 end as area, value as price from V where vote < 0),
+GR as (select researcher, reason, count(*) as n, count(nullif(area, 0)) as given, median(nullif(area, 0)) as ma, median(nullif(price, 0)) as mp from RJ group by 1, 2)
+select researcher, 'min_area' as setting, round_even(ma / 5, 0) * 5 + 5 as suggested, n from GR where reason = 'sml' and given >= 3 and round_even(ma / 5, 0) * 5 + 5 > case researcher when 'land' then 40 when 'flip' then 20 when 'weekend' then 500 end
+union all select researcher, 'require_building_land', 1, n from GR where reason = 'agr' and researcher = 'land' and n >= 3
+union all select researcher, 'max_rent', floor(mp - 50), n from GR where reason = 'rnt' and researcher = 'airbnb' and n >= 3 and mp - 50 < 900
+union all select researcher, 'include_partial_shares', 0, n from GR where reason = 'shr'""")
+def setting_suggestions(spark, sf_dir):
+    """D13."""
+    v = derived.votes(spark, sf_dir).where("vote < 0")
+    model = _pick(("airbnb", "land", "flip", "weekend"), F.right("researcher", F.lit(1)).cast("int"))
+    return owner.setting_suggestions(v.select(model.alias("researcher"), _pick(_SUGGEST, F.floor(F.col("event_id") / 2) % 4).alias("reason"), F.when(F.col("event_id") % 5 > 0, F.col("area_m2")).otherwise(0.0).alias("area"), F.col("value").alias("price")), _LEAST, 900)
+
+
+_SHARES = ("Продажба на 1/6 идеален дел од стан", "2/4 (две четвртини) Идеален дел", "идеални делови", "цел стан", "")
+_SAID_ROUNDS = ("Прва усна јавна продажба", "ВТОРА продажба", "3-та усна", "по втор пат, трета", "нема")
+
+
+@query(f"""select o_orderkey, case o_orderkey % 5 when 0 then '1/6' when 1 then '2/4' when 2 then 'partial' end as share, case o_orderkey // 5 % 5 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 3 end as sale_round,
+case when o_orderkey % 7 <> 0 then floor(o_totalprice) + 0.5 end as price from orders""")
+def auction_notices(spark, sf_dir):
+    """Notices made of the orders' numbers, in the words that bailiffs use."""
+    o = tables(spark, sf_dir, "orders")["orders"]
+    k, whole = F.col("o_orderkey"), F.reverse(F.regexp_replace(F.reverse(F.floor("o_totalprice").cast("string")), r"(\d{3})(?=\d)", "$1."))
+    price = F.when(k % 7 == 0, "по договор").otherwise(F.concat(F.lit(" "), whole, F.lit(",50")))
+    return o.select("o_orderkey", auctions.ownership_share(_pick(_SHARES, k % 5)).alias("share"), auctions.sale_round(F.lit(None).cast("string"), _pick(_SAID_ROUNDS, F.floor(k / 5) % 5)).alias("sale_round"), auctions.grouped_number(price).alias("price"))
+
+
+@query("select o_custkey as page, coalesce(bool_and(d < timestamp '1998-01-01') filter (d is not null), false) as over from (select o_custkey, case when o_orderkey % 3 > 0 then o_orderdate end as d from orders) group by 1")
+def auction_pages_over(spark, sf_dir):
+    """A page for each customer; sales without a date do not count."""
+    o = tables(spark, sf_dir, "orders")["orders"]
+    return alerts.pages_over(o.select(F.col("o_custkey").alias("page"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("auction_date")), "1998-01-01")
