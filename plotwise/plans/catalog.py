@@ -128,6 +128,18 @@ def dedupe_survivors(spark, sf_dir):
     return dedupe.dedupe(_for_dedupe(spark, sf_dir)).select("id", "duplicates")
 
 
+@query
+def dedupe_ages(spark, sf_dir):
+    """Survivors with the greatest age of their cluster."""
+    return dedupe.dedupe(dedupe.with_real_age(_for_dedupe(spark, sf_dir), "ads", 975)).select("id", "duplicates", "id_age_days")
+
+
+@query
+def pins_cleared(spark, sf_dir):
+    """A7."""
+    return dedupe.without_shared_pins(listings(spark, sf_dir)).select("id", "lat", "lng")
+
+
 @query
 def exact_copies_first(spark, sf_dir):
     rows = listings(spark, sf_dir)

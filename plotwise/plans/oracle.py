@@ -83,6 +83,8 @@ SQL["dedupe_pairs"] = f"{DUP} select a, b from E"
 CLUSTERS = DUP.replace("with L as", "with recursive L as", 1) + ", U as (select a as x, b as y from E union select b, a from E), T as (select distinct x as node, x as root from U union select U.y, T.root from T join U on U.x = T.node), C as (select node as id, min(root) as cluster from T group by 1)"
 SQL["dedupe_clusters"] = f"{CLUSTERS} select id, cluster from C"
 SQL["dedupe_survivors"] = f"{CLUSTERS}, S as (select P.*, coalesce(C.cluster, P.id) as k from P left join C using (id)), O as (select id, row_number() over (partition by k order by detail_at is null, source <> 'ads', source_no, id) as r, count(*) over (partition by k) - 1 as duplicates from S) select id, duplicates from O where r = 1"
+SQL["dedupe_ages"] = f"{CLUSTERS}, S as (select P.*, coalesce(C.cluster, P.id) as k, case when source = 'ads' then cast(floor(((select max(source_no) from L where source = 'ads') - source_no) / 975e0) as bigint) end as age from P left join C using (id)), O as (select id, row_number() over (partition by k order by detail_at is null, source <> 'ads', source_no, id) as r, count(*) over (partition by k) - 1 as duplicates, max(age) over (partition by k) as id_age_days from S) select id, duplicates, id_age_days from O where r = 1"
+SQL["pins_cleared"] = f"{L}, PN as (select round(lat, 4) as a, round(lng, 4) as b from L where lat <> 0 and lng <> 0 group by 1, 2 having count(*) > 5) select id, case when PN.a is null then lat end as lat, case when PN.a is null then lng end as lng from L left join PN on round(lat, 4) = a and round(lng, 4) = b"
 SQL["exact_copies_first"] = f"{L}, M as (select kind, city, cast(floor(price_eur / 100) as bigint) as price_step, area_m2, id, source_no, row_number() over (partition by kind, city, floor(price_eur / 100), area_m2 order by source_no) as r, count(*) over (partition by kind, city, floor(price_eur / 100), area_m2) as copies from L) select kind, city, price_step, area_m2, id, copies from M where r = 1"
 TOWNS = "TW as (select 'NATION_' || cast(i as varchar) as town, 41 + i * 0.05e0 as tlat, 20.5e0 + i * 0.1e0 as tlng from range(25) t(i))"
 SQL["refile_nearest_town"] = f"{L}, {TOWNS}, K as (select id, L.city as filed, town, {km('lat', 'lng', 'tlat', 'tlng')} as d from L cross join TW where lat <> 0), Z as (select id, filed, min_by(town, d) as near, min(d) as dn, max(case when town = filed then d end) as df from K group by 1, 2) select id, case when dn <= 60 then near end as city, filed as city_form from Z where df > 40"

@@ -9,7 +9,7 @@ from plotwise.plans.catalog import QUERIES, SQL
 DIR, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Listing ids repeat once at the smallest size, so rows that go by id cannot be told apart there: these run over the next size.
-LARGE = {"deals_below_local_median", "deals_off_board", "dedupe_survivors", "market_reference", "prune_cascade", "public_deals", "quick_check", "score_motivated", "stream_post_check"}
+LARGE = {"deals_below_local_median", "deals_off_board", "dedupe_ages", "dedupe_survivors", "market_reference", "prune_cascade", "public_deals", "quick_check", "score_motivated", "stream_post_check"}
 
 
 @pytest.fixture(scope="module")
