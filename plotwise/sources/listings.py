@@ -48,6 +48,11 @@ def listings(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None
     return spark.sql(LISTINGS_SQL.replace("from lineitem join orders", "from {lineitem} join {orders}").replace("join part on", "join {part} on").replace("join supplier on", "join {supplier} on").replace("join nation on", "join {nation} on"), **given)
 
 
+def spread(rows: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` dealt over the cluster before work that is long for each row: a table in few or large row groups is read by few tasks. Streams stay as they are."""
+    return rows if rows.isStreaming else rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def active(rows: DataFrame, as_of: str, stale_days: int = 10) -> DataFrame:
     """SRC1: seen within ``stale_days``."""
     return rows.where(F.col("last_seen") >= F.date_sub(F.lit(as_of).cast("date"), stale_days).cast("timestamp"))
