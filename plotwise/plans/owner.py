@@ -174,10 +174,14 @@ def annotated_deals(spark, sf_dir):
 MODELS = ("airbnb", "land", "weekend", "flip", "motivated", "auctions")
 
 
+def in_auctions_too(deals):
+    """Deals with a round score stand in the auctions besides, one more; those that are there already keep the score that they have."""
+    return deals.unionByName(deals.where("score % 10 = 0 and researcher <> 'auctions'").withColumns({"researcher": F.lit("auctions"), "score": F.col("score") + 1}))
+
+
 def _board(spark, sf_dir):
-    deals = derived.deals(spark, sf_dir).select("researcher", "id", "score")
+    deals = in_auctions_too(derived.deals(spark, sf_dir).select("researcher", "id", "score")).dropDuplicates(["researcher", "id"])
     n = F.col("source_no")
-    deals = deals.unionByName(deals.where("score % 10 = 0").withColumns({"researcher": F.lit("auctions"), "score": F.col("score") + 1})).dropDuplicates(["researcher", "id"])
     rows = listings(spark, sf_dir).where(n % 5 == 0)
     gone = n % 7 == 0
     board = rows.select(F.when(gone, F.concat("id", F.lit("-gone"))).otherwise(F.col("id")).alias("listing_id"), F.lit("flip").alias("researcher"), F.lit("offer").alias("stage"), F.lit("call").alias("next_step"), F.lit(None).cast("date").alias("due"), F.col("last_seen").alias("updated_at"), F.when(n % 2 == 0, F.lit('{"id":"kept"}')).alias("snapshot"))
