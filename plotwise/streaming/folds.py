@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from plotwise.operators.stages import STAGES, default_step
 from plotwise.scratch import scratch_path
-from plotwise.streaming.tables import KeyedTable
+from plotwise.streaming.jobs import run_batches
+from plotwise.streaming.tables import BatchTable, KeyedTable
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -93,28 +94,6 @@ class VoteFold(_Fold):
         yield pd.DataFrame({"researcher": [key[0]], "listing_id": [key[1]], "last": [now["last"][2]], "since": pd.array([now["ups"][0][0] if now["ups"] else None], "Int64")})
 
 
-class Expiry(StatefulProcessor):
-    """Rows are alive until the watermark has passed the last time they were seen."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.seen = handle, handle.getValueState("seen", "seen long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(part["ms"].max()) for part in rows)
-        if not self.seen.exists() or self.seen.get()[0] < newest:
-            self.seen.update((newest,))
-            self.handle.registerTimer(newest + 1)
-        yield pd.DataFrame({"id": [key[0]], "gone": [False]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and self.seen.get()[0] < expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
-            yield pd.DataFrame({"id": [key[0]], "gone": [True]})
-
-    def close(self) -> None:
-        pass
-
-
 def _fold(events: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, root: str, mode: str = "None") -> KeyedTable:
     """The fold of a stream by key, as a table of the last row of each key under ``root``; with the same root a later run goes on where this one ends."""
     spark = events.sparkSession
@@ -162,10 +141,14 @@ def vote_stream(events: DataFrame, root: str | None = None) -> DataFrame:
 def expiry_stream(seen: DataFrame, days: int, root: str | None = None) -> DataFrame:
     """ST8: (id) of what was seen within ``days`` of the newest time in the stream (id, last_seen), in any order.
 
-    The watermark runs ``days`` behind the newest time. A timer at the last time an id was seen fires once the watermark has passed it; rows that come
-    when it has passed them are over already and never enter the state. ``root`` as in :func:`stage_stream`.
+    A batch adds the last time of each of its own ids, and the greatest counts when they are read, so a batch costs what it adds and ids are compared
+    in the JVM. ``root`` as in :func:`stage_stream`.
     """
-    at = F.col("last_seen").cast("timestamp")
-    rows = seen.where(F.col("last_seen").isNotNull()).select("id", at.alias("at"), F.unix_millis(at).alias("ms")).withWatermark("at", f"{days * 86400 + 1} seconds")
-    table = _fold(rows, ["id"], Expiry(), "id string, gone boolean", root or scratch_path(seen.sparkSession, "expiry"), "EventTime")
-    return table.state().select("id")
+    spark, root = seen.sparkSession, root or scratch_path(seen.sparkSession, "expiry")
+    kind = seen.schema["id"].dataType.simpleString()
+    table = BatchTable(spark, f"{root}/seen", f"id {kind}, at timestamp")
+    last = F.max("at").alias("at")
+    run_batches(seen.where(F.col("last_seen").isNotNull()).select("id", F.col("last_seen").cast("timestamp").alias("at")), lambda batch, n: table.write(batch.groupBy("id").agg(last), n), root)
+    rows = table.read()
+    newest = rows.agg(F.max("at").alias("newest"))
+    return rows.groupBy("id").agg(last).crossJoin(F.broadcast(newest)).where(F.expr(f"at >= newest - interval {days} days")).select("id")
