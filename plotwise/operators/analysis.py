@@ -59,7 +59,7 @@ def analyse(rows: DataFrame, settings: scoring.Settings, mins: tuple[int, int, i
     The references are worked out once and written, whatever the number of models; the rows are written once, so that models read them instead of
     working them out again.
     """
-    refs = write_table(market_refs(rows), "references") if refs is None else refs
+    refs = market_refs(rows) if refs is None else refs
     given = Inputs(write_table(rows, "eligible"), refs, settings, mins)
     made = []
     for m in (MODELS if models is None else models).values():

@@ -11,6 +11,7 @@ from plotwise.functions.pricing import SIZE_FIRST, ppm2, size_band
 from plotwise.scratch import write_table
 
 KEYS = ["kind", "deal", "level", "city", "district", "band"]
+PLACE = ["kind", "deal", "city", "district"]
 LEVELS = ("district", "city", "national")
 
 
@@ -22,45 +23,53 @@ def _same(keys: list[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, few: int = FEW, parts: int = PARTS, upper: bool = False, reread: bool = False) -> DataFrame:
+def exact_median(rows: DataFrame, keys: list[str], value: str, few: int = FEW, parts: int = PARTS, upper: bool = False, reread: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """(keys, median, n): exact medians, with null values left out and null keys as keys.
 
     A group of at most ``few`` rows is put in order at once. In a larger one the range of values is cut into ``parts`` and narrowed to the parts that
-    hold the middle ranks, until few rows or single values are left; equal values are then counted before they meet. So no task holds a large
-    group, also where one value makes up most of it. Cutting the same number of values from both ends does not move a median, so this is also
-    the robust median that trims a tenth at each end. ``upper``: of two middle values the greater one instead of their mean. The rows are read
-    once for each step, so they are written first; ``reread``: they come from a written table by cheap steps and need not be.
+    hold the middle ranks, until few rows or single values are left; equal values are counted before they meet, and what the first cut leaves is written, so
+    that later ones read little. So no task holds a large group, also where one value makes up most of it. Cutting the same number of values from both ends
+    does not move a median, so this is also the robust median that trims a tenth at each end. ``upper``: of two middle values the greater one instead of
+    their mean. The rows are read once for each step, so they are written first; ``reread``: they come from a written table by cheap steps and need not be.
+    ``groups``: (keys, n, lo, hi) of the values, if they are known. Only rows of small groups are shuffled: the large groups, one for each ``few`` rows at
+    most, are sent to the rows, not the rows to all groups.
     """
     rows = rows.where(F.col(value).isNotNull()).select(*keys, (F.col(value).cast("double") + 0.0).alias("v"))
     rows = rows if reread else write_table(rows, "values")
     # written tables of one row a group: their true size decides how they are joined
-    state = write_table(rows.groupBy(keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "groups")
+    groups = rows.groupBy(keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")) if groups is None else groups
+    state = write_table(groups.select(*keys, "n", "lo", "hi"), "groups")
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     own = [F.col(f"s.{k}") for k in keys]
+    values = rows.withColumn("c", F.lit(1).cast("long"))
 
     def within(ranges: DataFrame) -> DataFrame:
-        return rows.alias("c").join(ranges.alias("s"), _same(keys, "c", "s")).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        return values.alias("r").join(ranges.alias("s"), _same(keys, "r", "s")).where(F.col("v").between(F.col("lo"), F.col("hi")))
 
-    small = within(state.where(f"n <= {few}")).select(*own, "n", F.lit(0).cast("long").alias("below"), "v", F.lit(1).cast("long").alias("c"))
-    large = state.where(f"n > {few}").withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")})
-    settled = []
+    large = write_table(state.where(f"n > {few}").withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")}), "large_groups")
+    few_rows = rows.alias("r").join(large.alias("s"), _same(keys, "r", "s"), "left_anti")
+    small = few_rows.alias("r").join(state.where(f"n <= {few}").alias("s"), _same(keys, "r", "s")).select(*own, "n", F.lit(0).cast("long").alias("below"), "v", F.lit(1).cast("long").alias("c"))
+    settled, single = [], []
     # each turn leaves at most two parts of a range; doubles are told apart long before the last one
-    for _ in range(80):
-        settled.append(large.where(f"inside <= {few} or lo = hi"))
+    for turn in range(80):
+        single.append(large.where("lo = hi").select(*keys, "n", "below", F.col("lo").alias("v"), F.col("inside").alias("c")))
+        settled.append(large.where(f"inside <= {few} and lo < hi"))
         large = large.where(f"inside > {few} and lo < hi")
         if large.isEmpty():
             break
         part = F.least(F.lit(parts - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * parts)).cast("int")
-        bins = within(large).groupBy(*own, "n", "below", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        bins = within(large).groupBy(*own, "n", "below", part.alias("part")).agg(F.sum("c").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("part"))  # at most ``parts`` rows a group
         hit = bins.withColumn("upto", upto).where(((F.col("upto") >= low) & (F.col("upto") - F.col("c") < low)) | ((F.col("upto") >= high) & (F.col("upto") - F.col("c") < high)))
-        held = F.sum(F.when(F.col("least") == F.col("most"), 1).otherwise(F.col("c")))
-        large = write_table(hit.groupBy(*keys, "n").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min(F.col("upto") - F.col("c")).alias("below"), held.alias("inside")), "ranges")
+        large = write_table(hit.groupBy(*keys, "n").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min(F.col("upto") - F.col("c")).alias("below"), F.sum("c").alias("inside")), "ranges")
+        if turn == 0:
+            values = write_table(within(large).groupBy(*own, "v").agg(F.sum("c").alias("c")), "inside")
     else:
         settled.append(large)
-    if len(settled) > 1:
-        ranges = reduce(lambda a, b: a.unionByName(b), settled)
-        small = small.unionByName(within(ranges).groupBy(*own, "n", "below", "v").agg(F.count("*").alias("c")))
+    if len(single) > 1:
+        inner = within(reduce(lambda a, b: a.unionByName(b), settled))
+        small = small.unionByName(inner.groupBy(*own, "n", "below", "v").agg(F.sum("c").alias("c")))
+    small = reduce(lambda a, b: a.unionByName(b), single, small)
     upto = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     middle = small.withColumn("upto", upto).where(((F.col("upto") >= low) & (F.col("upto") - F.col("c") < low)) | ((F.col("upto") >= high) & (F.col("upto") - F.col("c") < high)))
     return middle.groupBy(*keys).agg((F.max("v") if upper else (F.min("v") + F.max("v")) / 2).alias("median"), F.max("n").alias("n"))
@@ -71,25 +80,50 @@ def unit_prices(rows: DataFrame) -> DataFrame:
     return rows.select("kind", "deal", F.nullif("city", F.lit("")).alias("city"), F.nullif("district", F.lit("")).alias("district"), size_band().alias("band"), ppm2().alias("v")).where("v is not null")
 
 
-def bucketed(rows: DataFrame) -> DataFrame:
-    """A1: each of the ``unit_prices`` once for its district, city and the country, with and without its size band."""
+def bucketed(rows: DataFrame, district: Column | None = None) -> DataFrame:
+    """A1: each of the ``unit_prices``, or sums of them, once for its district, city and the country, with and without its size band. ``district``: where the
+    district counts, if not everywhere."""
     none = F.lit(None).cast("string")
+    filed = F.col("district").isNotNull() if district is None else F.col("district").isNotNull() & district
     places = F.array_compact(F.array(
-        F.when(F.col("district").isNotNull(), F.struct(F.lit("district").alias("level"), F.col("city").alias("city"), F.col("district").alias("district"))),
+        F.when(filed, F.struct(F.lit("district").alias("level"), F.col("city").alias("city"), F.col("district").alias("district"))),
         F.when(F.col("city").isNotNull(), F.struct(F.lit("city").alias("level"), F.col("city").alias("city"), none.alias("district"))),
         F.struct(F.lit("national").alias("level"), none.alias("city"), none.alias("district")),
     ))
-    spread = rows.select("kind", "deal", "band", "v", F.explode(places).alias("p")).select("kind", "deal", "p.*", "band", "v")
-    return spread.select("kind", "deal", "level", "city", "district", "v", F.explode(F.when(F.col("band").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.array(F.col("band"), F.lit(None).cast("int")))).alias("band"))
+    values = [c for c in rows.columns if c not in (*PLACE, "band", "large")]
+    spread = rows.select("kind", "deal", "band", *values, F.explode(places).alias("p")).select("kind", "deal", "p.*", "band", *values)
+    return spread.select("kind", "deal", "level", "city", "district", *values, F.explode(F.when(F.col("band").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.array(F.col("band"), F.lit(None).cast("int")))).alias("band"))
 
 
-def market_refs(rows: DataFrame) -> DataFrame:
-    """A1 + A2: (kind, deal, level, city, district, band, median, n) of every bucket.
+def _district_medians(rows: DataFrame) -> DataFrame:
+    """The buckets of districts of few rows each: a district's prices meet once, in order, and its size bands are picked out of them."""
+    filed = rows.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("v", "band"))).alias("all"))
+    bands = F.array_distinct(F.array_append(F.transform("all", lambda x: x["band"]), F.lit(None).cast("int")))
+    one = filed.select(*PLACE, "all", F.explode(bands).alias("band"))
+    one = one.select(*PLACE, "band", F.when(F.col("band").isNull(), F.col("all")).otherwise(F.filter("all", lambda x: x["band"] == F.col("band"))).alias("some")).withColumn("n", F.size("some"))
+    at = lambda i: F.get("some", i.cast("int"))["v"]
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    return one.select("kind", "deal", F.lit("district").alias("level"), "city", "district", "band", middle.alias("median"), F.col("n").cast("long").alias("n"))
 
-    Prices per square metre are worked out once and written, so that their use in six buckets each does not repeat the arithmetic. They are
-    written by place, large places over several files, so that sums before a shuffle leave about one row a bucket.
+
+def market_refs(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """A1 + A2: (kind, deal, level, city, district, band, median, n) of every bucket, as a written table.
+
+    Prices per square metre are worked out once and written by place, large places over several files, so that sums and lists before a shuffle leave about
+    one row a place. Each price is shuffled once more, in its district's list; cities and the country, and districts of more than ``few`` prices, are narrowed
+    where the rows are. The number of such districts is below a row for each ``few`` prices, so they are sent to the rows.
     """
-    return exact_median(bucketed(write_table(unit_prices(rows).hint("rebalance", "kind", "deal", "city", "district"), "unit_prices")), KEYS, "v", reread=True)
+    prices = write_table(unit_prices(rows).hint("rebalance", *PLACE), "unit_prices")
+    cells = write_table(prices.groupBy(*PLACE, "band").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "cells")
+    large = write_table(cells.where("district is not null").groupBy(*PLACE).agg(F.sum("n").alias("rows")).where(f"rows > {few}").select(*PLACE, F.lit(True).alias("large")), "large_districts")
+
+    def marked(t: DataFrame) -> DataFrame:
+        return t.alias("r").join(large.alias("s"), _same(PLACE, "r", "s"), "left").select("r.*", F.coalesce("s.large", F.lit(False)).alias("large"))
+
+    groups = bucketed(marked(cells), F.col("large")).groupBy(*KEYS).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    wide = exact_median(bucketed(marked(prices), F.col("large")), KEYS, "v", few, reread=True, groups=groups)
+    near = _district_medians(marked(prices).where("district is not null and not large").drop("large"))
+    return write_table(near.unionByName(wide), "references")
 
 
 def market_summary(refs: DataFrame, least: int = 5) -> DataFrame:
@@ -97,32 +131,38 @@ def market_summary(refs: DataFrame, least: int = 5) -> DataFrame:
     return refs.where(f"band is null and level <> 'district' and n >= {least}").select("kind", "deal", "city", "median", "n")
 
 
+def _by_place(refs: DataFrame, level: str, least: int) -> DataFrame:
+    """One row for each place of a level: the bucket of all sizes and those of the size bands that have enough samples. Written: its true size decides how
+    it is joined."""
+    keys = ["kind", "deal", *{"district": ["city", "district"], "city": ["city"], "national": []}[level]]
+    bucket = F.struct("median", "n", "level", "band")
+    found = refs.where((F.col("level") == level) & (F.col("n") >= least)).groupBy(*keys)
+    found = found.agg(F.max(F.when(F.col("band").isNull(), bucket)).alias("all sizes"), F.collect_list(F.when(F.col("band").isNotNull(), bucket)).alias("bands"))
+    return write_table(found.select(*[F.col(c).alias(f"{level} {c}") for c in (*keys, "all sizes", "bands")]), f"{level}_references")
+
+
 def with_reference(rows: DataFrame, refs: DataFrame, mins: tuple[int, int, int] = (15, 8, 15), deal: Column | None = None, district: Column | None = None, prefix: str = "ref_") -> DataFrame:
     """The first bucket with enough samples, as columns ref_median, ref_n, ref_level, ref_band.
 
-    Kinds of ``SIZE_FIRST`` try all places with the same size band first; others try both at each place. The fallback is resolved once for each
-    distinct (kind, deal, city, district, band), not for each listing: their candidates are exploded into one equi-join and the first in
-    order is taken, and the listings join the answers on those same five values. Buckets that could never be taken are dropped before.
+    Kinds of ``SIZE_FIRST`` try all places with the same size band first; others try both at each place. The usable buckets of a place are one row, so a
+    listing meets one row for its district, one for its city and one for the country, and takes the first in order; only the districts can be many.
     """
     deal, district = (F.col("deal") if deal is None else deal), F.nullif(F.col("district") if district is None else district, F.lit(""))
-    city, band, none = F.nullif("city", F.lit("")), size_band(), F.lit(None)
-    size_first = F.col("kind").isin(*SIZE_FIRST)
-    tries = []
-    for i, level in enumerate(LEVELS):
-        there = {"district": F.col("district").isNotNull(), "city": F.col("city").isNotNull(), "national": F.lit(True)}[level]
-        for banded in (True, False):
-            order = F.when(size_first, i + (0 if banded else 3)).otherwise(2 * i + (0 if banded else 1))
-            key = F.struct(order.alias("order"), F.lit(level).alias("level"), (none.cast("string") if level == "national" else F.col("city")).alias("city"), (F.col("district") if level == "district" else none.cast("string")).alias("district"), (F.col("band") if banded else none.cast("int")).alias("band"))
-            tries.append(F.when(there & F.col("band").isNotNull() if banded else there, key))
-    own = ["kind", "deal", "city", "district", "band"]
-    rows = rows.withColumn("key of the lookup", F.struct(F.col("kind"), deal.alias("deal"), city.alias("city"), district.alias("district"), band.alias("band")))
-    asked = write_table(rows.select("key of the lookup.*").distinct(), "asked")
-    tried = asked.select(F.struct(*own).alias("own"), "kind", "deal", F.explode(F.array_compact(F.array(*tries))).alias("t")).select("own", "kind", "deal", "t.*")
-    usable = refs.where(reduce(lambda a, b: a | b, [(F.col("level") == level) & (F.col("n") >= least) for level, least in zip(LEVELS, mins)]))
-    found = tried.alias("a").hint("merge").join(usable.alias("m"), _same(KEYS, "a", "m"))
-    best = found.groupBy("a.own").agg(F.min_by(F.struct(F.col("m.median").alias("median"), F.col("m.n").alias("n"), F.col("a.level").alias("level"), F.col("a.band").alias("band")), F.col("a.order")).alias("r"))
-    best = write_table(best.select("own", *[F.col(f"r.{c}").alias(f"{prefix}{c}") for c in ("median", "n", "level", "band")]), "answers")
-    return rows.join(best, F.col("key of the lookup").eqNullSafe(F.col("own")), "left").drop("key of the lookup", "own")
+    asked = {"kind": F.col("kind"), "deal": deal, "city": F.nullif("city", F.lit("")), "district": district, "band": size_band()}
+    rows = rows.withColumn("key of the lookup", F.struct(*[c.alias(k) for k, c in asked.items()]))
+    own = {k: F.col(f"key of the lookup.{k}") for k in asked}
+    added, tries = [], {}
+    for level, least in zip(LEVELS, mins):
+        there = _by_place(refs, level, least)
+        keys = there.columns[:-2]
+        added += there.columns
+        # a row without a district has none to meet; all other keys may be null
+        rows = rows.join(there, reduce(lambda a, b: a & b, [own["district"] == F.col(c) if c == "district district" else own[c.removeprefix(f"{level} ")].eqNullSafe(F.col(c)) for c in keys]), "left")
+        tries[level] = (F.when(own["band"].isNotNull(), F.get(F.filter(f"{level} bands", lambda x: x["band"] == own["band"]), 0)), F.col(f"{level} all sizes"))
+    by_size, by_place = [tries[level][i] for i in (0, 1) for level in LEVELS], [t for level in LEVELS for t in tries[level]]
+    best = F.when(own["kind"].isin(*SIZE_FIRST), F.coalesce(*by_size)).otherwise(F.coalesce(*by_place))
+    rows = rows.withColumn("answer of the lookup", best)
+    return rows.withColumns({f"{prefix}{c}": F.col(f"answer of the lookup.{c}") for c in ("median", "n", "level", "band")}).drop("key of the lookup", "answer of the lookup", *added)
 
 
 def with_discount(rows: DataFrame, local_only: bool = True) -> DataFrame:
