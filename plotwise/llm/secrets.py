@@ -7,9 +7,13 @@ beside it and from features of the whole text; the tag sequence is decoded by Vi
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import lru_cache, partial, reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,12 @@ def joined(spans: list[tuple[int, int, int]], names: tuple[str, ...] = (*KINDS,
 
 # ---------------------------------------------------------------- features
 BUCKETS = 1 << 12
+SIDES = ("p", "pp", "n")
+DIGIT = re.compile(r"\d")
+SWITCH = re.compile(r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
 
 
+@lru_cache(1 << 12)
 def _bucket(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % BUCKETS
 
@@ -54,7 +62,7 @@ def shape_features(token: str) -> list[int]:
     n = len(token)
     digits, upper, lower = (sum(map(f, token)) for f in (str.isdigit, str.isupper, str.islower))
     other = n - digits - upper - lower
-    switches = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
+    switches = len(SWITCH.findall(token))
     made = [f"len{min(n.bit_length(), 7)}", f"long{n >= 16}{n >= 24}", f"mix{digits > 0}{upper > 0}{lower > 0}{other > 0}", f"distinct{min(len(set(token)) * 4 // max(n, 1), 4)}{min(len(set(token)) // 6, 4)}"]
     made += [f"digits{digits * 5 // max(n, 1)}", f"switch{min(switches * 6 // max(n, 1), 5)}", f"hex{n >= 8 and all(c in '0123456789abcdef' for c in token)}", f"cap{token[:1].isupper()}{upper > 1}"]
     return [_bucket("s:" + x) for x in made]
@@ -63,7 +71,9 @@ def shape_features(token: str) -> list[int]:
 def word_features(token: str, side: str) -> list[int]:
     """Buckets of a neighbouring word: what it is, and whether it asks for a value."""
     low = token.lower()
-    return [_bucket(f"{side}:{low[:24]}"), _bucket(f"{side}:cue{bool(CUE.search(low))}"), _bucket(f"{side}:num{any(map(str.isdigit, low))}")]
+    whole = hashlib.blake2b(low[:24].encode(), digest_size=6).digest()
+    at = 2 * SIDES.index(side)
+    return [int.from_bytes(whole[at : at + 2], "little") % BUCKETS, _bucket(f"{side}:cue{bool(CUE.search(low))}"), _bucket(f"{side}:num{DIGIT.search(low) is not None}")]
 
 
 def gap_feature(gap: str) -> int:
@@ -78,30 +88,38 @@ def file_features(text: str) -> list[int]:
     return [_bucket(f"f:len{min(n.bit_length() // 3, 7)}"), _bucket(f"f:sign{min(signs, 5)}"), _bucket(f"f:cue{bool(CUE.search(text))}")]
 
 
-#: Tokens that the field may tag: 8 characters or more with a digit. All others are outside, as by a feature of infinite weight.
-CANDIDATE = re.compile(r"(?<![^\s\"'=:,;()\[\]{}<>|])(?=[^\s\"'=:,;()\[\]{}<>|0-9]*[0-9])[^\s\"'=:,;()\[\]{}<>|]{8,}")
-
-
-def runs_of_candidates(text: str) -> list[list[dict]]:
-    """Runs of neighbouring candidate tokens, with their features. Outside of them every tag is certain, so each run is a chain of its own."""
-    runs: list[list[dict]] = []
-    last = -1
-    whole = None
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        before = text[max(0, a - 64) : a]
-        words = TOKEN.findall(before)
-        after = TOKEN.search(text, b, min(len(text), b + 64))
-        if whole is None:
-            whole = file_features(text)
-        own = TOKEN.findall(text[last:a]) if last >= 0 else [""]
-        gap = before[len(before.rstrip(" \t\n\r\"'=:,;()[]{}<>|")) :]
-        token = {"span": (a, b), "features": [*shape_features(m.group()), *word_features(words[-1] if words else "", "p"), *word_features(words[-2] if len(words) > 1 else "", "pp"), *word_features(after.group() if after else "", "n"), gap_feature(gap), *whole]}
-        if own:
-            runs.append([token])
-        else:
+def word_buckets(token: str) -> list[list[int]]:
+    """What a token adds: to its own scores, to those of the next token and the one after it, and to those of the token before."""
+    return [shape_features(token), *(word_features(token, side) for side in SIDES)]
+
+
+#: Tokens on each side of a match that are trained on, tokens at another place of each text, and tokens of a text at most.
+AROUND, ELSEWHERE, MOST = 5, 20, 200
+
+
+def training_runs(text: str, base: list[tuple[int, int, int]]) -> list[list[dict]]:
+    """Runs of neighbouring tokens with their features to train on: those near the fixed patterns' matches, and as a rule others."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    if not spans:
+        return []
+    starts, ends = np.array(spans).T
+    at = zlib.crc32(text.encode()) % len(spans)
+    kept = set(range(at, min(at + ELSEWHERE, len(spans))))
+    for x, _, y in base:
+        kept.update(range(max(0, int(np.searchsorted(ends, x, "right")) - AROUND), min(len(spans), int(np.searchsorted(starts, y)) + AROUND)))
+        if len(kept) >= MOST:
+            break
+    words = ["", "", *(text[a:b] for a, b in spans), ""]
+    whole, runs, last = file_features(text), [], -2
+    for i in sorted(kept):
+        a, b = spans[i]
+        gap = text[spans[i - 1][1] if i else 0 : a]
+        token = {"span": (a, b), "features": [*shape_features(words[i + 2]), *word_features(words[i + 1], "p"), *word_features(words[i], "pp"), *word_features(words[i + 3], "n"), gap_feature(gap), *whole]}
+        if i == last + 1:
             runs[-1].append(token)
-        last = b
+        else:
+            runs.append([token])
+        last = i
     return runs
 
 
@@ -117,17 +135,35 @@ class ChainField:
         return np.array([self.emission[t["features"]].sum(axis=0) for t in run])
 
     def viterbi(self, run: list[dict]) -> list[int]:
-        e = self.scores(run)
-        best, back = self.transition[OUT] + e[0], []
-        best[INSIDE] = -np.inf  # a secret begins with a begin
-        for x in e[1:]:
-            step = best[:, None] + self.transition
-            step[OUT, INSIDE] = -np.inf
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + x
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+        return self.best_tags(self.scores(run))
+
+    def best_tags(self, e: np.ndarray) -> list[int]:
+        """The best tags of tokens with scores ``e``, of equal ones the least. Plain numbers, as each step has only three."""
+        (oo, ob, _), (bo, bb, bi), (io, ib, ii) = self.transition.tolist()
+        rows = iter(e.tolist())
+        x, y, _ = next(rows)
+        o, b, i = oo + x, ob + y, -math.inf  # a secret begins with a begin
+        back = []
+        for x, y, z in rows:
+            to_o, from_o = o + oo, OUT
+            if b + bo > to_o:
+                to_o, from_o = b + bo, BEGIN
+            if i + io > to_o:
+                to_o, from_o = i + io, INSIDE
+            to_b, from_b = o + ob, OUT
+            if b + bb > to_b:
+                to_b, from_b = b + bb, BEGIN
+            if i + ib > to_b:
+                to_b, from_b = i + ib, INSIDE
+            to_i, from_i = b + bi, BEGIN
+            if i + ii > to_i:
+                to_i, from_i = i + ii, INSIDE
+            back.append((from_o, from_b, from_i))
+            o, b, i = to_o + x, to_b + y, to_i + z
+        ends = (o, b, i)
+        tags = [ends.index(max(ends))]
+        for step in reversed(back):
+            tags.append(step[tags[-1]])
         return tags[::-1]
 
     def gradient(self, run: list[dict], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +221,11 @@ def silver_tags(run: list[dict], base: list[tuple[int, int, int]]) -> list[int]:
     return tags
 
 
+def secret_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The fixed patterns' matches without the names of what is assigned."""
+    return [(ASSIGN.match(text, a).start(2) if k == 0 else a, k, b) for a, k, b in base]
+
+
 def fit_field(docs: DataFrame, sample_rows: int = 400, seed: int = 5, text_col: str = "text") -> ChainField:
     """A field fitted on the tags that the fixed patterns give to about ``sample_rows`` distinct texts at most with and as many without a cue word.
 
@@ -200,28 +241,76 @@ def fit_field(docs: DataFrame, sample_rows: int = 400, seed: int = 5, text_col:
     runs, tags = [], []
     for r in some:
         base = base_spans(r.text)
-        for run in runs_of_candidates(r.text):
+        parts = secret_parts(r.text, base)
+        for run in training_runs(r.text, base):
             runs.append(run)
-            tags.append(silver_tags(run, base))
+            tags.append(silver_tags(run, parts))
     return ChainField().fit(runs, tags, seed=seed)
 
 
-def crf_spans(text: str, field: ChainField, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of decoded secrets that touch no base span."""
+class TokenScores:
+    """Scores that tokens and the gaps between them add, worked out once for each that is met; begun anew when there are many."""
+
+    def __init__(self, field: ChainField, most: int = 1 << 18):
+        self.field, self.most = field, most
+        self.clear()
+
+    def clear(self) -> None:
+        # place 0 is the empty word, which stands for none
+        self.places: dict[str, int] = {}
+        self.parts = np.zeros((1024, 4, 3))
+        self.gaps: dict[str, np.ndarray] = {}
+        self._place("")
+
+    def _place(self, word: str) -> int:
+        n = len(self.places)
+        if n == len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        buckets = word_buckets(word)
+        ends = list(accumulate(map(len, buckets)))
+        self.parts[n] = np.add.reduceat(self.field.emission[[x for part in buckets for x in part]], [0, *ends[:-1]], axis=0)
+        self.places[word] = n
+        return n
+
+    def _gap(self, gap: str) -> np.ndarray:
+        self.gaps[gap] = self.field.emission[gap_feature(gap)]
+        return self.gaps[gap]
+
+    def of(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+        """Scores of every token of a text, by tag."""
+        if len(self.places) + len(self.gaps) > self.most:
+            self.clear()
+        places, gaps, end = self.places, self.gaps, 0
+        at, between = [], []
+        for a, b in spans:
+            word, gap = text[a:b], text[end:a]
+            end = b
+            p, g = places.get(word), gaps.get(gap)
+            at.append(self._place(word) if p is None else p)
+            between.append(self._gap(gap) if g is None else g)
+        i = np.array([0, 0, *at, 0])
+        return self.parts[i[2:-1], 0] + self.parts[i[1:-2], 1] + self.parts[i[:-3], 2] + self.parts[i[3:], 3] + np.array(between) + self.field.emission[file_features(text)].sum(axis=0)
+
+
+def crf_spans(text: str, scores: TokenScores, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of decoded secrets that touch no base span. Every token of the text is in the chain."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    if not spans:
+        return []
     found = []
-    for run in runs_of_candidates(text):
-        tags = field.viterbi(run)
-        for t, tag in zip(run, tags):
-            a, b = t["span"]
-            if tag == BEGIN:
-                found.append([a, b])
-            elif tag == INSIDE:
-                found[-1][1] = b
-    return [(a, len(KINDS), b) for a, b in found if not any(x < b and a < y for x, _, y in base)]
+    for (a, b), tag in zip(spans, scores.field.best_tags(scores.of(text, spans))):
+        if tag == BEGIN:
+            found.append([a, b])
+        elif tag == INSIDE:
+            found[-1][1] = b
+    # base spans by start; the greatest end so far says whether one of those that begin before the end reaches into a span
+    starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+    before = [(a, b, bisect_left(starts, b)) for a, b in found]
+    return [(a, len(KINDS), b) for a, b, n in before if n == 0 or reach[n - 1] <= a]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], emission: np.ndarray, transition: np.ndarray) -> Iterator[pa.RecordBatch]:
-    field = ChainField(emission, transition)
+    scores = TokenScores(ChainField(emission, transition))
     for batch in batches:
         for lo, to in text_slices(batch.column(1)):
             part = batch.slice(lo, to - lo)
@@ -230,7 +319,7 @@ def _scan(batches: Iterator[pa.RecordBatch], emission: np.ndarray, transition: n
                 base = base_spans(text)
                 counts.append([sum(k == kind for _, k, _ in base) for kind in range(3)])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                spans.append(joined(sorted(base + crf_spans(text, field, base))))
+                spans.append(joined(sorted(base + crf_spans(text, scores, base))))
             n = np.array(counts, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(n[:, i]) for i in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 

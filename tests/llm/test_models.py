@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plotwise.llm import fingerprints, personal_data
 from plotwise.llm.language_model import GramTable, byte_grams, gram_chances, score_documents
 from plotwise.llm.quality import fit_arrays, fit_quality, score_quality
-from plotwise.llm.secrets import ChainField, base_spans, fit_field, scan_secrets
+from plotwise.llm.secrets import TOKEN, ChainField, TokenScores, base_spans, crf_spans, fit_field, scan_secrets
 
 
 def test_ppm_is_the_definition(spark):
@@ -211,3 +211,23 @@ def test_personal_data_of_a_second_round(spark):
     got = {r.spans and (r.doc_id, r.spans) for r in personal_data.find_personal_data(rows).collect()} - {None, ""}
     found = {made[i][int(s.split(":")[1]) : int(s.split(":")[2])] for i, spans in got for s in spans.split(",") if s.startswith("found")}
     assert found >= set(members[:8]) | set(accounts) | set(hidden) and not any(x.startswith(("report", "1")) for x in found)
+
+
+def test_every_token_is_in_the_chain_of_secrets():
+    rng = np.random.default_rng(4)
+    words = ["letters", "only", "a1", "ab12cd34ef56", "secret", "key", "kdjfhgeiruty"]
+    tagged = set()
+    for _ in range(60):
+        field = ChainField(rng.normal(size=(4096, 3)) * 0.3, rng.normal(size=(3, 3)))
+        field.emission[:, 0] += 0.1
+        text = " ".join(rng.choice(words, 12))
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        want, scores = [], TokenScores(field, most=5)
+        for (a, b), tag in zip(spans, field.best_tags(scores.of(text, spans))):
+            if tag == 1:
+                want.append([a, b])
+            elif tag == 2:
+                want[-1][1] = b
+        assert [(a, b) for a, _, b in crf_spans(text, scores, [])] == [tuple(x) for x in want]
+        tagged.update(text[a:b] for a, b in want)
+    assert {"letters", "a1", "kdjfhgeiruty"} & {w for t in tagged for w in t.split()} == {"letters", "a1", "kdjfhgeiruty"}
