@@ -39,6 +39,11 @@ def test_rules_in_their_order(spark):
     assert "[phone]" in r.description and "[phone]" in r.address and r.lat == 42.0 and r.district == "Центар" and r.sold is False and r.agency is False
 
 
+def test_texts_are_searched_once_before_the_last_step(spark):
+    merged = details.merged_details(spark.createDataFrame([], LISTING), spark.createDataFrame([], DETAIL))
+    assert "nadmorska" not in merged._jdf.queryExecution().analyzed().toString()
+
+
 def test_reading_anew_twice_changes_nothing(spark):
     said = ["Цена: 55000 €", "висина 900 м надморска висина, тел. 076 506 300", "", None, "cena 40000 evra"]
     rows = [(str(i), "house", "Куќа", p, note, deal, 500.0, "grid", said[i % 5]) for i, (p, note, deal) in enumerate([(1.0, "placeholder", "sale"), (9e4, None, "sale"), (5.0, "per_m2", "sale"), (None, None, "sale"), (2000.0, None, "auction"), (2000.0, None, "sale"), (1.0, None, "sale"), (7e4, None, "rent"), (3.0, None, "sale"), (9e4, None, "sale")])]
