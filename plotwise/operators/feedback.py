@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,31 +60,45 @@ def penalty(n: Column) -> Column:
     return -12 * n / (n + 2)
 
 
-def rejection_penalties(items: DataFrame, rejections: DataFrame) -> DataFrame:
-    """D10 (J14): (researcher, id, penalty) for the reasons that go by size, district, city and kind. An item's own rejection is left out.
+def fold_penalties(items: DataFrame, rejections: DataFrame, smaller: Iterable[str], larger: Iterable[str], places: dict[tuple[str, ...], dict[str, Column | None]], said: Column | None = None) -> DataFrame:
+    """D10 (J14): (researcher, id, penalty, reasons) of the ``items`` that reasons fit. An item's own rejection is left out.
 
-    Place reasons join sums by (researcher, place); size reasons join one row for each researcher and reason.
+    ``smaller`` and ``larger`` are the reasons that go by size, ``places`` the keys that an item must share with a rejected one, with the reasons
+    that go by them and what must hold besides, ``said`` an array of further reasons that fit an item. What was rejected is summed to one row for
+    each researcher and for each place, with its reasons as an array. So an item stays one row, and it is moved once, to its own rejections.
     """
-    # an own rejection changes a reason's sums, so items that have one are taken off by key
-    own = rejections.groupBy("researcher", "reason", F.col("listing_id").alias("id")).agg(F.count("*").alias("own"))
-    totals = size_limits(rejections)
-    parts = []
-    totals = write_table(totals, "totals")  # one row for each researcher and reason; small files are broadcast, large ones are not
-    size = items.join(totals.where("reason in ('sml', 'big')"), "researcher")
-    fits = F.when(F.col("reason") == "sml", F.col("area") <= F.col("limit")).otherwise(F.col("area") >= F.col("limit"))
-    parts.append(size.where(fits).select("researcher", "id", "reason", "n"))
-    for reason, keys in (("loc", ["city", "district"]), ("prc", ["kind", "city"]), ("str", ["kind", "city"])):
-        rows = rejections.where(F.col("reason") == reason)
-        places = rows.groupBy("researcher", *keys).agg(F.count("*").alias("here"))
-        mine = own.where(F.col("reason") == reason).select("researcher", "id", "own")
-        hit = items.join(places, ["researcher", *keys]).join(mine, ["researcher", "id"], "left").where(F.col("here") > F.coalesce("own", F.lit(0)))
-        parts.append(hit.join(totals.where(F.col("reason") == reason).select("researcher", "n"), "researcher").select("researcher", "id", F.lit(reason).alias("reason"), "n"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    # a reason counts once for an id, also where items repeat it
-    found = found.dropDuplicates(["researcher", "id", "reason"]).join(own, ["researcher", "id", "reason"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
-    return found.groupBy("researcher", "id").agg(F.sum(penalty(F.col("n"))).alias("penalty"))
+    needed = dict.fromkeys(["researcher", "listing_id", "reason", "area", *(k for keys in places for k in keys)])
+    rejections = write_table(rejections.where("reason is not null").select(*needed), "rejections")
+    # one row for each researcher or place; small files are broadcast, large ones are not
+    totals = size_limits(rejections).groupBy("researcher").agg(F.collect_list(F.struct("reason", "n", "limit")).alias("totals"))
+    totals = write_table(totals, "totals")
+    kind, nowhere = "array<struct<reason:string,here:bigint>>", F.lit(None).cast("bigint")
+    anywhere = lambda reasons: F.transform(reasons, lambda r: F.struct(r.alias("reason"), nowhere.alias("here")))
+    rows = items.join(totals, "researcher")
+    by_size = F.filter("totals", lambda t: (t["reason"].isin(list(smaller)) & (F.col("area") <= t["limit"])) | (t["reason"].isin(list(larger)) & (F.col("area") >= t["limit"])))
+    fits = [anywhere(by_size["reason"])] + ([anywhere(said)] if said is not None else [])
+    for i, (keys, reasons) in enumerate(places.items()):
+        here = rejections.where(F.col("reason").isin(list(reasons))).groupBy("researcher", "reason", *keys).agg(F.count("*").alias("here"))
+        there = here.groupBy("researcher", *keys).agg(F.collect_list(F.struct("reason", "here")).alias(f"place {i}"))
+        rows = rows.join(write_table(there, "places"), ["researcher", *keys], "left")
+        holds = F.array_compact(F.array(*[F.lit(r) if also is None else F.when(also, r) for r, also in reasons.items()]))
+        fits.append(F.coalesce(F.filter(f"place {i}", lambda p: F.array_contains(holds, p["reason"])), F.array().cast(kind)))
+    may = rows.select("researcher", "id", F.concat(*fits).alias("may")).where("size(may) > 0")
+    own = rejections.groupBy("researcher", F.col("listing_id").alias("id"), "reason").agg(F.count("*").alias("own"))
+    own = own.groupBy("researcher", "id").agg(F.map_from_entries(F.collect_list(F.struct("reason", "own"))).alias("own"))
+    mine = lambda reason: F.coalesce(F.try_element_at(F.col("own"), reason), F.lit(0))
+    # a place counts if others than the item were rejected there; a reason counts once for an id, also where items repeat it
+    left = F.filter("may", lambda x: x["here"].isNull() | (x["here"] > mine(x["reason"])))["reason"]
+    found = may.hint("merge").join(own, ["researcher", "id"], "left").groupBy("researcher", "id").agg(F.array_distinct(F.flatten(F.collect_list(left))).alias("found"), F.first("own").alias("own"))
+    given = F.transform(F.filter("totals", lambda t: F.array_contains("found", t["reason"])), lambda t: F.struct(t["reason"].alias("reason"), (t["n"] - mine(t["reason"])).alias("n")))
+    counted = found.join(totals, "researcher").select("researcher", "id", F.filter(given, lambda x: x["n"] > 0).alias("given")).where("size(given) > 0")
+    return counted.select("researcher", "id", F.aggregate("given", F.lit(0.0), lambda total, x: total + penalty(x["n"])).alias("penalty"), F.array_sort(F.col("given")["reason"]).alias("reasons"))
+
+
+def rejection_penalties(items: DataFrame, rejections: DataFrame) -> DataFrame:
+    """D10 (J14): (researcher, id, penalty) for the reasons that go by size, district, city and kind."""
+    places = {("city", "district"): {"loc": None}, ("kind", "city"): {"prc": None, "str": None}}
+    return fold_penalties(items, rejections, ["sml"], ["big"], places).drop("reasons")
 
 
 def pivot_facts(facts: DataFrame) -> DataFrame:

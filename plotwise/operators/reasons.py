@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions.text import has_keyword, norm
-from plotwise.operators.feedback import penalty, size_limits
-from plotwise.scratch import write_table
+from plotwise.operators.feedback import fold_penalties
 
 ALL = ("airbnb", "land", "weekend", "flip", "motivated", "auctions")
 BUILT, SIZED, GROUND = ("airbnb", "flip", "motivated", "auctions"), ALL, ("land", "weekend")
@@ -70,31 +69,10 @@ def penalties(items: DataFrame, rejections: DataFrame, reasons: tuple[Reason, ..
     """D10 (J14): (researcher, id, penalty, reasons) of ``items`` (researcher, id, kind, city, district, area, title, description) after ``rejections``
     (researcher, listing_id, reason, kind, city, district, area).
 
-    Each reason that fits costs by how often it was given, an item's own rejection apart. Places join sums by their keys; all other reasons join
-    one row for each researcher and reason, so items never meet rejections one by one. Texts are folded once.
+    Each reason that fits costs by how often it was given, an item's own rejection apart. Texts are folded once.
     """
-    known = {r.code: r for r in reasons}
-    own = rejections.groupBy("researcher", "reason", F.col("listing_id").alias("id")).agg(F.count("*").alias("own"))
-    totals = write_table(size_limits(rejections), "totals")
+    of = lambda learn: [r for r in reasons if r.learn == learn]
+    places = {keys: {r.code: r.also() if r.also else None for r in of("places") if r.keys == keys} for keys in sorted({r.keys for r in of("places")})}
     rows = items.withColumn("text of the item", norm(F.concat_ws(" ", "title", "description")))
-    fits = F.lit(False)
-    for r in reasons:
-        said = F.col("reason") == r.code
-        if r.learn in ("size_min", "size_max"):
-            fits = fits | (said & (F.col("area") <= F.col("limit") if r.learn == "size_min" else F.col("area") >= F.col("limit")))
-        elif r.learn == "text":
-            fits = fits | (said & has_keyword(F.col("text of the item"), list(r.stems)))
-        elif r.learn == "rule":
-            fits = fits | (said & F.coalesce(r.also(), F.lit(False)))
-    found = rows.join(totals, "researcher").where(fits).select("researcher", "id", "reason", "n")
-    for keys in sorted({r.keys for r in known.values() if r.learn == "places"}):
-        codes = [r for r in reasons if r.learn == "places" and r.keys == keys]
-        places = rejections.where(F.col("reason").isin([r.code for r in codes])).groupBy("researcher", "reason", *keys).agg(F.count("*").alias("here"))
-        here = own.withColumnRenamed("own", "mine")
-        hit = rows.join(places, ["researcher", *keys]).join(here, ["researcher", "reason", "id"], "left").where(F.col("here") > F.coalesce("mine", F.lit(0)))
-        for r in codes:
-            if r.also:
-                hit = hit.where((F.col("reason") != r.code) | F.coalesce(r.also(), F.lit(False)))
-        found = found.unionByName(hit.join(totals.select("researcher", "reason", "n"), ["researcher", "reason"]).select("researcher", "id", "reason", "n"))
-    found = found.dropDuplicates(["researcher", "id", "reason"]).join(own, ["researcher", "id", "reason"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
-    return found.groupBy("researcher", "id").agg(F.sum(penalty(F.col("n"))).alias("penalty"), F.array_sort(F.collect_set("reason")).alias("reasons"))
+    said = [F.when(has_keyword(F.col("text of the item"), list(r.stems)), r.code) for r in of("text")] + [F.when(r.also(), r.code) for r in of("rule")]
+    return fold_penalties(rows, rejections, [r.code for r in of("size_min")], [r.code for r in of("size_max")], places, F.array_compact(F.array(*said)) if said else None)

@@ -3,6 +3,7 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
+from plotwise.operators import feedback
 from plotwise.operators.components import connected_components
 from plotwise.operators.feedback import size_limits
 from plotwise.operators.market import exact_median
@@ -59,3 +60,26 @@ def test_pages(spark):
 def test_sitemap(spark, tmp_path):
     (tmp_path / "s.xml").write_text('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://x/ad/1</loc><lastmod>2026-01-02T00:00:00.000Z</lastmod></url><url><loc>https://x/about</loc></url></urlset>')
     assert [tuple(r) for r in pages.sitemap(spark, str(tmp_path / "s.xml"), "/ad/").collect()] == [("https://x/ad/1", "2026-01-02T00:00:00.000Z")]
+
+
+def test_penalties_move_an_item_once(spark, tmp_path):
+    random.seed(8)
+    some = lambda *x: random.choice(x)
+    items = [(some("r0", "r1", "r2", None), some(*"abcdefgh", None), some("flat", "land"), some("X", "Y", None), some("S", "T", None), some(10.0, 40.0, 90.0, None)) for _ in range(60)]
+    turned = [(some("r0", "r1", None), some(*"abcdefgh"), some("sml", "big", "loc", "prc", "str", "oth", None), some("flat", "land"), some("X", "Y", None), some("S", None), some(20.0, 50.0, 0.0, None)) for _ in range(50)]
+    spark.createDataFrame(items, "researcher string, id string, kind string, city string, district string, area double").write.parquet(str(tmp_path / "items"))
+    given = spark.createDataFrame(turned, "researcher string, listing_id string, reason string, kind string, city string, district string, area double")
+    found = feedback.rejection_penalties(spark.read.parquet(str(tmp_path / "items")), given)
+    assert sum("items" in f for f in found.inputFiles()) and found._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/items") == 1
+    want = {}
+    for who, item, kind, city, district, area in items:
+        for reason in ("sml", "big", "loc", "prc", "str"):
+            said = [t for t in turned if who is not None and t[0] == who and t[2] == reason]
+            sizes = sorted(t[6] for t in said if t[6])
+            mine = [t for t in said if t[1] == item]
+            place = (city, district) if reason == "loc" else (kind, city)
+            here = [t for t in said if None not in place and place == (t[4:6] if reason == "loc" else t[3:5])]
+            fits = (sizes and area is not None and (area <= sizes[len(sizes) // 2] if reason == "sml" else area >= sizes[len(sizes) // 2])) if reason in ("sml", "big") else len(here) > len(mine)
+            if fits and len(said) > len(mine):
+                want.setdefault((who, item), {})[reason] = -12 * (len(said) - len(mine)) / (len(said) - len(mine) + 2)
+    assert want and {(r.researcher, r.id): round(r.penalty, 9) for r in found.collect()} == {k: round(sum(v.values()), 9) for k, v in want.items()}
