@@ -11,7 +11,7 @@ import math
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial, reduce
 from itertools import accumulate
 
@@ -27,14 +27,22 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CUE = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
+CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"[^\s\"'=:,;()\[\]{}<>|]+")
+PARTS = re.compile(f"({TOKEN.pattern})")
 OUT, BEGIN, INSIDE = range(3)
 
 
+def has_cue(text: str) -> bool:
+    """Whether ``CUE`` is found in a text; a look for the plain words comes first, as it is much faster."""
+    low = text.lower()
+    return any(w in low for w in CUES) and CUE.search(text) is not None
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns' matches, code points, by start, then kind. A run of hex digits of 24 or more is what is left
     of all runs once the shorter ones are dropped."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if CUE.search(text) else []
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if has_cue(text) else []
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -85,7 +93,7 @@ def file_features(text: str) -> list[int]:
     """Buckets of the text as a whole: size, share of digits and of signs that programs are full of, in its own coarse steps."""
     n = max(len(text), 1)
     signs = sum(map(text.count, "{}=;<>_\"")) * 200 // n
-    return [_bucket(f"f:len{min(n.bit_length() // 3, 7)}"), _bucket(f"f:sign{min(signs, 5)}"), _bucket(f"f:cue{bool(CUE.search(text))}")]
+    return [_bucket(f"f:len{min(n.bit_length() // 3, 7)}"), _bucket(f"f:sign{min(signs, 5)}"), _bucket(f"f:cue{has_cue(text)}")]
 
 
 def word_buckets(token: str) -> list[list[int]]:
@@ -93,6 +101,58 @@ def word_buckets(token: str) -> list[list[int]]:
     return [shape_features(token), *(word_features(token, side) for side in SIDES)]
 
 
+IS_DIGIT, IS_UPPER, IS_LOWER, IS_DECIMAL, IS_HEX, IS_KNOWN = (1 << i for i in range(6))
+_CLASSES = np.zeros(0x110000, np.uint8)
+
+
+def sign_classes(codes: np.ndarray) -> np.ndarray:
+    """What each code point is, as bits; worked out once for each that is met."""
+    for x in np.unique(codes[_CLASSES[codes] == 0]).tolist():
+        c = chr(x)
+        _CLASSES[x] = IS_KNOWN | c.isdigit() * IS_DIGIT | c.isupper() * IS_UPPER | c.islower() * IS_LOWER | c.isdecimal() * IS_DECIMAL | (c in "0123456789abcdef") * IS_HEX
+    return _CLASSES[codes]
+
+
+@lru_cache(1)
+def _shape_tables() -> list[np.ndarray]:
+    """Buckets of the shape features by a small number for what each says."""
+    named = [[f"len{i}" for i in range(8)], [f"long{a}{b}" for a in (False, True) for b in (False, True)]]
+    named += [[f"mix{a}{b}{c}{d}" for a in (False, True) for b in (False, True) for c in (False, True) for d in (False, True)], [f"distinct{a}{b}" for a in range(5) for b in range(5)]]
+    named += [[f"digits{i}" for i in range(6)], [f"switch{i}" for i in range(6)], [f"hex{a}" for a in (False, True)], [f"cap{a}{b}" for a in (False, True) for b in (False, True)]]
+    return [np.array([_bucket("s:" + x) for x in names]) for names in named]
+
+
+def many_word_buckets(words: list[str]) -> list[np.ndarray]:
+    """``word_buckets`` of words that are not empty, all at once: four tables with a row for each word."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    starts = np.cumsum(n) - n
+    classes = sign_classes(codes)
+    digits, upper, lower, decimals, hexed = (np.add.reduceat((classes & bit != 0).astype(np.int64), starts) for bit in (IS_DIGIT, IS_UPPER, IS_LOWER, IS_DECIMAL, IS_HEX))
+    decimal = classes & IS_DECIMAL
+    switched = np.r_[False, decimal[1:] != decimal[:-1]].astype(np.int64)
+    switched[starts] = 0
+    own = np.sort(np.repeat(np.arange(len(words)), n) << 21 | codes)
+    distinct = np.bincount(own[np.r_[True, own[1:] != own[:-1]]] >> 21, minlength=len(words))
+    flags = lambda *bits: sum(b.astype(np.int64) << i for i, b in enumerate(reversed(bits)))
+    said = [np.searchsorted([1, 2, 4, 8, 16, 32, 64], n, "right"), flags(n >= 16, n >= 24), flags(digits > 0, upper > 0, lower > 0, n - digits - upper - lower > 0)]
+    said += [np.minimum(distinct * 4 // n, 4) * 5 + np.minimum(distinct // 6, 4), digits * 5 // n, np.minimum(np.add.reduceat(switched, starts) * 6 // n, 5)]
+    said += [flags((n >= 8) & (hexed == n)), flags(classes[starts] & IS_UPPER != 0, upper > 1)]
+    low = [w.lower() for w in words]
+    whole = np.frombuffer(b"".join([hashlib.blake2b(w[:24].encode(), digest_size=6).digest() for w in low]), "<u2").reshape(-1, 3) % BUCKETS
+    text = "\n".join(low)
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    cue = np.zeros(len(words), np.int64)
+    for w in CUES:
+        at = text.find(w)
+        while at >= 0:
+            cue[np.searchsorted(ends, at, "right")] = 1
+            at = text.find(w, at + 1)
+    flag = lambda side, name: np.array([_bucket(f"{side}:{name}{x}") for x in (False, True)])
+    sides = [np.stack([whole[:, i].astype(np.int64), flag(side, "cue")[cue], flag(side, "num")[(decimals > 0).astype(np.int64)]], axis=1) for i, side in enumerate(SIDES)]
+    return [np.stack([table[x] for table, x in zip(_shape_tables(), said)], axis=1), *sides]
+
+
 #: Tokens on each side of a match that are trained on, tokens at another place of each text, and tokens of a text at most.
 AROUND, ELSEWHERE, MOST = 5, 20, 200
 
@@ -137,8 +197,35 @@ class ChainField:
     def viterbi(self, run: list[dict]) -> list[int]:
         return self.best_tags(self.scores(run))
 
+    def surely_out(self, e: np.ndarray) -> np.ndarray:
+        """Which of the tokens with scores ``e`` are outside on the best path, whatever the tags beside them.
+
+        That is so where the outside's score leads by more than any transitions from and to it can cost. If the next token were inside, it has to
+        begin instead, which may cost its own scores too.
+        """
+        t = self.transition
+        sure = np.ones(len(e), bool)
+        later = np.r_[e[1:, INSIDE] - e[1:, BEGIN], -math.inf]
+        for x, before in ((BEGIN, (OUT, BEGIN, INSIDE)), (INSIDE, (BEGIN, INSIDE))):
+            into = max(t[s, x] - t[s, OUT] for s in before)
+            alone = into + max(0.0, *(t[x, u] - t[OUT, u] for u in (OUT, BEGIN)))
+            ahead = into + t[x, INSIDE] - t[OUT, BEGIN] + max(0.0, *(t[INSIDE, v] - t[BEGIN, v] for v in range(3)))
+            sure &= e[:, OUT] - e[:, x] > np.maximum(alone, ahead + later) + 1e-9
+        return sure
+
     def best_tags(self, e: np.ndarray) -> list[int]:
-        """The best tags of tokens with scores ``e``, of equal ones the least. Plain numbers, as each step has only three."""
+        """The best tags of tokens with scores ``e``, of equal ones the least. Only the runs between tokens that are surely outside are gone through."""
+        unsure = np.flatnonzero(~self.surely_out(e))
+        tags = [OUT] * len(e)
+        if len(unsure):
+            cuts = np.flatnonzero(np.diff(unsure) > 1) + 1
+            for lo, to in zip(unsure[np.r_[0, cuts]].tolist(), (unsure[np.r_[cuts - 1, len(unsure) - 1]] + 1).tolist()):
+                tags[lo:to] = self._run_tags(e[lo:to], to == len(e))
+        return tags
+
+    def _run_tags(self, e: np.ndarray, last: bool) -> list[int]:
+        """The best tags of a run after an outside, or at the beginning, and before an outside unless it is the ``last``. Plain numbers, as each step has
+        only three."""
         (oo, ob, _), (bo, bb, bi), (io, ib, ii) = self.transition.tolist()
         rows = iter(e.tolist())
         x, y, _ = next(rows)
@@ -160,7 +247,7 @@ class ChainField:
                 to_i, from_i = i + ii, INSIDE
             back.append((from_o, from_b, from_i))
             o, b, i = to_o + x, to_b + y, to_i + z
-        ends = (o, b, i)
+        ends = (o, b, i) if last else (o + oo, b + bo, i + io)
         tags = [ends.index(max(ends))]
         for step in reversed(back):
             tags.append(step[tags[-1]])
@@ -248,61 +335,98 @@ def fit_field(docs: DataFrame, sample_rows: int = 400, seed: int = 5, text_col:
     return ChainField().fit(runs, tags, seed=seed)
 
 
+class _Places(dict):
+    """Numbers strings in the order in which they come; ``new`` holds those that nothing was worked out for yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def _with_room(rows: np.ndarray, n: int) -> np.ndarray:
+    return rows if n <= len(rows) else np.concatenate([rows, np.zeros((max(n - len(rows), len(rows)), *rows.shape[1:]))])
+
+
 class TokenScores:
-    """Scores that tokens and the gaps between them add, worked out once for each that is met; begun anew when there are many."""
+    """Scores that tokens and the gaps between them add, worked out once for each that is met, many at a time; begun anew when there are many."""
 
     def __init__(self, field: ChainField, most: int = 1 << 18):
         self.field, self.most = field, most
         self.clear()
 
     def clear(self) -> None:
+        self.places, self.gaps = _Places(), _Places()
+        self.parts, self.between = [np.zeros((1024, 3)) for _ in range(4)], np.zeros((16, 3))
         # place 0 is the empty word, which stands for none
-        self.places: dict[str, int] = {}
-        self.parts = np.zeros((1024, 4, 3))
-        self.gaps: dict[str, np.ndarray] = {}
-        self._place("")
-
-    def _place(self, word: str) -> int:
-        n = len(self.places)
-        if n == len(self.parts):
-            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        buckets = word_buckets(word)
-        ends = list(accumulate(map(len, buckets)))
-        self.parts[n] = np.add.reduceat(self.field.emission[[x for part in buckets for x in part]], [0, *ends[:-1]], axis=0)
-        self.places[word] = n
-        return n
+        self.places[""] = 0
+        for part, buckets in zip(self.parts, word_buckets("")):
+            part[0] = self.field.emission[buckets].sum(axis=0)
+
+    def meet(self, words: Iterable[str], n: int) -> np.ndarray:
+        """Places of ``n`` words."""
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, n)
+
+    def learn(self) -> None:
+        """Work out what the words and gaps that were met add."""
+        if self.places.new:
+            at, self.parts = len(self.places) - len(self.places.new), [_with_room(part, len(self.places)) for part in self.parts]
+            for part, buckets in zip(self.parts, many_word_buckets(self.places.new)):
+                part[at : len(self.places)] = sum(self.field.emission[buckets[:, i]] for i in range(buckets.shape[1]))
+            self.places.new = []
+        if self.gaps.new:
+            at, self.between = len(self.gaps) - len(self.gaps.new), _with_room(self.between, len(self.gaps))
+            self.between[at : len(self.gaps)] = self.field.emission[list(map(gap_feature, self.gaps.new))]
+            self.gaps.new = []
+
+    def met(self, pieces: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places of words, places of the gaps before them) of texts in pieces, gap and word by turns and a gap at last."""
+        if len(self.places) + len(self.gaps) > self.most:
+            self.clear()
+        found = [(self.meet(p[1::2], len(p) // 2), np.fromiter(map(self.gaps.__getitem__, p[:-1:2]), np.int64, len(p) // 2)) for p in pieces]
+        self.learn()
+        return found
 
-    def _gap(self, gap: str) -> np.ndarray:
-        self.gaps[gap] = self.field.emission[gap_feature(gap)]
-        return self.gaps[gap]
+    def scores(self, text: str, words: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Scores of every token of a text, by tag."""
+        i = np.concatenate([[0, 0], words, [0]])
+        shape, p, pp, n = self.parts
+        return shape.take(i[2:-1], axis=0) + p.take(i[1:-2], axis=0) + pp.take(i[:-3], axis=0) + n.take(i[3:], axis=0) + self.between.take(gaps, axis=0) + self.field.emission[file_features(text)].sum(axis=0)
 
     def of(self, text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-        """Scores of every token of a text, by tag."""
-        if len(self.places) + len(self.gaps) > self.most:
-            self.clear()
-        places, gaps, end = self.places, self.gaps, 0
-        at, between = [], []
-        for a, b in spans:
-            word, gap = text[a:b], text[end:a]
-            end = b
-            p, g = places.get(word), gaps.get(gap)
-            at.append(self._place(word) if p is None else p)
-            between.append(self._gap(gap) if g is None else g)
-        i = np.array([0, 0, *at, 0])
-        return self.parts[i[2:-1], 0] + self.parts[i[1:-2], 1] + self.parts[i[:-3], 2] + self.parts[i[3:], 3] + np.array(between) + self.field.emission[file_features(text)].sum(axis=0)
+        """Scores of the tokens at ``spans``, by tag."""
+        ends = [0, *(b for _, b in spans)]
+        pieces = [x for (a, b), end in zip(spans, ends) for x in (text[end:a], text[a:b])] + [""]
+        return self.scores(text, *self.met([pieces])[0])
 
 
 def crf_spans(text: str, scores: TokenScores, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of decoded secrets that touch no base span. Every token of the text is in the chain."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if not spans:
+    return many_crf_spans([text], scores, [base])[0]
+
+
+def many_crf_spans(texts: list[str], scores: TokenScores, bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """``crf_spans`` of each text; what new words add is worked out for all texts at once."""
+    pieces = [PARTS.split(text) for text in texts]
+    return [_decoded(text, p, scores, places, base) for text, p, places, base in zip(texts, pieces, scores.met(pieces), bases)]
+
+
+def _decoded(text: str, pieces: list[str], scores: TokenScores, places: tuple[np.ndarray, np.ndarray], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if len(pieces) < 2:
+        return []
+    tags = scores.field.best_tags(scores.scores(text, *places))
+    if not any(tags):
         return []
-    found = []
-    for (a, b), tag in zip(spans, scores.field.best_tags(scores.of(text, spans))):
+    ends = list(accumulate(map(len, pieces)))  # token k is the piece 2k + 1
+    found: list[list[int]] = []
+    for k, tag in enumerate(tags):
         if tag == BEGIN:
-            found.append([a, b])
+            found.append([ends[2 * k], ends[2 * k + 1]])
         elif tag == INSIDE:
-            found[-1][1] = b
+            found[-1][1] = ends[2 * k + 1]
     # base spans by start; the greatest end so far says whether one of those that begin before the end reaches into a span
     starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
     before = [(a, b, bisect_left(starts, b)) for a, b in found]
@@ -315,11 +439,12 @@ def _scan(batches: Iterator[pa.RecordBatch], emission: np.ndarray, transition: n
         for lo, to in text_slices(batch.column(1)):
             part = batch.slice(lo, to - lo)
             counts, digests, spans = [], [], []
-            for text in part.column(1).to_pylist():
-                base = base_spans(text)
+            texts = part.column(1).to_pylist()
+            bases = list(map(base_spans, texts))
+            for base, more in zip(bases, many_crf_spans(texts, scores, bases)):
                 counts.append([sum(k == kind for _, k, _ in base) for kind in range(3)])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                spans.append(joined(sorted(base + crf_spans(text, scores, base))))
+                spans.append(joined(sorted(base + more)))
             n = np.array(counts, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(n[:, i]) for i in range(3)), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plotwise.llm import fingerprints, personal_data
 from plotwise.llm.language_model import GramTable, byte_grams, gram_chances, score_documents
 from plotwise.llm.quality import fit_arrays, fit_quality, score_quality
-from plotwise.llm.secrets import TOKEN, ChainField, TokenScores, base_spans, crf_spans, fit_field, scan_secrets
+from plotwise.llm.secrets import TOKEN, ChainField, TokenScores, base_spans, crf_spans, fit_field, many_word_buckets, scan_secrets, word_buckets
 
 
 def test_ppm_is_the_definition(spark):
@@ -231,3 +231,22 @@ def test_every_token_is_in_the_chain_of_secrets():
         assert [(a, b) for a, _, b in crf_spans(text, scores, [])] == [tuple(x) for x in want]
         tagged.update(text[a:b] for a, b in want)
     assert {"letters", "a1", "kdjfhgeiruty"} & {w for t in tagged for w in t.split()} == {"letters", "a1", "kdjfhgeiruty"}
+
+
+def test_secrets_many_words_at_once_are_as_one_by_one():
+    words = ["a", "KEY", "password1", "aapi_keyb", "ab12cd34ef56ab78cd90", "ſecret", "١٢a", "²x", "ß", "Ǆ", "ΑΣ", "İa", "toKen", "𝟙𝟚x", "Лозинка7", "x" * 70, "--", "1a2b3c4d"]
+    assert [[g[k].tolist() for g in many_word_buckets(words)] for k in range(len(words))] == [word_buckets(w) for w in words]
+
+
+def test_secrets_runs_between_sure_tokens_are_the_whole_chain(monkeypatch):
+    rng, seen, tagged = np.random.default_rng(6), 0, 0
+    whole = ChainField._run_tags
+    for _ in range(400):
+        field = ChainField(transition=rng.normal(size=(3, 3)) * rng.choice([0.3, 1, 3]))
+        e = rng.normal(size=(int(rng.integers(1, 40)), 3)) * rng.choice([1, 3, 8])
+        e[:, 0] += rng.choice([0, 2, 6])
+        steps = []
+        monkeypatch.setattr(ChainField, "_run_tags", lambda self, x, last: steps.append(len(x)) or whole(self, x, last))
+        assert field.best_tags(e) == whole(field, e, True)
+        seen, tagged = seen + len(e) - sum(steps), tagged + any(field.best_tags(e))
+    assert seen > 1000 and tagged > 100
