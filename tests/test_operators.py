@@ -7,7 +7,7 @@ from plotwise.operators import feedback
 from plotwise.operators.components import connected_components
 from plotwise.operators.feedback import size_limits
 from plotwise.operators.market import exact_median
-from plotwise.sources import pages
+from plotwise.sources import pages, sites
 
 
 def test_components(spark):
@@ -83,3 +83,13 @@ def test_penalties_move_an_item_once(spark, tmp_path):
             if fits and len(said) > len(mine):
                 want.setdefault((who, item), {})[reason] = -12 * (len(said) - len(mine)) / (len(said) - len(mine) + 2)
     assert want and {(r.researcher, r.id): round(r.penalty, 9) for r in found.collect()} == {k: round(sum(v.values()), 9) for k, v in want.items()}
+
+
+def test_a_value_is_read_from_its_page_once(spark):
+    read = sites.Read((sites.markup("first(.)x"), sites.markup("second(.)x")), lambda c: F.concat(c, c), lambda v: v != "nn")
+    rows = spark.createDataFrame([("firstax secondbx",), ("firstnx secondbx",), ("secondnx",), ("first x second&amp;x",), (None,)], "html string").select("html", read.column().alias("v"), pages.key_values(F.col("html"), "third(.)(.)").alias("m"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("first(.)x"), plan.count("second(.)x"), plan.count("third(.)(.)")) == (1, 1, 2)
+    assert [r.v for r in rows.collect()] == ["aa", "bb", None, None, None]
+    got = spark.createDataFrame([("thirdab thirdac third<x",), (None,), ("",)], "html string").select(pages.key_values(F.col("html"), "third(.)(.)").alias("m")).collect()
+    assert got[0].m["a"] == "b" and got[1].m is None and got[2].m == {}
