@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions import places as fp
-from plotwise.functions.text import norm
+from plotwise.functions.text import norm, once
 from plotwise.scratch import write_table
 
 
@@ -61,11 +61,20 @@ def centre_unconfirmed(rows: DataFrame, hints: DataFrame, centre: str, key: str
     return with_flag(rows, hints, text, "said", filed, key).withColumn("centre_unconfirmed", filed & ~F.col("said")).drop("said")
 
 
-def with_candidates(rows: DataFrame, named: DataFrame, key: str = "id") -> DataFrame:
+#: Names up to which a gazetteer is sent to the texts and looked for in each; a larger one meets their runs of words in a join.
+FEW_NAMES = 200
+
+
+def with_candidates(rows: DataFrame, named: DataFrame, key: str = "id", few: int = FEW_NAMES) -> DataFrame:
     """``candidates``, the names to look up. ``named``: a gazetteer (name, spelled) of places that are taken wherever the text has them."""
     text = F.concat_ws(" ", "title", "description")
-    found = named_places(rows, named, text, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("words", "spelled"))), lambda x: x["spelled"]).alias("named"))
     columns = [F.col(c) for c in ("title", "named", "note", "address", "district", "city")]
+    if named.limit(few + 1).count() <= few:
+        names = named.agg(F.array_sort(F.collect_set(F.struct("words", "spelled"))).alias("names"))  # one row
+        # folded texts and names have single spaces between words
+        said = once(norm(text), lambda t: F.filter("names", lambda g: F.contains(t, F.concat(F.lit(" "), g["words"], F.lit(" ")))))
+        return rows.crossJoin(F.broadcast(names)).withColumn("named", F.transform(said, lambda g: g["spelled"])).withColumn("candidates", fp.candidates(*columns)).drop("named", "names")
+    found = named_places(rows, named, text, key).groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("words", "spelled"))), lambda x: x["spelled"]).alias("named"))
     return rows.hint("merge").join(found, key, "left").withColumn("candidates", fp.candidates(*columns)).drop("named")
 
 

@@ -10,7 +10,7 @@ from plotwise.operators import alerts, analysis, dedupe, feedback, geo, market,
 from plotwise.plans import derived, oracle, owner, texts
 from plotwise.scratch import write_table
 from plotwise.sources import pages
-from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, spread, stale_details
+from plotwise.sources.listings import AS_OF, active, by_ids, listings, market_rows, pending_details, spread, spread_listings, stale_details
 from plotwise.streaming import folds, jobs
 
 QUERIES: dict = {}
@@ -438,7 +438,7 @@ def all_penalties(spark, sf_dir):
     said = ("Стан за реновирање", "Сутерен 40м2", "без лифт", "Деловен простор", "без имотен лист", "1/2 идеален дел", "Нива", "стрмна падина", "Стан")
     n = F.col("source_no")
     title = F.element_at(F.array(*map(F.lit, said)), (n % 9 + 1).cast("int"))
-    items = spread(listings(spark, sf_dir)).select(F.concat(F.lit("r"), (n % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), title.alias("title"), F.lit(None).cast("string").alias("description"))
+    items = spread_listings(spark, sf_dir).select(F.concat(F.lit("r"), (n % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), title.alias("title"), F.lit(None).cast("string").alias("description"))
     return rounded(reasons.penalties(items, rejections).select("researcher", "id", "penalty", F.array_join("reasons", ",").alias("reasons")))
 
 
@@ -517,7 +517,7 @@ def _ads(spark, sf_dir, lineitem=None):
     words = F.element_at(F.array(*map(F.lit, ("Се продава стан", "Se izdava stan", "Плац", "Куќа со двор", "Бара се стан"))), (n % 5 + 1).cast("int"))
     facts = F.element_at(F.array(*map(F.lit, ("струја има, вода во близина", "nema struja i voda, pristap so makadam", "асфалт и вода до плацот", "се очекува струја", ""))), (n % 5 + 1).cast("int"))
     body = F.concat_ws(" ", facts, F.format_string("цена %.0f €, %.0f m2", "price_eur", "area_m2"))
-    return spread(listings(spark, sf_dir, lineitem)).select("id", "kind", "city", "district", "price_eur", "area_m2", words.alias("title"), body.alias("text"))
+    return spread_listings(spark, sf_dir, lineitem).select("id", "kind", "city", "district", "price_eur", "area_m2", words.alias("title"), body.alias("text"))
 
 
 def _runs(spark, sf_dir):

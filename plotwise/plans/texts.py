@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plotwise.operators import details, places
 from plotwise.plans.oracle import L
 from plotwise.sources import sites
-from plotwise.sources.listings import listings, spread
+from plotwise.sources.listings import listings, spread_listings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,7 +66,7 @@ def classified_details(spark, sf_dir):
     at = F.when(n % 5 == 0, "41.98707, 21.45193").otherwise(F.format_string("%.5f, %.5f", "lat", "lng"))
     html = joined('<div class="adDetailsMobile title"><h2>', F.col("title"), '</h2></div><div class="adDetailPrice">', whole("price_eur"), " €</div>", fact("Површина", joined(whole("area_m2"), " m²")), F.when(n % 3 == 0, fact("Изградена површина", F.lit("77 m²"))), F.when(n % 2 == 0, fact("Број на соби", F.lit("4"))),
                   '<p class="oglasDescription"> ', F.col("title"), "<br/>втор   ред<br></p><script>showMap(", at, ');</script><div class="show-map"><span class="place">', F.col("city"), "<i> / </i>", F.col("district"), '</span></div>Објавен на: 05.03.2024<div class="user-name"> <b>', F.when(n % 7 == 0, "Home Invest").otherwise("Ana"), "</b></div>")
-    found = sites.read_pages(_page(spread(listings(spark, sf_dir)), html), "classified_details")
+    found = sites.read_pages(_page(spread_listings(spark, sf_dir), html), "classified_details")
     return found.select("page_id", "title", "price_eur", "area_m2", "rooms", F.col("pin.lat").alias("lat"), "city", "district", F.col("posted").cast("string").alias("posted"), "agency", "description")
 
 
@@ -88,7 +88,7 @@ def agency_details(spark, sf_dir):
     n = F.col("source_no")
     row = lambda k, v: joined("<tr><td>", k, ":</td><td>", v, "</td></tr>")
     html = joined("<title>Novel | ", F.col("title"), ', Скопје, Шифра: A1</title><table class="details">', row("Цена", joined(F.when(n % 3 > 0, whole("price_eur")).otherwise("0"), " €")), row("Површина", joined(whole("area_m2"), " m2")), row("Број на соби", F.lit("2,5 соби")), row("Населба", F.col("city")), row("Локација", F.col("district")), row("Лифт", F.lit('<img src="/img/ok.png">')), F.when(n % 2 == 0, row("Ентериер", F.lit("наместен"))), '</table><div class="estate-description">јави се на 076 506 300</div>')
-    found = sites.read_pages(_page(spread(listings(spark, sf_dir)), html), "agency_details")
+    found = sites.read_pages(_page(spread_listings(spark, sf_dir), html), "agency_details")
     return found.select("page_id", "title", "price_eur", "area_m2", "rooms", "area", "address", F.try_element_at("fields", F.lit("Лифт")).alias("lift"), F.try_element_at("fields", F.lit("Опрема")).alias("fittings"), "description")
 
 
@@ -122,7 +122,7 @@ def portal_listings(spark, sf_dir):
     script = F.when(n % 3 < 2, joined('<script type="application/ld+json">{"@type":"Organization"}</script><script type="application/ld+json">', ld, "</script>"))
     html = joined('<html><head><meta property="og:image" content="/m/1.jpg">', script, '</head><body><nav aria-label="Breadcrumb"><a href="/oglasi/stanovi">Станови ', F.when((n % 3 == 2) & (n % 4 < 2), "издавање"), "</a></nav><h1>", title, '</h1><div><span data-testid="listing-detail-price">99 €/м²</span> ≈ ', whole("price_eur"), " € ", F.when((n % 3 == 2) & (n % 4 == 0), "дневно"),
                   "</div><section><h2>Површина</h2><dl><dt>Површина</dt><dd>", whole("area_m2"), " m²</dd></dl></section><section><h2>Локација</h2><span>улица</span></section><section><h2>Контактирај</h2><p>", F.when(n % 2 == 0, "Агенција").otherwise("Корисник"), r'</p></section><script>x("{\"location\":{\"id\":1,\"lat\":', F.format_string("%.4f", "lat"), r',\"lng\":', F.format_string("%.4f", "lng"), '}}")</script></body></html>')
-    found = sites.read_pages(_page(spread(listings(spark, sf_dir)), html, joined("https://nedviznosti.com.mk/oglasi/oglas/stan-skopje-", n)), "portal")
+    found = sites.read_pages(_page(spread_listings(spark, sf_dir), html, joined("https://nedviznosti.com.mk/oglasi/oglas/stan-skopje-", n)), "portal")
     return found.select("source_id", "title", "kind", "deal", "price_eur", "area_m2", "city", "address", F.col("pin.lat").alias("lat"), F.col("posted").cast("string").alias("posted"), "image", "agency")
 
 
@@ -160,7 +160,7 @@ def place_candidates(spark, sf_dir):
     """Names to look up, from title and text, the most exact first."""
     n = F.col("source_no")
     word = lambda i: F.initcap(F.get(F.split("title", " "), i))
-    rows = spread(listings(spark, sf_dir)).select("id", "city", "district", F.concat(F.lit("Се продава плац во "), word(0), F.lit(", "), word(1)).alias("title"), F.when(n % 5 == 0, "погледнете mavrovo!").alias("description"), F.lit(None).cast("string").alias("note"), F.lit("ul. 5").alias("address"))
+    rows = spread_listings(spark, sf_dir).select("id", "city", "district", F.concat(F.lit("Се продава плац во "), word(0), F.lit(", "), word(1)).alias("title"), F.when(n % 5 == 0, "погледнете mavrovo!").alias("description"), F.lit(None).cast("string").alias("note"), F.lit("ul. 5").alias("address"))
     named = places.normed_names(spark.createDataFrame([("mavrovo", "Маврово"), ("popova sapka", "Попова Шапка")], "name string, spelled string"))
     return places.with_candidates(rows, named).select("id", F.array_join("candidates", ",").alias("candidates"))
 

@@ -53,6 +53,11 @@ def spread(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows if rows.isStreaming else rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def spread_listings(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """The listings view, dealt over the cluster before it is joined: by the key of its first join, which then moves no row again, and as bare numbers."""
+    return listings(spark, sf_dir, spread(tables(spark, sf_dir, "lineitem")["lineitem"] if lineitem is None else lineitem, "l_orderkey"))
+
+
 def active(rows: DataFrame, as_of: str, stale_days: int = 10) -> DataFrame:
     """SRC1: seen within ``stale_days``."""
     return rows.where(F.col("last_seen") >= F.date_sub(F.lit(as_of).cast("date"), stale_days).cast("timestamp"))
