@@ -74,9 +74,10 @@ def fold_penalties(items: DataFrame, rejections: DataFrame, smaller: Iterable[st
     totals = write_table(totals, "totals")
     kind, nowhere = "array<struct<reason:string,here:bigint>>", F.lit(None).cast("bigint")
     anywhere = lambda reasons: F.transform(reasons, lambda r: F.struct(r.alias("reason"), nowhere.alias("here")))
-    rows = items.join(totals, "researcher")
+    # what a text says is a few codes, and the text itself goes no further
+    rows = (items if said is None else items.withColumn("said", said)).join(totals, "researcher")
     by_size = F.filter("totals", lambda t: (t["reason"].isin(list(smaller)) & (F.col("area") <= t["limit"])) | (t["reason"].isin(list(larger)) & (F.col("area") >= t["limit"])))
-    fits = [anywhere(by_size["reason"])] + ([anywhere(said)] if said is not None else [])
+    fits = [anywhere(by_size["reason"])] + ([anywhere(F.col("said"))] if said is not None else [])
     for i, (keys, reasons) in enumerate(places.items()):
         here = rejections.where(F.col("reason").isin(list(reasons))).groupBy("researcher", "reason", *keys).agg(F.count("*").alias("here"))
         there = here.groupBy("researcher", *keys).agg(F.collect_list(F.struct("reason", "here")).alias(f"place {i}"))

@@ -432,13 +432,15 @@ def all_models(spark, sf_dir):
 def all_penalties(spark, sf_dir):
     """Rejections for all kinds of reasons against deals of the same researcher: by size, place, and what their texts say."""
     codes = ("sml", "big", "loc", "prc", "str", "far", "ren", "bsm", "old", "nhm", "tit", "shr", "agr", "ter", "dup")
-    v = derived.votes(spark, sf_dir).where("vote < 0")
+    # joined once: the rejections and the items read the written rows
+    rows = write_table(spread_listings(spark, sf_dir).select("id", "kind", "city", "district", "area_m2", "source_no"), "rows")
+    v = derived.votes(spark, sf_dir, rows=rows).where("vote < 0")
     code = F.element_at(F.array(*map(F.lit, codes)), (F.col("event_id") % 15 + 1).cast("int"))
     rejections = v.select("researcher", "listing_id", code.alias("reason"), "kind", "city", "district", F.col("area_m2").alias("area"))
     said = ("Стан за реновирање", "Сутерен 40м2", "без лифт", "Деловен простор", "без имотен лист", "1/2 идеален дел", "Нива", "стрмна падина", "Стан")
     n = F.col("source_no")
     title = F.element_at(F.array(*map(F.lit, said)), (n % 9 + 1).cast("int"))
-    items = spread_listings(spark, sf_dir).select(F.concat(F.lit("r"), (n % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), title.alias("title"), F.lit(None).cast("string").alias("description"))
+    items = rows.select(F.concat(F.lit("r"), (n % 4).cast("string")).alias("researcher"), "id", "kind", "city", "district", F.col("area_m2").alias("area"), title.alias("title"), F.lit(None).cast("string").alias("description"))
     return rounded(reasons.penalties(items, rejections).select("researcher", "id", "penalty", F.array_join("reasons", ",").alias("reasons")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plotwise.operators import feedback, scoring
@@ -9,17 +10,21 @@ from plotwise.plans import oracle
 from plotwise.sources.listings import listings
 
 
-def votes(spark, sf_dir, events=None):
-    """Votes derived from events: purchase and click are up, error is down; the user picks a researcher, the event any order of the table."""
+def votes(spark, sf_dir, events=None, rows=None):
+    """Votes derived from events: purchase and click are up, error is down; the user picks a researcher, the event any order of the table. ``rows``: listings
+    that are joined already."""
     e = (spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events).where("event_type in ('purchase', 'click', 'error')")
-    rows = listings(spark, sf_dir).select("id", "kind", "city", "district", "area_m2", "price_eur", "source_no")
-    own = rows.groupBy("source_no").agg(F.min("id").alias("id"))
+    rows = listings(spark, sf_dir) if rows is None else rows
+    rows = rows.select(*[c for c in ("id", "kind", "city", "district", "area_m2", "price_eur", "source_no") if c in rows.columns])
+    # the least id of a number, found where the listings then meet the events
+    first = F.rank().over(Window.partitionBy("source_no").orderBy("id"))
+    own = rows.withColumn("turn", first).where("turn = 1").drop("turn")
     e = e.select("event_id", F.col("ts").alias("at"), F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("researcher"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("vote"), "event_type", "value")
     span = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg((F.max("l_orderkey") + 1).alias("span"))
     order = F.col("event_id") * oracle.VOTE_STEP % F.col("span")
     e = e.crossJoin(F.broadcast(span))
     e = e.withColumn("source_no", order * 10 + 1 + F.col("event_id") % 6).drop("span")
-    return e.join(own, "source_no").join(rows.drop("source_no"), "id").withColumnRenamed("id", "listing_id")
+    return e.join(own, "source_no").withColumnRenamed("id", "listing_id")
 
 
 def items(spark, sf_dir):
