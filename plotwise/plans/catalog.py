@@ -564,8 +564,8 @@ def advert_facts(spark, sf_dir):
 def parsed_ads(spark, sf_dir):
     """X5, X6, X7, X13."""
     t = F.col("text")
-    ads = _ads(spark, sf_dir).withColumn("u", text.once(text.norm(t), text.utilities))
-    return rounded(ads.select("id", text.parse_price(t).alias("price"), text.parse_area(t).alias("area"), text.deal_type(F.col("title"), t, F.col("price_eur"), F.col("kind")).alias("deal"), *[F.col("u")[k].alias(k) for k in scoring.UTILITIES]))
+    ads = _ads(spark, sf_dir).withColumn("folded", text.norm(t)).withColumn("u", text.utilities(F.col("folded")))
+    return rounded(ads.select("id", text.parse_price(t).alias("price"), text.parse_area(t).alias("area"), text.deal_type(F.col("title"), t, F.col("price_eur"), F.col("kind"), F.col("folded")).alias("deal"), *[F.col("u")[k].alias(k) for k in scoring.UTILITIES]))
 
 
 @query
